@@ -1 +1,6 @@
-"""See the modules of this folder."""
+"""Queries over the tables, by group; importing a module registers its queries."""
+
+from . import billing, knowledge, relational, retrieval, texts, usage  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
