@@ -9,7 +9,10 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# Types as objects: a worker that imports this module can't parse their names.
+_STRINGS = T.ArrayType(T.StringType())
 #: Characters of a part, characters that neighbours share, and of a packed chunk of sentences (fixed values).
 PART, OVERLAP, SENTENCES, LEAST = 1800, 200, 900, 20
 
@@ -33,7 +36,7 @@ def split_overlapping(text: str, most: int = PART, overlap: int = OVERLAP) -> li
         start = max(end - overlap, start + 1)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_STRINGS)
 def overlapping_parts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: split_overlapping(x or ""))
 
@@ -50,24 +53,24 @@ def pack_sentences(text: str, most: int = SENTENCES, least: int = LEAST) -> list
     return [x for x in [*chunks, now] if len(x) > least]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_STRINGS)
 def sentence_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: pack_sentences(x or ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_hash(texts: pd.Series) -> pd.Series:
     """sha256 of JSON with sorted keys and no blanks."""
     return texts.map(lambda x: None if x is None else hashlib.sha256(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def point_id(names: pd.Series) -> pd.Series:
     """Version 5 UUID of a name."""
     return names.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """A deterministic stand-in for an embedding: bytes of chained digests, scaled to -1..1."""
 
@@ -91,7 +94,7 @@ def redact_nested(value):
     return [redact_nested(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redacted_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else json.dumps(redact_nested(json.loads(x)), ensure_ascii=False))
 
@@ -114,7 +117,7 @@ def company_names(text: str, most: int = 4) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_STRINGS)
 def companies(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: company_names(x or ""))
 
@@ -136,6 +139,6 @@ def depersonalise(text: str) -> tuple[str, dict[str, str]]:
     return text, {token: value for (_, value), token in found.items()}
 
 
-@F.pandas_udf("struct<text:string,tokens:map<string,string>>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.MapType(T.StringType(), T.StringType()))]))
 def depersonalised(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([depersonalise(x or "") for x in texts], columns=["text", "tokens"])

@@ -58,17 +58,26 @@ def without_page_numbers(lines: Column) -> Column:
     return F.filter(lines, lambda x: ~x.rlike(PAGE_NUMBER_LINE))
 
 
-def without_repeated_lines(lines: Column) -> Column:
-    """Short lines that stand at least three times are dropped, all of them. Counts come from a sorted copy:
-    equal lines are neighbours, and the third of a run betrays it."""
+def repeated_short_lines(lines: Column) -> Column:
+    """Short lines that stand at least three times. Counts come from a sorted copy: equal lines are neighbours,
+    and the third of a run betrays it."""
     bare = F.array_sort(F.filter(F.transform(lines, strip), lambda x: (x != "") & (F.length(x) <= REPEATED_LINE_CHARS)))
-    thrice = F.array_distinct(F.filter(bare, lambda x, i: F.get(bare, i + (REPEATED_LINE_TIMES - 1)) == x))
-    return F.filter(lines, lambda x: ~F.array_contains(thrice, strip(x)))
+    marked = F.zip_with(bare, F.slice(bare, F.lit(REPEATED_LINE_TIMES), F.greatest(F.size(bare), F.lit(1))), lambda x, y: F.when(x == y, x))
+    return F.array_distinct(F.array_compact(marked))
+
+
+def without_lines(lines: Column, unwanted: Column) -> Column:
+    """``unwanted`` should be a plain column: it is looked at for each line."""
+    return F.filter(lines, lambda x: ~F.array_contains(unwanted, strip(x)))
 
 
 def without_consecutive_repeats(lines: Column) -> Column:
-    """A line equal to the one before is dropped; blank lines stay."""
-    return F.filter(lines, lambda x, i: (strip(x) == "") | (i == 0) | (strip(x) != strip(F.get(lines, i - 1))))
+    """A line equal to the one before is dropped; blank lines stay. Lines are paired with their predecessors, as
+    an expression inside the function would be evaluated anew for each line."""
+    before = F.concat(F.array(F.lit(None).cast("string")), lines)
+    pairs = F.arrays_zip(lines.alias("x"), before.alias("y"))
+    kept = F.filter(pairs, lambda p: p["x"].isNotNull() & ((strip(p["x"]) == "") | p["y"].isNull() | (strip(p["x"]) != strip(p["y"]))))
+    return F.transform(kept, lambda p: p["x"])
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -112,8 +121,11 @@ def content_type(text: Column, chunk_type: Column | None = None) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Array of (kind, name) of all identifiers in a text."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for kind, p in IDENTIFIERS.items()]
-    return F.flatten(F.array(*found))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    return F.flatten(F.array(*[of(kind, pattern) for kind, pattern in IDENTIFIERS.items()]))
 
 
 def tokens(text: Column) -> Column:

@@ -116,7 +116,7 @@ def next_invoice_estimate(t):
     return t.orders.select("o_orderkey", F.date_format(F.add_months("o_orderdate", 1), "yyyy-MM-dd").alias("next_month"), (F.bround(c("o_totalprice") * 100, 0).cast("long") + 500 * (c("o_orderkey") % 3)).alias("next_invoice_cents"))
 
 
-@query("SELECT conv_id, turn, round(length(text) / 4 / 1000.0 * 0.15 + length(text) / 1000.0 * 0.6, 9) AS cost FROM conversations")
+@query("SELECT conv_id, turn, round(length(text) // 4 / 1000.0::DOUBLE * 0.15::DOUBLE + length(text) / 1000.0::DOUBLE * 0.6::DOUBLE, 9) AS cost FROM conversations")
 def llm_cost(t):
     return t.conversations.select("conv_id", "turn", F.round(B.llm_cost(F.floor(F.length("text") / 4), F.length("text"), 0.15, 0.6), 9).alias("cost"))
 

@@ -116,8 +116,8 @@ def edge_group_counts(t):
     return A.conditional_counts(_edges(t), {"actions": c("relation") == "did", "places": c("relation").isin("in", "of"), "users": c("from_type") == "user", "strong": c("weight") > 5, "total": F.lit(True)})
 
 
-@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events), t AS (SELECT DISTINCT user_id, day FROM events WHERE value > 200)
-  SELECT event_type, count(DISTINCT (e.user_id, day)) AS n_chunks, count(*) AS n_pairs FROM e JOIN t USING (user_id, day) GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events), t AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE value > 200)
+  SELECT event_type, count(DISTINCT user_id || '-' || day) AS n_chunks, count(*) AS n_pairs FROM e JOIN t USING (user_id, day) GROUP BY 1""")
 def mention_entity_join(t):
     rows = t.events.select("user_id", F.to_date("ts").alias("day"), "event_type", "value")
     topics = rows.where("value > 200").select("user_id", "day").distinct()

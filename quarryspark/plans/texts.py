@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import cleaning as C
 from ..operators import ordered as O
 from .registry import query
 
@@ -29,8 +30,8 @@ def repeated_lines(t):
 @query(f"""WITH {_LINES}, t AS (SELECT *, {_TRIM.format("line")} AS bare FROM lines), p AS (SELECT *, lag(bare) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM t)
   SELECT doc_id, count(*) FILTER (bare = before AND bare <> '') AS n_removed FROM p GROUP BY 1""")
 def consecutive_dedupe(t):
-    lines = F.split("text", "\n")
-    return t.documents.select("doc_id", (F.size(lines) - F.size(X.without_consecutive_repeats(lines))).cast("long").alias("n_removed"))
+    rows = C.held(t.documents.select("doc_id", F.split("text", "\n").alias("lines")), "kept", X.without_consecutive_repeats(c("lines")))
+    return rows.select("doc_id", (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"))
 
 
 @query(f"""WITH {_LINES}, a AS (SELECT doc_id, line_no, line, {_TRIM.format("line")} AS bare FROM lines WHERE NOT regexp_matches(line, '^\\s*(?:-\\s*)?(?:page\\s+)?\\d{{1,4}}(?:\\s*[./]\\s*\\d{{1,4}})?(?:\\s*-)?(?:\\s*\\.?\\s*oldal)?\\s*$', 'i')),
@@ -38,9 +39,8 @@ def consecutive_dedupe(t):
   e AS (SELECT doc_id, string_agg(regexp_replace(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' +$', ''), chr(10) ORDER BY line_no) AS x FROM d WHERE bare = '' OR before IS NULL OR bare <> before GROUP BY 1)
   SELECT doc_id, sha256({_TRIM.format("regexp_replace(coalesce(x, ''), chr(10) || '{3,}', chr(10) || chr(10), 'g')")}) AS normal_hash FROM documents LEFT JOIN e USING (doc_id)""")
 def normalise_documents(t):
-    """The whole cleaning chain, without leaving the row: encoding, page numbers, repeats, white space."""
-    lines = X.without_consecutive_repeats(X.without_repeated_lines(X.without_page_numbers(F.split(X.fix_encoding(c("text")), "\n"))))
-    return t.documents.select("doc_id", F.sha2(X.collapse_whitespace(F.array_join(lines, "\n")), 256).alias("normal_hash"))
+    clean = C.normalise(t.documents.select("doc_id", "text"), "text", "normal")
+    return clean.select("doc_id", F.sha2("normal", 256).alias("normal_hash"))
 
 
 _BLOCK_SQL = """WITH b AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents), d AS (SELECT *, regexp_replace(x, '[^\\p{L}]', '', 'g') AS letters FROM b),
