@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Modules of this folder hold plain functions over DataFrames and columns."""

@@ -157,7 +157,7 @@ def steps(text: Column) -> Column:
 
 
 def checklist(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:[-*]|\[\s?\])\s+(.+)$"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:[-*]|\[\s?\])\s+(.+)$"), 1), lambda x: F.trim(x))
 
 
 def process_confidence(n: Column) -> Column:
