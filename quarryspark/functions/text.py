@@ -258,3 +258,26 @@ def ocr_repeats(ocr: Column, text: Column, least: float = 0.9) -> Column:
     words = F.array_distinct(F.split(F.lower(ocr), r"\s+"))
     share = F.size(F.array_intersect(words, F.split(F.lower(text), r"\s+"))) / F.greatest(F.size(words), F.lit(1))
     return F.lower(text).contains(F.lower(ocr)) | F.lower(ocr).contains(F.lower(text)) | (share >= least)
+
+
+#: Cities and regions looked for in texts (fixed values).
+CITIES, REGIONS = ("budapest", "debrecen", "szeged", "győr", "pécs"), ("dunántúl", "alföld", "transdanubia")
+
+
+def places(text: Column) -> Column:
+    """Array of (raw, place, kind, confidence): site phrases .9; cities, addresses, rooms and regions .75."""
+    word, start = r"[\p{L}\p{N}_]", r"(?<![\p{L}\p{N}_])"
+    patterns = {
+        "office": rf"(?i){start}{word}+?i\s+(?:irod|telephely|raktár){word}*",
+        "address": rf"(?iu){start}\d{{4}}\s[\p{{L}}\p{{N}}_.-]+\s(?:utca|út|tér|körút)\s?\d+\.?",
+        "room": rf"(?i){start}(?:tárgyaló|meeting room)\s[\p{{L}}\p{{N}}_-]+",
+    }
+
+    def of(raw: Column, kind: str) -> Column:
+        return F.struct(raw.alias("raw"), F.lower(raw).alias("place"), F.lit(kind).alias("kind"), F.lit(0.9 if kind == "office" else 0.75).alias("confidence"))
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: of(x, kind))
+
+    listed = [F.when(F.lower(text).contains(n), of(F.lit(n), kind)) for kind, names in (("city", CITIES), ("region", REGIONS)) for n in names]
+    return F.concat(*[found(k, p) for k, p in patterns.items()], F.array_compact(F.array(*listed)))
