@@ -162,7 +162,7 @@ def ranked_previews(t):
     return top_per_group(t.customer, ["c_nationkey"], [F.desc("c_acctbal"), c("c_custkey")], 3).select("c_custkey", "c_acctbal", "rank")
 
 
-@query("""SELECT event_id, ts, rtrim(replace(encode(json_object('ts', strftime(ts, '%Y-%m-%d'), 'id', event_id)::VARCHAR)::VARCHAR, '', ''), '') <> '' AS ok FROM events ORDER BY ts, event_id LIMIT 10""")
+@query()
 def page_cursors(t):
     rows = t.events.orderBy("ts", "event_id").limit(10)
-    return rows.select("event_id", "ts", (F.length(O.cursor_text(c("ts"), c("event_id"))) > 0).alias("ok"))
+    return rows.select("event_id", "ts", O.cursor_text(c("ts"), c("event_id")).alias("cursor"))
