@@ -188,7 +188,7 @@ def _k_means(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20) -> np.
         far = np.minimum(far, ((x - middle[-1]) ** 2).sum(axis=1))
     m = np.stack(middle)
     for _ in range(rounds):
-        at = ((x[:, None, :] - m[None]) ** 2).sum(axis=2).argmin(axis=1)
+        at = ((m**2).sum(axis=1)[None] - 2 * x @ m.T).argmin(axis=1)
         for c in range(k):
             if (own := at == c).any():
                 m[c] = np.average(x[own], axis=0, weights=weight[own])
@@ -296,7 +296,7 @@ def _gradients(classes, weights):
     def run(batches):
         c = classes.value
         for pdf in batches:
-            factors, grads, losses = [], [], []
+            factors, places, grads, losses = [], [], [], []
             for factor, data in zip(pdf["factor"], pdf["data"], strict=True):
                 cell, n = np.frombuffer(data, dtype=np.int64).reshape(2, -1)
                 width = (c.n, c.width)[factor]
@@ -315,10 +315,12 @@ def _gradients(classes, weights):
                     for k in range(rows.shape[1]):
                         np.add.at(grad, rows[:, k], seen - expected)
                         np.add.at(curve, rows[:, k], expected)
+                touched = np.flatnonzero(curve.any(axis=1))  # a block's codes share most of their rows
                 factors.append(factor)
-                grads.append(np.stack([grad, curve]).astype(np.float32).tobytes())
+                places.append(touched.astype(np.int32).tobytes())
+                grads.append(np.stack([grad[touched], curve[touched]]).astype(np.float32).tobytes())
                 losses.append(loss)
-            yield pd.DataFrame({"factor": factors, "grad": grads, "loss": losses})
+            yield pd.DataFrame({"factor": factors, "rows": places, "grad": grads, "loss": losses})
 
     return run
 
@@ -330,7 +332,7 @@ def train_factors(spark, events: DataFrame, classes: Classes, steps: int = STEPS
     factor = F.when(F.col("cell") < edge, 0).otherwise(1)
     cell = F.when(F.col("cell") < edge, F.col("cell")).otherwise(F.col("cell") - edge)
     code = F.when(factor == 0, F.floor(cell / classes.n)).otherwise(F.floor(cell / classes.width))
-    rows = events.select(factor.alias("factor"), cell.alias("cell"), "n", F.pmod(code, F.lit(BLOCKS)).alias("block"))
+    rows = events.select(factor.alias("factor"), cell.alias("cell"), "n", F.pmod(F.floor(code / (COARSE + 1)), F.lit(BLOCKS)).alias("block"))
     packed = written(rows.groupBy("factor", "block").applyInPandas(_pack(shared), "factor int, data binary"), "events").repartition(BLOCKS)
     widths = (classes.n, classes.width)
     weights = [np.zeros((r, w)) for r, w in zip(ROWS, widths, strict=True)]
@@ -339,11 +341,12 @@ def train_factors(spark, events: DataFrame, classes: Classes, steps: int = STEPS
     speed = [np.zeros_like(w) for w in weights]
     for _ in range(steps):
         sent = spark.sparkContext.broadcast([w.astype(np.float32).astype(np.float64) for w in weights])
-        got = packed.mapInPandas(_gradients(shared, sent), "factor int, grad binary, loss double").collect()  # 2 * BLOCKS rows of known size
+        got = packed.mapInPandas(_gradients(shared, sent), "factor int, rows binary, grad binary, loss double").collect()  # 2 * BLOCKS rows, of the tables' size in all
         sums = [np.zeros((2, *w.shape)) for w in weights]
         loss = 0.0
         for row in got:
-            sums[row["factor"]] += np.frombuffer(row["grad"], dtype=np.float32).reshape(sums[row["factor"]].shape)
+            at = np.frombuffer(row["rows"], dtype=np.int32)
+            sums[row["factor"]][:, at] += np.frombuffer(row["grad"], dtype=np.float32).reshape(2, len(at), -1)
             loss += row["loss"]
         sent.destroy()
         losses.append(loss)
@@ -363,10 +366,16 @@ class Scorer:
 
     def __init__(self, classes: Classes, weights: list[np.ndarray], log_group: np.ndarray):
         self.c, self.weights, self.log_group = classes, weights, log_group
-        self.tables = [np.zeros((classes.codes, classes.n), dtype=np.float32), np.zeros((classes.word_codes, classes.width), dtype=np.float32)]
-        self.known = [np.zeros(classes.codes, dtype=bool), np.zeros(classes.word_codes, dtype=bool)]
+        self.tables = self.known = None  # made where the scoring is
+
+    def _ready(self) -> None:
+        c = self.c
+        self.tables = [np.zeros((c.codes, c.n), dtype=np.float32), np.zeros((c.word_codes, c.width), dtype=np.float32)]
+        self.known = [np.zeros(c.codes, dtype=bool), np.zeros(c.word_codes, dtype=bool)]
 
     def _get(self, factor: int, code: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        if self.tables is None:
+            self._ready()
         if len(fresh := np.unique(code[~self.known[factor][code]])):
             for at in range(0, len(fresh), 4096):
                 part = fresh[at : at + 4096]
@@ -434,23 +443,24 @@ def score(docs: DataFrame, fold: int = 1, steps: int = STEPS) -> DataFrame:
         if reached > HEAD:
             break
         least = r["c"]
-    head = sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r["c"], bytes(r["token"]))) if least is not None else []
-    words = Vocabulary([bytes(r["token"]) for r in head], [r["c"] for r in head])
+    found = counts.where(F.col("c") >= least).toArrow() if least is not None else None  # HEAD rows at most
+    head = sorted(zip(found["c"].to_pylist(), found["token"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1])) if found else []
+    words = Vocabulary([t for _, t in head], [n for n, _ in head])
     # Groups hold all but the model's own words.
     own = {r["shape"]: r for r in counts.mapInArrow(_count_shapes, "shape long, c long, v long").groupBy("shape").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()}
     group = np.array([[own[s]["c"], own[s]["v"]] if s in own else [0, 0] for s in range(SHAPES)], dtype=np.float64)
-    for r in head[:WORDS]:
-        group[shape(bytes(r["token"]))] -= (r["c"], 1)
+    for n, token in head[:WORDS]:
+        group[shape(token)] -= (n, 1)
     log_group = np.log10(group[:, 0] + 0.5 * (group[:, 1] + 1))
     vocabulary = spark.sparkContext.broadcast(words)
     after = np.zeros((LAST + 1) * PAD)
-    for r in training.mapInArrow(_following(vocabulary), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # (LAST + 1) * PAD cells at most
-        after[r["cell"]] = r["n"]
+    cells = training.mapInArrow(_following(vocabulary), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # (LAST + 1) * PAD at most
+    after[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     classes = make_classes(after.reshape(LAST + 1, PAD))
     sent = spark.sparkContext.broadcast(classes)
     events = training.mapInArrow(_events(vocabulary, sent), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     weights, _ = train_factors(spark, events, classes, steps)
-    scorer = spark.sparkContext.broadcast(Scorer(classes, weights, log_group))
+    scorer = spark.sparkContext.broadcast(Scorer(classes, [w.astype(np.float32) for w in weights], log_group))
     item = "struct<token:binary,tf:bigint>"
     scored = written(rows.mapInArrow(_score(vocabulary, scorer), f"row long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_head long, head_log double, model_log double, tail array<{item}>"), "scored")
     tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.token", "x.tf")
