@@ -79,7 +79,7 @@ def _count_tokens(batches):
         for text in batch.column("text"):
             for tokens in _pieces(text.as_py()):
                 seen.update(tokens)
-            if len(seen) > 400_000:
+            if len(seen) > 150_000:
                 yield flush()
     if seen:
         yield flush()
@@ -209,7 +209,7 @@ def _flat(texts, vocabulary: Vocabulary, outside=None):
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
 
 
-def _texts(batches, column="text", docs=128):
+def _texts(batches, column="text", docs=64):
     """Lists of about as many texts, less if they are long."""
     for batch in batches:
         for at in range(0, batch.num_rows, docs):
@@ -257,7 +257,7 @@ def _events(vocabulary, classes):
             first.append(c.code(h1, h2, h3) * c.n + own)
             second.append(c.word_code(own, h1, h2) * c.width + c.place[w])
             held += len(w)
-            if held > 3_000_000:
+            if held > 1_000_000:
                 yield from flush()
                 held = 0
         if held:
