@@ -38,7 +38,7 @@ def vector_top_k(points: DataFrame, queries: DataFrame, k: int, by: Sequence[str
 def hybrid_rank(hits: DataFrame, knowledge: DataFrame, key: str, score: str = "score", knowledge_score: str = "knowledge_score", query_key: str = "query_id") -> DataFrame:
     """Hits reranked by the weighted sum of vector and knowledge score; a missing or zero score counts as one half."""
     known = F.coalesce(F.nullif(F.col(knowledge_score), F.lit(0.0)), F.lit(NO_SCORE))
-    rows = hits.join(knowledge, key, "left").withColumn("hybrid", F.round(VECTOR * F.col(score) + KNOWLEDGE * known, 6))
+    rows = hits.join(knowledge, key, "left").withColumn("hybrid", F.round(VECTOR * F.col(score) + KNOWLEDGE * known, 8))
     w = W.partitionBy(query_key).orderBy(F.desc("hybrid"), key)
     return rows.withColumn("rank", F.row_number().over(w))
 

@@ -29,7 +29,7 @@ def _knowledge(t):
     return t.labels.select(c("doc_id").alias("vec_id"), c("quality").cast("double").alias("knowledge_score"))
 
 
-@query(f"""WITH {_TOP}, h AS (SELECT query_id, r.vec_id, score, round(0.75::DOUBLE * score + 0.25::DOUBLE * coalesce(nullif(quality::DOUBLE, 0.0), 0.5), 6) AS hybrid FROM r LEFT JOIN labels l ON l.doc_id = r.vec_id WHERE rank <= 10)
+@query(f"""WITH {_TOP}, h AS (SELECT query_id, r.vec_id, score, round(0.75::DOUBLE * score + 0.25::DOUBLE * coalesce(nullif(quality::DOUBLE, 0.0), 0.5), 8) AS hybrid FROM r LEFT JOIN labels l ON l.doc_id = r.vec_id WHERE rank <= 10)
   SELECT query_id, vec_id, score, hybrid, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, vec_id)::INTEGER AS rank FROM h""")
 def vector_hybrid_topk(t):
     hits = R.vector_top_k(_points(t), _queries(t), 10, ["label"]).select("query_id", "vec_id", "score")
