@@ -163,6 +163,42 @@ def test_similar_odd_rows(odd, none):
     assert len(kept) == len(set(kept)) and None in kept and similar.deduplicate(none).count() == 0
 
 
+def _edited(r, words, kind, vocabulary):
+    """A copy whose exact similarity is 0.80 to 0.86."""
+    n = len(words)
+    if kind == "appended":
+        return words + r.choices(vocabulary, k=n * 20 // 100)
+    if kind == "cut":
+        return words[: n * 83 // 100]
+    words = list(words)
+    for k in r.sample(range(0, n, 5), n * 18 // 1000):
+        words[k] = r.choice(vocabulary)
+    return words
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "scattered"])
+def test_similar_is_exact_for_every_edit(spark, kind):
+    """Components are those of all pairs of an exact five-word similarity of 0.8, some just below it included."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts = []
+    for k in range(150):
+        words = r.choices(vocabulary, k=r.randrange(100, 400))
+        texts += [words, _edited(r, words, kind, vocabulary)]
+        texts += [words + r.choices(vocabulary, k=len(words) * 26 // 100)] if k % 3 == 0 else []
+    sets = [set(zip(*[w[k:] for k in range(5)], strict=False)) for w in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(max(0, b - 2), b):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                root = [root[a] if x == root[b] else x for x in root]
+    wanted = {k: min(j for j in range(len(root)) if root[j] == root[k]) for k in range(len(root))}
+    assert len(set(wanted.values())) < len(texts) - 140
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in similar.components(frame).collect()} == wanted
+
+
 # --- decontamination ------------------------------------------------------------------------------------------
 
 
