@@ -183,7 +183,7 @@ def heading_path(t):
 
 @query()
 def span_deoverlap(t):
-    words = t.documents.select("doc_id", F.posexplode(X.tokens(c("text"))).alias("i", "w")).where("i < 400")
+    words = t.documents.select("doc_id", F.posexplode(X.tokens(c("text"))).alias("i", "w"))
     spans = words.select("doc_id", (c("i") * 3).cast("long").alias("s"), (c("i") * 3 + F.length("w")).cast("long").alias("e"))
     return O.without_overlaps(spans, ["doc_id"], "s", "e", [-(c("e") - c("s")), c("s")])
 
