@@ -58,23 +58,23 @@ def hydrated_hits(t):
     return R.hydrate(hits, chunks, "vec_id", {"snippet": F.lit("missing"), "language": F.lit("unknown")})
 
 
-def _ranked(t):
+def _ranked(documents):
     from pyspark.sql import Window as W
 
-    rows = t.documents.where("doc_id % 3 = 0").select((c("doc_id") % 20).alias("query_id"), "doc_id", "text", "source")
+    rows = documents.select((c("doc_id") % 20).alias("query_id"), "doc_id", "text", "source")
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")))
 
 
 @query()
 def context_budget(t):
-    return O.context_blocks(_ranked(t), ["query_id"], "rank", "text", "doc_id").select("query_id", "doc_id", "block", "used")
+    return O.context_blocks(_ranked(t.documents), ["query_id"], "rank", "text", "doc_id").select("query_id", "doc_id", "block", "used")
 
 
 @query("""WITH r AS (SELECT doc_id % 20 AS query_id, doc_id, source, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 3 = 0),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM f WHERE n = 1)
   SELECT query_id, doc_id, position::INTEGER AS position, 'c' || query_id || '-' || rank AS citation_id, '/api/kb/items/' || source || '/download' AS download_url FROM p WHERE position <= 8""")
 def source_list(t):
-    kept = R.sources(_ranked(t), "query_id", ["source"], "rank")
+    kept = R.sources(_ranked(t.documents.where("doc_id % 3 = 0")), "query_id", ["source"], "rank")
     return R.citations(kept, "query_id", "rank", "source").select("query_id", "doc_id", "position", "citation_id", "download_url")
 
 

@@ -20,3 +20,8 @@ def test_spans_of_a_long_text(spark, tmp_path):
     """Tokens of two letters, three apart, never overlap: each is kept."""
     at = _documents(spark, tmp_path, [" ".join(["ab"] * 1000), " ".join(["ab"] * 10)])
     assert sorted(r["count"] for r in QUERIES["span_deoverlap"](spark, at).groupBy("doc_id").count().collect()) == [10, 1000]
+
+
+def test_context_of_every_document(spark, tmp_path):
+    at = _documents(spark, tmp_path, [f"text {k} of a few words" for k in range(60)])
+    assert {r.doc_id for r in QUERIES["context_budget"](spark, at).collect()} == set(range(60))
