@@ -25,3 +25,9 @@ def test_spans_of_a_long_text(spark, tmp_path):
 def test_context_of_every_document(spark, tmp_path):
     at = _documents(spark, tmp_path, [f"text {k} of a few words" for k in range(60)])
     assert {r.doc_id for r in QUERIES["context_budget"](spark, at).collect()} == set(range(60))
+
+
+def test_places_of_whole_texts_only(spark, tmp_path):
+    """A place late in a text is found, and none that the text hasn't got."""
+    at = _documents(spark, tmp_path, ["plain words " * 50 + "in meeting room B-3 or 1011 Fő utca 5. in Győr.", "plain words"])
+    assert {r.doc_id for r in QUERIES["place_mentions"](spark, at).collect()} == {0}
