@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, quoted, small_side, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,3 +41,26 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(edges.select("dst", "dst").distinct())
+
+
+#: The temporary columns of ``first_rows``.
+_ID, _MARK = "__near_id", "__near_mark"
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``docs`` with one row of each component. ``rows`` has (doc_id, mark, root) of every row of ``docs``; ``mark`` is
+    xxhash64 of its text. The row of the smallest id stays (null after all others), of several texts of that id
+    the one of the smallest hash, of rows that repeat both any one."""
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")
+    rows = rows.select("root", place.alias("at"))
+    several = checkpointed(rows.groupBy("root").agg(F.count("*").alias("m"), F.min("at").alias("low")).where("m > 1").select("root", "low"))
+    inside = written(rows.join(small_side(several, most), "root").groupBy("at", "low").agg(F.count("*").alias("m")), "copies")
+    named = lambda x: x.select(F.col("at.doc_id").alias(_ID), F.col("at.mark").alias(_MARK))
+    drop, repeated = checkpointed(named(inside.where("at <> low")).distinct()), checkpointed(named(inside.where("at = low and m > 1")))
+    same = F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.xxhash64("text") == F.col(_MARK))
+    kept = docs.join(small_side(drop, most), same, "left_anti")
+    if not repeated.limit(1).count():
+        return kept
+    side = small_side(repeated, most)
+    again = kept.join(side, same, "left_semi").withColumn(_MARK, F.xxhash64("text")).dropDuplicates(["doc_id", _MARK]).select(*quoted(docs.columns))
+    return kept.join(side, same, "left_anti").unionByName(again)

@@ -2,85 +2,132 @@
 
 A mask names the positions of a token window that count; the others may hold anything. The tokens under
 each mask, at every position of every training text, are hashed and joined with the same hashes of the
-benchmark. Each hit fixes an alignment of a text with an item; around it all aligned tokens are compared,
-and the alignment is an overlap if some window of ``WINDOW`` item tokens (all of a shorter item) has at
-least ``AGREE`` of them equal in place. The two masks together hit every window of 13 tokens with up to two
-tokens replaced, wherever they are, so no such overlap is missed.
-
-Defined results: tokens are lower-cased words between white space; null and blank texts and items have
-none. Items of fewer tokens than a mask spans (8) can't be seeded and match nothing. Repeated items and
-rows each give their own results; rows with a null doc_id or item_id are not reported. Empty tables give
-no rows. Other columns don't matter, whatever their names.
+benchmark. Each hit fixes an alignment of a text with an item; the aligned tokens around it are compared one by
+one, and it is an overlap if some window of ``WINDOW`` item tokens (all of a shorter item) has at least ``AGREE``
+of them equal in place.
+
+No such overlap is missed. Two masks together hit every window of 13 tokens with up to two tokens replaced,
+wherever they are. In a shorter item of n tokens, of which r may be replaced, the masks are the r + 1 sets of every
+(r + 1)-th position: one of them holds no replaced token. Only the masks that the benchmark's items need are
+hashed. A text may begin or end inside the item; tokens that it lacks count as replaced.
+
+The seeds and tokens of the benchmark are broadcast, in as many passes as keep each within its bounds; texts are
+split once a pass, and no text, position or hit is shuffled, only overlaps already found.
+
+Defined results: tokens are lower-cased words between white space; null and blank texts and items have none, and
+match nothing. Rows of one doc_id (null is one, too) give one result for each item; items of one item_id as well,
+of those with a null item_id none is reported, though they do remove documents. Empty tables give no rows. Other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, checkpointed, word_array
+from .common import checkpointed, small_side, word_array
 
-#: Token positions that count, in each mask.
+#: Token positions that count, in each mask for windows of 13 tokens.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 1 + max(p for mask in MASKS for p in mask)
 #: Item tokens compared at once, and the share of them that must agree (11 of 13).
 WINDOW, AGREE = 13, 0.8
-#: Rows that are broadcast at most: benchmark seeds, and hits; beyond, the join shuffles.
-SEED_ROWS, HIT_ROWS = 1_000_000, 200_000
+#: Seeds, and characters of items, that are broadcast at once; further ones take further passes.
+SEED_ROWS, ITEM_CHARS = 500_000, 16 << 20
+_ID, _MARK = "__leak_id", "__leak_mark"
+
+
+def short_masks(n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(first position, mask from there) for an item of ``n`` tokens, fewer than ``WINDOW``."""
+    parts = n - math.ceil(n * AGREE - 1e-9) + 1
+    return [(k, tuple(range(0, n - k, parts))) for k in range(parts)]
+
+
+#: All masks, by number: those of long items, then of short ones.
+PATTERNS = tuple(dict.fromkeys([*MASKS, *[mask for n in range(1, WINDOW) for _, mask in short_masks(n)]]))
+
+
+def _seed(words: Column, at: Column, k: int) -> Column:
+    """The hash under mask ``k`` at a position; null if the mask goes beyond the text."""
+    token = lambda p: F.get(words, at + p)
+    return F.when(token(PATTERNS[k][-1]).isNotNull(), F.xxhash64(F.lit(k), *[token(p) for p in PATTERNS[k]]))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(no, item): the distinct token arrays of the items, numbered."""
+    words = benchmark.select(word_array(F.lower(F.col("text"))).alias("item")).where(F.size("item") > 0).distinct()
+    return checkpointed(words.select(F.monotonically_increasing_id().alias("no"), "item"))
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(no, mask, item_at, seed) of each item, by the masks that its length needs."""
+    n = F.size("item")
+    place = lambda k, at: F.struct(F.lit(k).alias("mask"), at.cast("int").alias("item_at"))
+    places = F.flatten(F.transform(F.sequence(F.lit(0), n - SPAN), lambda p: F.array(*[place(k, p) for k in range(len(MASKS))])))
+    places = F.when(n >= WINDOW, places)
+    for length in range(1, WINDOW):
+        places = places.when(n == length, F.array(*[place(PATTERNS.index(mask), F.lit(first)) for first, mask in short_masks(length)]))
+    rows = items.select("no", "item", F.explode(places).alias("p")).select("no", "item", "p.*")
+    seed = F.coalesce(*[F.when(F.col("mask") == k, _seed(F.col("item"), F.col("item_at"), k)) for k in range(len(PATTERNS))])
+    return checkpointed(rows.select("no", "mask", "item_at", seed.alias("seed")))
 
 
-def _tokens(table: DataFrame, key: str, name: str) -> DataFrame:
-    return table.where(F.col(key).isNotNull()).select(F.col(key).alias(name), word_array(F.lower(F.col("text"))).alias("w"))
+def _agreeing(words: Column, item: Column, shift: Column, low: Column, high: Column, width: Column) -> Column:
+    """Most agreeing tokens in a window of the item that begins from ``low`` to ``high``."""
+    same = lambda i: F.get(words, shift + i) == F.get(item, i)
+    counts = F.transform(F.sequence(low, high), lambda b: F.size(F.filter(F.sequence(b, b + width - 1), same)))
+    return F.array_max(counts)
 
 
-def _seeds(tokens: DataFrame, name: str, at: str) -> DataFrame:
-    """(name, at, seed): a hash for each mask and each position where the mask fits."""
+def _found(docs: DataFrame, benchmark: DataFrame, seed_rows: int, item_chars: int) -> DataFrame:
+    """(doc_id, mark, no, n_matched, n_window, position): the best alignment of each text and item that overlap;
+    ``mark`` is a hash of the text, ``no`` an item of ``_items``."""
+    items = _items(benchmark)
+    seeds = _item_seeds(items)
+    used = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())  # as many as there are masks at most
+    chars = items.agg(F.sum(F.length(F.array_join("item", " ")))).first()[0] or 0
+    passes = max(1, math.ceil(seeds.count() / seed_rows), math.ceil(chars / item_chars))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), word_array(F.lower(F.col("text"))).alias("w"))
+    least = min([1 + PATTERNS[k][-1] for k in used], default=SPAN)
     # No filter on the number of tokens: it would be moved below and split the text once more.
-    places = F.when(F.size("w") >= SPAN, F.sequence(F.lit(0), F.size("w") - SPAN))
-    placed = tokens.select(name, "w", F.explode(places).alias(at))
-    token = lambda p: F.get(F.col("w"), F.col(at) + p)
-    hashed = [F.xxhash64(F.lit(k), *[token(p) for p in mask]) for k, mask in enumerate(MASKS)]
-    return placed.select(name, at, F.explode(F.array(*hashed)).alias("seed"))
-
-
-def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift): alignments that some seed hits; ``shift`` is the text position of the item's start."""
-    items = checkpointed(_seeds(_tokens(benchmark, "item_id", "item_id"), "item_id", "item_at"))
-    side = broadcast_if(items, items.count(), SEED_ROWS)
-    hits = _seeds(_tokens(docs, "doc_id", "doc_id"), "doc_id", "doc_at").join(side, "seed")
-    return hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-
-
-def _best(word: Column, item: Column, shift: Column) -> Column:
-    """Most agreeing tokens in a window of the item, over all windows."""
-    n = F.size(item)
-    width = F.least(F.lit(WINDOW), n)
-    same = F.transform(item, lambda x, i: F.when((shift + i >= 0) & (F.get(word, shift + i) == x), 1).otherwise(0))
-    # A running sum in one pass, then differences over the window.
-    zero = F.array(F.lit(0))
-    sums = F.aggregate(same, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    gains = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.get(sums, i + width) - F.get(sums, i))
-    return F.array_max(gains)
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_window, position): for each text and item that overlap, the best
+    places = F.when(F.size("w") >= least, F.sequence(F.lit(0), F.size("w") - least))
+    placed = texts.select("doc_id", "mark", "w", F.explode(places).alias("at"))
+    hashed = [_seed(F.col("w"), F.col("at"), k) for k in used] or [F.lit(None).cast("long")]
+    sown = placed.select("doc_id", "mark", "w", "at", F.explode(F.array(*hashed)).alias("seed"))
+    span = F.element_at(F.array(*[F.lit(1 + mask[-1]) for mask in PATTERNS]), F.col("mask") + 1)
+    found = None
+    for k in range(passes):
+        part = F.pmod(F.xxhash64("no", F.lit(5)), F.lit(passes)) == k
+        own = seeds.where(part).select("no", "item_at", "seed", span.alias("span"))
+        hits = sown.join(F.broadcast(own), "seed").join(F.broadcast(items.where(part)), "no")
+        n, width = F.size("item"), F.least(F.lit(WINDOW), F.size("item"))
+        # Any window that agrees holds a hit: those around this one are looked at.
+        low, high = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - width), F.least(F.col("item_at"), n - width)
+        shift = F.col("at") - F.col("item_at")
+        # The generator keeps the comparison from being repeated in the filter.
+        matched = F.explode(F.array(_agreeing(F.col("w"), F.col("item"), shift, low, high, width)))
+        rows = hits.select("doc_id", "mark", "no", width.alias("n_window"), shift.alias("position"), matched.alias("n_matched"))
+        rows = rows.where(F.col("n_matched") >= F.ceil(F.col("n_window") * AGREE - 1e-9))
+        best = F.max(F.struct("n_matched", (-F.col("position")).alias("p"), "n_window"))
+        one = rows.groupBy("doc_id", "mark", "no").agg(best.alias("b"))
+        found = one if found is None else found.unionByName(one)
+    return found, items
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_window, position): for each document and item that overlap, the best
     aligned window's agreeing tokens, its length, and the text position of the item's (virtual) start."""
-    found = checkpointed(alignments(docs, benchmark))
-    side = broadcast_if(found, found.count(), HIT_ROWS)
-    hit = docs.select("doc_id", "text").join(side, "doc_id")  # texts without a hit aren't split again
-    words = hit.select("doc_id", "item_id", "shift", word_array(F.lower(F.col("text"))).alias("words"))
-    items = _tokens(benchmark, "item_id", "item_id").select("item_id", F.col("w").alias("item"))
-    both = words.join(items, "item_id")
-    width = F.least(F.lit(WINDOW), F.size("item"))
-    checked = both.select("doc_id", "item_id", _best(F.col("words"), F.col("item"), F.col("shift")).alias("n_matched"), width.alias("n_window"), F.col("shift").alias("position"))
-    checked = checked.where(F.col("n_matched") >= F.ceil(F.col("n_window") * AGREE))
-    best = F.max(F.struct("n_matched", (-F.col("position")).alias("p"), "n_window"))
-    one = checked.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    found, items = _found(docs, benchmark, seed_rows, item_chars)
+    ids = benchmark.where(F.col("item_id").isNotNull()).select("item_id", word_array(F.lower(F.col("text"))).alias("item")).distinct()
+    ids = checkpointed(ids.join(items, "item").select("item_id", "no"))
+    one = found.join(small_side(ids), "no").groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return one.select("doc_id", "item_id", "b.n_matched", "b.n_window", (-F.col("b.p")).alias("position"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """``docs`` without the rows whose id has an overlap with an item."""
-    leaks = checkpointed(overlaps(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(broadcast_if(leaks, leaks.count(), bound), docs["doc_id"] == F.col("__id"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, seed_rows: int = SEED_ROWS, item_chars: int = ITEM_CHARS, most: int | None = None) -> DataFrame:
+    """``docs`` without the rows that overlap with an item; a null doc_id saves no row."""
+    found, _ = _found(docs, benchmark, seed_rows, item_chars)
+    leaks = checkpointed(found.select(F.col("doc_id").alias(_ID), F.col("mark").alias(_MARK)).distinct())
+    return docs.join(small_side(leaks, most), F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.xxhash64("text") == F.col(_MARK)), "left_anti")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold
+from .common import id_fold, quoted
 
 #: Rows of the labelled sample that the rules are fitted on, at most (about; a hash threshold picks them).
 SAMPLE_ROWS = 20_000
@@ -151,13 +151,13 @@ def _with_statistics(docs: DataFrame, text: str) -> DataFrame:
     parts = F.struct(bare.alias("t"), words.alias("words"), lines.alias("lines"))
     stats = text_statistics(*[F.col(f"{_PARTS}.{x}") for x in ("t", "words", "lines")])
     packed = F.struct(*[c.cast("double").alias(n) for n, c in stats.items()])
-    return docs.select("*", F.explode(F.array(parts)).alias(_PARTS)).select(*docs.columns, F.explode(F.array(packed)).alias(_STATS))
+    return docs.select("*", F.explode(F.array(parts)).alias(_PARTS)).select(*quoted(docs.columns), F.explode(F.array(packed)).alias(_STATS))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """Fit on labelled rows outside the held-out fold. ``labels``: doc_id, quality; rows without either,
     and ids with conflicting labels, count with their rounded mean. At most about ``sample_rows`` rows,
-    chosen by a hash of the id, reach the driver; the join is against that bounded set."""
+    chosen by a hash of the id, reach the driver, one for each id; the join is against that bounded set."""
     names = list(text_statistics(F.lit(""), F.array(), F.array()))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (id_fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("double").alias("__label"))
@@ -166,8 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) < int(1_000_003 * sample_rows / total))
     sample = F.broadcast(known.withColumnRenamed("doc_id", "__id"))
     joined = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(sample, "__id")
-    rows = _with_statistics(joined, "__text").select("__id", "__label", *[F.col(f"{_STATS}.{n}").alias(n) for n in names]).toPandas()
-    rows = rows.drop_duplicates().sort_values(["__id", *names])
+    # A row for each labelled id, of its texts the one of the smallest hash: repeats of an id don't reach the driver.
+    first = F.min(F.struct(F.xxhash64("__text").alias("h"), *[F.col(f"{_STATS}.{n}").alias(n) for n in names]))
+    found = _with_statistics(joined, "__text").groupBy("__id", "__label").agg(first.alias("x"))
+    rows = found.select("__id", "__label", *[F.col(f"x.{n}").alias(n) for n in names]).toPandas().sort_values("__id")
     if not len(rows):
         return RuleModel(names)
     return fit_rules(names, rows[names].to_numpy(np.float64), rows["__label"].to_numpy(np.float64))

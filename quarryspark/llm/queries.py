@@ -100,7 +100,7 @@ _MIX = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text
   l AS (SELECT *, cap / weight AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS level FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   t AS (SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, struct_pack(a := ratio, b := coalesce(source, ''))) FROM l WHERE level <= ratio) * weight), cap) AS target FROM l),
   q AS (SELECT d.*, source_size, target, (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-  SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - before - source_size)))::BIGINT AS taken FROM q"""
+  SELECT doc_id, size, source_size, target, (size * (CASE WHEN target > 0 AND (before + size) / target + (0 - size / 2.0::DOUBLE) / target <= 1.0 THEN 1 ELSE 0 END + CASE WHEN target > 0 AND (before + size) / target + (source_size - size / 2.0::DOUBLE) / target <= 1.0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM q"""
 
 
 def oracle_sql() -> dict[str, str]:

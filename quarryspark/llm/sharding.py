@@ -2,12 +2,13 @@
 
 Rows are ranked within their source in a seeded order; sorted by fractional rank, (rank - 1/2) / rows of
 the source, every stretch of the whole has the sources' shares; the sorted rows are cut into shards whose
-row counts differ by one at most. Ranks are counted in two levels (4,096 ranges of each source's order, then
-of the fractional rank), so that no source and no table ever meets in one task.
+row counts differ by one at most. Ranks are counted in two levels (ranges of each source's order, then of the
+fractional rank; the more rows, the more ranges), and equal rows are one item with a number until they are ranked:
+no source, no id and no table ever meets in one task.
 
 Defined results: a null text has size 1 and the crc32 of the empty text; a null source is a source of its
 own, and a null id counts as the empty text in the order; repeated rows are rows of their own, and
-identical rows may swap places; an empty table gives no rows.
+identical rows may swap places; an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,56 +17,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, checkpointed
+from .common import RANGE_ROWS, checkpointed, hex_digits, numbered, quoted, small_side, spelled_out
 from .mixing import shuffle_key
 
 SHARDS, SEED = 8, "shard-1"
+#: Ranges of the fractional rank at least; more for more than so many times ``RANGE_ROWS``.
 RANGES = 4096
+_KIND = ["__shard_id", "__shard_size", "__shard_crc"]
 
 
 def _bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def _rows(docs: DataFrame, seed: str) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
     text = _bytes(F.col("text"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), shuffle_key(F.col("doc_id"), seed).alias("key"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, text_crc32, shard, slot) for every row of ``docs`` (doc_id, source, text)."""
-    rows = checkpointed(_rows(docs, seed).withColumn("range", F.substring("key", 1, 3)))
-    by_range = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
+    columns = ["source", "doc_id", "size", "text_crc32"]
+    items = _rows(docs).groupBy(*columns).agg(F.count("*").alias("n"))
+    items = checkpointed(items.withColumn("key", shuffle_key(F.col("doc_id"), seed, F.col("text_crc32"))))
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    items = items.withColumn("range", F.substring("key", 1, hex_digits(total)))
+    by_range = items.groupBy("source", "range").agg(F.sum("n").alias("rows"))
     ahead = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    starts = by_range.select("source", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"), F.sum("n").over(W.partitionBy("source")).alias("source_rows"))
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "text_crc32", "size")
-    placed = rows.withColumn("inside", F.row_number().over(inside)).alias("p").join(starts.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.range") == F.col("s.range")))
-    rank = F.col("s.start") + F.col("p.inside")
-    share = (rank - F.lit(0.5)) / F.col("s.source_rows")
-    ranked = checkpointed(placed.select("p.doc_id", "p.source", "p.size", "p.text_crc32", "p.key", share.alias("share"), F.floor(share * RANGES).alias("part")))
-    # RANGES rows at most: the only window without a key, and a broadcast of known size.
+    starts = by_range.select("source", "range", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("start"), F.sum("rows").over(W.partitionBy("source")).alias("source_rows"))
+    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    placed = items.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("p").join(starts.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.range") == F.col("s.range")))
+    placed = checkpointed(placed.select(*[F.col(f"p.{c}").alias(c) for c in (*columns, "key", "n")], (F.col("s.start") + F.col("p.inside")).alias("first"), "s.source_rows"))
+    each = spelled_out(placed, "n", "copy")
+    ranges = max(RANGES, total // RANGE_ROWS)
+    share = (F.col("first") + F.col("copy") + F.lit(0.5)) / F.col("source_rows")
+    ranked = checkpointed(each.select(*columns, "key", share.alias("share"), F.floor(share * ranges).alias("part")))
+    # As many rows as ranges: the only window without a key, and a broadcast of known size.
     counts = ranked.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("offset"), F.sum("n").over(W.partitionBy()).alias("total"))
+    offsets = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("offset"))
     within = F.row_number().over(W.partitionBy("part").orderBy("share", "source", "key", "doc_id", "text_crc32", "size")) - 1
     out = ranked.withColumn("within", within).join(F.broadcast(offsets), "part").withColumn("at", F.col("offset") + F.col("within"))
-    shard = F.expr(f"(at * {shards}) div total")
-    first = F.expr(f"(shard * total + {shards} - 1) div {shards}")
+    shard = F.expr(f"(at * {shards}) div {max(total, 1)}L")
+    first = F.expr(f"(shard * {total} + {shards} - 1) div {shards}")
     return out.withColumn("shard", shard).select("doc_id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("at") - first).cast("long").alias("slot"))
 
 
-def sharded_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, bound: int = 500_000) -> DataFrame:
-    """``docs`` with shard (int) and slot (long); identical rows get the places of their kind one each."""
-    places = assign(docs, shards, seed).groupBy(F.col("doc_id").alias("__i"), F.col("size").alias("__s"), F.col("text_crc32").alias("__c"))
-    places = checkpointed(places.agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("__at")))
+def sharded_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, most: int | None = None) -> DataFrame:
+    """``docs`` with shard (int) and slot (long); rows of equal id and text get the places of their kind one each."""
+    places = assign(docs, shards, seed).select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "size", "text_crc32"), _KIND, strict=True)], F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    places = checkpointed(places)
+    kinds = places.groupBy(*_KIND).agg(F.count("*").alias("__n"), F.min(F.struct("__shard", "__slot")).alias("__at"))
+    kinds = checkpointed(kinds)
     text = _bytes(F.col("text"))
-    named = docs.withColumns({"__size": (F.length(text) + 1).cast("long"), "__crc": F.crc32(text)})
-    match = named["doc_id"].eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__s")) & (F.col("__crc") == F.col("__c"))
-    repeated = places.where(F.size("__at") > 1)
-    n, m = places.count(), repeated.count()
-    single = named.join(broadcast_if(places.where(F.size("__at") == 1), n - m, bound), match).withColumn("__n", F.lit(1))
-    if m:
-        kind = W.partitionBy("doc_id", "__size", "__crc").orderBy(*[F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")])
-        several = named.join(broadcast_if(repeated, m, bound), match).withColumn("__n", F.row_number().over(kind))
-        single = single.unionByName(several)
-    at = F.element_at("__at", F.col("__n"))
-    return single.select(*docs.columns, at["shard"].alias("shard"), at["slot"].alias("slot"))
+    named = docs.withColumns({"__own_size": (F.length(text) + 1).cast("long"), "__own_crc": F.crc32(text)})
+    match = F.col("doc_id").eqNullSafe(F.col(_KIND[0])) & (F.col("__own_size") == F.col(_KIND[1])) & (F.col("__own_crc") == F.col(_KIND[2]))
+    single = kinds.where("__n = 1").select(*_KIND, "__at")
+    out = lambda rows, at: rows.select(*quoted(docs.columns), at("__shard").alias("shard"), at("__slot").alias("slot"))
+    done = out(named.join(small_side(single, most), match), lambda c: F.col("__at")[c])
+    repeated = kinds.where("__n > 1").select(*_KIND)
+    if not repeated.limit(1).count():
+        return done
+    side = small_side(checkpointed(repeated), most)
+    rows = numbered(named.join(side, match), _KIND, "__row")
+    free = numbered(_kept(places, side), _KIND, "__row").select(*[F.col(c).alias(f"{c}_") for c in _KIND], F.col("__row").alias("__row_"), "__shard", "__slot")
+    same = F.col("__row") == F.col("__row_")
+    for c in _KIND:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return done.unionByName(out(rows.join(free, same), F.col))
+
+
+def _kept(places: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The places of the given kinds; a null id is one of its own."""
+    other = kinds.select(*[F.col(c).alias(f"{c}_") for c in _KIND])
+    same = F.lit(True)
+    for c in _KIND:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return places.join(other, same, "left_semi")

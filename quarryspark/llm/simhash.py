@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, checkpointed
-from .components import connected_components
+from .common import checkpointed, small_side
+from .components import connected_components, first_rows
 
 #: Words to a shingle, and differing bits at which fingerprints link.
 SHINGLE, BITS = 3, 2
@@ -159,33 +159,25 @@ def links(marks: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     return near.union(neighbour_links(crowded))
 
 
-def components(docs: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fingerprint_bits, component_id) for every row of ``docs`` (doc_id, text)."""
-    marks = checkpointed(fingerprints(docs.select("doc_id", "text")))
+def _rooted(docs: DataFrame, bits: int, bucket: int) -> DataFrame:
+    """(doc_id, mark, fingerprint_bits, root, component_id) for every row of ``docs``."""
+    marks = checkpointed(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")))
     distinct = checkpointed(marks.groupBy(F.col("fingerprint_bits").alias("f")).agg(F.min("doc_id").alias("first")))
     joined = connected_components(links(distinct, bits, bucket))  # node -> root, of linked fingerprints only
     rooted = distinct.join(joined, distinct["f"] == joined["node"], "left").select("f", "first", F.coalesce("root", "f").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_mark = checkpointed(rooted.join(smallest, "root").select(F.col("f").alias("fingerprint_bits"), "component_id"))
-    return marks.join(by_mark, "fingerprint_bits").select("doc_id", "fingerprint_bits", "component_id")
-
-
-def deduplicate(docs: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """``docs`` with one row of each component, the one of the smallest id; rows with a null id stay.
-    Of rows that repeat a kept id, the one with the smallest text hash stays."""
-    found = checkpointed(components(docs))
-    drop = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    repeated = checkpointed(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"))
-    kept = docs.join(broadcast_if(drop, drop.count(), bound), docs["doc_id"] == F.col("__id"), "left_anti")
-    n = repeated.count()
-    if not n:
-        return kept
-    from pyspark.sql import Window as W
-
-    again = kept.join(broadcast_if(repeated, n, bound), kept["doc_id"] == F.col("__id"), "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    again = again.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return kept.join(broadcast_if(repeated, n, bound), kept["doc_id"] == F.col("__id"), "left_anti").unionByName(again)
+    by_mark = checkpointed(rooted.join(smallest, "root").select(F.col("f").alias("fingerprint_bits"), "root", "component_id"))
+    return marks.join(small_side(by_mark), "fingerprint_bits")
+
+
+def components(docs: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fingerprint_bits, component_id) for every row of ``docs`` (doc_id, text)."""
+    return _rooted(docs, bits, bucket).select("doc_id", "fingerprint_bits", "component_id")
+
+
+def deduplicate(docs: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row of each component, as ``first_rows`` chooses it."""
+    return first_rows(docs, checkpointed(_rooted(docs, bits, bucket)))
 
 
 def fingerprint_hex(bits: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on documents: brute force, and odd rows."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryspark.llm import components, decontaminate, maxent, mixing, quality, sharding, similar, simhash
+from quarryspark.llm import common, components, decontaminate, maxent, mixing, quality, sharding, similar, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -143,24 +144,53 @@ def _near_copies(spark, copies):
     return rows, spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_similar_finds_near_copies(spark, monkeypatch, block):
-    """A group of sixty is dealt in blocks; small blocks have to meet in pairs."""
-    monkeypatch.setattr(similar, "BLOCK", block)
+@pytest.mark.parametrize("rounds, block", [(3, 256), (1, 16), (0, 16)])
+def test_similar_finds_near_copies(spark, rounds, block):
+    """Representatives, blocks, and pairs of blocks each find a group of sixty on their own."""
     rows, frame = _near_copies(spark, 60)
-    got = {r.doc_id: r.component_id for r in similar.components(frame).collect()}
+    got = {r.doc_id: r.component_id for r in similar.components(frame, rounds=max(rounds, 1), block=block).collect()}
     first = {}
     for k, _, g in rows:
         first.setdefault(g, k)
     assert got == {k: first[g] for k, _, g in rows}
-    assert similar.deduplicate(frame).count() == 12
+    assert similar.deduplicate(frame, rounds=max(rounds, 1), block=block).count() == 12
+
+
+def _all_pairs(texts):
+    """Components by brute force: {place: least place}."""
+    sets = [set(zip(*[t[k:] for k in range(5)], strict=False)) if len(t) >= 5 else {tuple(t)} for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return _groups(pairs, range(len(texts)))
+
+
+@pytest.mark.parametrize("rounds, block", [(3, 256), (1, 8)])
+def test_similar_keeps_close_groups_apart(spark, rounds, block):
+    """Texts with a passage in common, of similarities around 0.8: many share keys and are no near copies, and some
+    are linked only through members that aren't representatives."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(4000)]
+    shared, texts = r.choices(vocabulary, k=100), []
+    for _ in range(30):
+        own = r.choices(vocabulary, k=r.randrange(5, 40))
+        texts.append(shared + own)
+        for _ in range(2):
+            texts.append(shared + own + r.choices(vocabulary, k=r.randrange(0, 30)))
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    wanted = _all_pairs(texts)
+    assert 3 < len(set(wanted.values())) < 60
+    assert {x.doc_id: x.component_id for x in similar.components(frame, rounds=rounds, block=block).collect()} == wanted
 
 
-def test_similar_odd_rows(odd, none):
+def test_similar_odd_rows(spark, odd, none):
     got = {r.doc_id: r.component_id for r in similar.components(odd).collect()}
-    assert {got[k] for k in (30, 31, 32)} == {30} and got[None] is None and got[35] == got[5]
+    assert {got[k] for k in (30, 31, 32)} == {30} and got[None] == 3 and got[35] == got[5]
     kept = [r.doc_id for r in similar.deduplicate(odd).select("doc_id").collect()]
-    assert len(kept) == len(set(kept)) and None in kept and similar.deduplicate(none).count() == 0
+    assert len(kept) == len(set(kept)) and None not in kept and similar.deduplicate(none).count() == 0
+    # An id with two texts is in both components; text ids and odd names do as well.
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    named = spark.createDataFrame([("5", a, 1), ("5", b, 2), ("3", b, 3), (None, a, 4)], "doc_id string, text string, `a.b` int")
+    assert sorted((r.doc_id, r["a.b"]) for r in similar.deduplicate(named).collect()) == [("3", 3), ("5", 1)]
+    assert simhash.deduplicate(named).count() == 2
 
 
 def _edited(r, words, kind, vocabulary):
@@ -186,14 +216,7 @@ def test_similar_is_exact_for_every_edit(spark, kind):
         words = r.choices(vocabulary, k=r.randrange(100, 400))
         texts += [words, _edited(r, words, kind, vocabulary)]
         texts += [words + r.choices(vocabulary, k=len(words) * 26 // 100)] if k % 3 == 0 else []
-    sets = [set(zip(*[w[k:] for k in range(5)], strict=False)) for w in texts]
-    root = list(range(len(texts)))
-    for b in range(len(texts)):
-        for a in range(max(0, b - 2), b):
-            both = len(sets[a] & sets[b])
-            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
-                root = [root[a] if x == root[b] else x for x in root]
-    wanted = {k: min(j for j in range(len(root)) if root[j] == root[k]) for k in range(len(root))}
+    wanted = _all_pairs(texts)
     assert len(set(wanted.values())) < len(texts) - 140
     frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
     assert {x.doc_id: x.component_id for x in similar.components(frame).collect()} == wanted
@@ -213,34 +236,46 @@ def _best(doc, item):
 def test_decontamination_against_brute_force(spark):
     r = random.Random(2)
     vocabulary = [f"w{k}" for k in range(400)]
-    items = [(k, " ".join(r.choices(vocabulary, k=r.choice([9, 14, 30])))) for k in range(12)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.choice([1, 2, 4, 5, 6, 9, 10, 11, 12, 14, 30])))) for k in range(40)]
     docs = []
-    for k in range(60):
+    for k in range(160):
         words = r.choices(vocabulary, k=60)
         if k % 2:
-            part = items[k % 12][1].split()
+            part = items[k // 2 % 40][1].split()
             for _ in range(r.randrange(4)):
                 part[r.randrange(len(part))] = "changed"
             words[10 : 10 + len(part)] = part
+            words = words[r.choice([0, 11]) : r.choice([60, 9 + len(part)])]  # some begin or end in the item
         docs.append((k, " ".join(words)))
-    got = {(x.doc_id, x.item_id): (x.n_matched, x.n_window) for x in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    docs.append((1000, "rep " * 500))
+    items.append((100, "rep " * 20))
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_matched, x.n_window) for x in decontaminate.overlaps(frame, benchmark).collect()}
     wanted = {}
     for d, text in docs:
         for i, item in items:
             n, w = _best(text.split(), item.split())
             if w and n >= -(-w * 8 // 10):
                 wanted[d, i] = (n, w)
-    # Items of 13 words and more are found whatever is replaced; of shorter ones, what a mask can hit.
-    long = {i for i, x in items if len(x.split()) >= 13}
-    assert {k: v for k, v in wanted.items() if k[1] in long} == {k: v for k, v in got.items() if k[1] in long}
-    assert set(got.items()) <= set(wanted.items())
+    assert got == wanted
+    again = decontaminate.overlaps(frame, benchmark, seed_rows=50).collect()  # in many passes
+    assert {(x.doc_id, x.item_id): (x.n_matched, x.n_window) for x in again} == wanted
+    assert {x.doc_id for x in decontaminate.decontaminate(frame, benchmark, most=0).collect()} == {d for d, _ in docs} - {d for d, _ in wanted}
+
+
+def test_masks_hit_every_accepted_window():
+    for n in range(1, 14):
+        masks = [tuple(first + p for p in mask) for first, mask in (decontaminate.short_masks(n) if n < 13 else [(k, m) for m in decontaminate.MASKS for k in range(6)])]
+        for least in itertools.combinations(range(n), n - -(-n * 8 // 10)):
+            assert any(not set(mask) & set(least) for mask in masks), (n, least)
 
 
 def test_decontamination_odd_rows(spark, odd, none):
-    items = spark.createDataFrame([(1, " ".join(odd.where("doc_id = 6").first().text.upper().split()[5:25]), 1), (2, None, 1), (3, "too short", 1), (None, "a b c d e f g h i j", 1)], "item_id long, text string, w int")
-    assert [(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, items).collect()] == [(6, 1)]
+    part = lambda k: " ".join(odd.where(f"doc_id = {k}").first().text.upper().split()[5:25])
+    items = spark.createDataFrame([(1, part(6), 1), (2, None, 1), (3, "too short", 1), (None, part(7), 1), (4, part(3), 1)], "item_id long, text string, w int")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, items).collect()} == {(6, 1), (3, 4), (None, 4)}
     kept = decontaminate.decontaminate(odd, items)
-    assert kept.count() == odd.count() - 1 and kept.columns == odd.columns
+    assert kept.count() == odd.count() - 4 and kept.columns == odd.columns
     assert decontaminate.overlaps(none, items).count() == 0 and decontaminate.overlaps(odd, items.limit(0)).count() == 0
 
 
@@ -303,41 +338,92 @@ def _targets(sizes):
         capped |= more
 
 
-def test_mixing_by_hand(odd, docs, none):
-    for frame in (docs, odd):
+def _mixed(rows):
+    """(id, source, size) -> sorted words taken, by the global order of virtual time, cut at 1."""
+    queue = sorted(((hashlib.md5(f"mix-1:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), r.doc_id is not None, r.doc_id or 0, len(split(r.text)), r.source) for r in rows))
+    sizes, before, events = Counter(), Counter(), []
+    for *_, size, source in queue:
+        sizes[source] += size
+    aim = _targets(sizes)
+    for copy in range(2):
+        for n, (_, _, i, size, source) in enumerate(queue):
+            middle = before[source] + size / 2
+            before[source] += size
+            if aim[source]:
+                events.append((middle / aim[source], n, size))
+    taken = Counter()
+    for at, n, size in sorted(events):
+        if at > 1:
+            break
+        taken[n] += size
+    out = {}
+    for n, (_, known, i, size, source) in enumerate(queue):
+        out.setdefault((i if known else None, source, size), []).append(taken[n])
+    return {k: sorted(v) for k, v in out.items()}, sizes, aim
+
+
+@pytest.mark.parametrize("step", [10_000, 1])
+def test_mixing_by_hand(odd, docs, none, monkeypatch, step):
+    if step == 1:  # repeated rows are dealt in blocks
+        monkeypatch.setattr(mixing, "spelled_out", lambda items, n, out: common.spelled_out(items, n, out, step))
+    for frame in (docs, odd, odd.union(odd).union(odd)):
         got, rows = mixing.mix(frame).collect(), frame.collect()
-        sizes = Counter()
-        for r in rows:
-            sizes[r.source] += len(split(r.text))
-        aim = _targets(sizes)
-        taken = Counter()
+        wanted, sizes, aim = _mixed(rows)
+        taken, found = Counter(), {}
         for r in got:
-            assert r.target == pytest.approx(aim[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size
+            assert r.target == pytest.approx(aim[r.source]) and r.source_size == sizes[r.source]
             taken[r.source] += r.taken
-        assert all(abs(taken[s] - aim[s]) <= 1 for s in sizes) and len(got) == len(rows)
-        words = sum(len(split(r.text)) for r in mixing.mixed_documents(frame).select("text").collect())
-        assert abs(words - sum(aim.values())) <= len(sizes) + 2
+            found.setdefault((r.doc_id, r.source, r.size), []).append(r.taken)
+        assert {k: sorted(v) for k, v in found.items()} == wanted
+        largest = {s: max(r.size for r in got if r.source == s) for s in sizes}
+        assert all(abs(taken[s] - aim[s]) <= largest[s] / 2 + 1 for s in sizes) and len(got) == len(rows)
+        times = [r.finish for r in got]
+        assert times == sorted(times)
+        for most in (None, 0):
+            out = mixing.mixed_documents(frame, most=most)
+            texts = Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect())
+            assert set(texts) <= {(r.doc_id, r.text) for r in rows} and out.columns == frame.columns
+            assert sum(len(split(t)) * n for (_, t), n in texts.items()) == sum(taken.values())
     again = [tuple(r) for r in mixing.mix(docs.repartition(3)).select("doc_id", "taken").collect()]
     assert sorted(again) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
     assert mixing.mix(none).count() == 0 == mixing.mixed_documents(none).count()
-    assert mixing.mixed_documents(odd).columns == odd.columns
 
 
-def test_sharding_by_hand(docs, odd, none):
-    rows = sorted(docs.collect(), key=lambda r: hashlib.md5(f"shard-1:{r.doc_id}".encode()).hexdigest())
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 5}, {"a": 1}, {None: 7, "x": 0, "y": 3}, {f"s{k}": 3**k % 101 for k in range(40)}])
+def test_targets(spark, sizes):
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(frame).collect()}
+    assert got == pytest.approx(_targets(sizes))
+
+
+def _shards(rows, shards=8):
+    """(id, crc) -> sorted (shard, slot), by ranking and sorting everything."""
+    key = lambda r: hashlib.md5(f"shard-1:{'' if r.doc_id is None else r.doc_id}:{zlib.crc32((r.text or '').encode())}".encode()).hexdigest()
+    rows = sorted(rows, key=lambda r: (key(r), r.doc_id is not None, r.doc_id or 0, zlib.crc32((r.text or "").encode())))
     n, rank, placed = Counter(r.source for r in rows), Counter(), []
     for r in rows:
         rank[r.source] += 1
-        placed.append(((rank[r.source] - 0.5) / n[r.source], r.source, hashlib.md5(f"shard-1:{r.doc_id}".encode()).hexdigest(), r.doc_id))
-    wanted = {d: k * 8 // len(rows) for k, (*_, d) in enumerate(sorted(placed))}
-    assert {r.doc_id: r.shard for r in sharding.assign(docs).collect()} == wanted
-    for frame in (docs, odd):
-        got = sharding.sharded_documents(frame).collect()
-        assert len(got) == frame.count()
-        slots = {}
-        for r in got:
-            slots.setdefault(r.shard, []).append(r.slot)
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+        placed.append(((rank[r.source] - 0.5) / n[r.source], r.source is not None, r.source or "", key(r), r.doc_id is not None, r.doc_id or 0, zlib.crc32((r.text or "").encode())))
+    out = {}
+    for at, (*_, known, i, crc) in enumerate(sorted(placed)):
+        shard = at * shards // len(rows)
+        out.setdefault((i if known else None, crc), []).append((shard, at - -(-shard * len(rows) // shards)))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_sharding_by_hand(docs, odd, none):
+    for frame in (docs, odd, odd.union(odd).union(odd)):
+        rows, found, kept = frame.collect(), {}, {}
+        wanted = _shards(rows)
+        for r in sharding.assign(frame).collect():
+            found.setdefault((r.doc_id, r.text_crc32), []).append((r.shard, r.slot))
+        assert {k: sorted(v) for k, v in found.items()} == wanted
+        for most in (None, 0):
+            got = sharding.sharded_documents(frame, most=most)
+            kept = {}
+            for r in got.collect():
+                kept.setdefault((r.doc_id, zlib.crc32((r.text or "").encode())), []).append((r.shard, r.slot))
+            assert {k: sorted(v) for k, v in kept.items()} == wanted and got.columns == [*frame.columns, "shard", "slot"]
     assert sharding.assign(none).count() == 0 == sharding.sharded_documents(none).count()
 
 
