@@ -1,23 +1,27 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample, the graph of nearest neighbours is cut into parts of equal size (grown along edges, then
-refined by moves to the part of most neighbours, within the capacity); a small neural classifier learns
-which part a vector's neighbours are in. Every vector is indexed in its most probable part; a query goes to
-its several most probable parts and is reranked there by the exact inner product. How many parts are
-probed is calibrated on sampled queries, for a wanted recall.
-
-Equal vectors are indexed once, with their smallest ids (no more of them than a result holds can ever be in
+refined by moves to the part of most neighbours, within the capacity). A small neural classifier learns the parts; its
+biases are shifted until it deals the sample evenly, and every vector is indexed in the part it names. A second one
+learns in which of these parts a vector's neighbours are: a query goes to its several most probable parts and
+is reranked there by the exact inner product. There are about a quarter of a square root of the vectors as many parts,
+up to what the sample can teach; how many are probed is calibrated on sampled queries, for a wanted recall, and a
+query whose parts hold too few vectors goes to more of them.
+
+Equal vectors are one node, with their smallest ids (no more of them than a result holds can ever be in
 one), so copies don't fill a part. Parts and their queries are joined block by block of bounded size.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, have no id, or haven't the
 most frequent length (of equally frequent ones, the smallest) take no part, as candidates or queries; ties
-go to the smaller id; fewer candidates than asked for are all returned, given parts enough; repeated rows of
-an id and vector count once; an empty table gives no rows. Other columns don't matter, whatever their names.
+go to the smaller id; fewer candidates than asked for are all returned; repeated rows of an id and vector count
+once; the nearness of ids with several vectors is their largest one, and each id is in a result once; an empty
+table gives no rows. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,27 +34,80 @@ from .common import checkpointed
 
 #: Vectors of the sample that parts and classifier are fitted on, at most (about; a hash threshold picks them).
 SAMPLE_ROWS = 8192
-PARTS, GRAPH_NEIGHBOURS, HIDDEN, EPOCHS = 16, 16, 64, 12
+GRAPH_NEIGHBOURS, HIDDEN, EPOCHS = 16, 64, 12
+#: Vectors of the sample to a part at least, and the fullest part against the mean after balancing.
+PART_SAMPLE, FULLEST = 32, 1.2
 #: Recall on sampled queries that the number of probed parts is calibrated for.
-WANTED_RECALL = 0.97
+WANTED_RECALL = 0.95
 #: Vectors and queries that meet in one task.
 BLOCK, QUERY_BLOCK = 4096, 4096
 
 
-@dataclass
-class Router:
-    """The classifier: one hidden layer, softmax over the parts; ``probes``: parts that a query goes to."""
+def parts_for(vectors: int, sample_rows: int = SAMPLE_ROWS) -> int:
+    """A power of two near a quarter of the square root of the vectors, as far as the sample goes."""
+    return max(1, min(2 ** max(2, round(math.log2(max(vectors, 1)) / 2 - 2)), min(vectors, sample_rows) // PART_SAMPLE))
+
+
+class Classifier:
+    """One hidden layer and a softmax over the parts; sees directions only."""
 
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-    probes: int = 1
+    def __init__(self, dimension: int, parts: int):
+        r = np.random.default_rng(7)
+        self.weights = [r.normal(0, dimension**-0.5, (dimension, HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, (HIDDEN, parts)), np.zeros(parts)]
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        w1, b1, w2, b2 = self.weights
+        return np.maximum(_unit(x) @ w1 + b1, 0) @ w2 + b2
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """Parts of each vector, most probable first."""
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-        return np.argsort(-(np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2), axis=1, kind="stable")
+        return np.argsort(-self.logits(x), axis=1, kind="stable")
+
+    def learn(self, x: np.ndarray, aim: np.ndarray) -> None:
+        """Adam on the cross entropy with the wanted shares of the parts."""
+        unit, r, step = _unit(x), np.random.default_rng(8), 0
+        first, second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
+        w = self.weights
+        for _ in range(EPOCHS):
+            order = r.permutation(len(x))
+            for at in range(0, len(x), 256):
+                rows = order[at : at + 256]
+                z = np.maximum(unit[rows] @ w[0] + w[1], 0)
+                out = z @ w[2] + w[3]
+                out = np.exp(out - out.max(axis=1, keepdims=True))
+                g = (out / out.sum(axis=1, keepdims=True) - aim[rows]) / len(rows)
+                gz = (g @ w[2].T) * (z > 0)
+                step += 1
+                for i, grad in enumerate((unit[rows].T @ gz, gz.sum(axis=0), z.T @ g, g.sum(axis=0))):
+                    first[i] = 0.9 * first[i] + 0.1 * grad
+                    second[i] = 0.999 * second[i] + 0.001 * grad**2
+                    w[i] -= 3e-3 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+
+    def balance(self, x: np.ndarray, rounds: int = 400) -> None:
+        """Shifts the biases until no part is named for much more than its share; keeps the most even ones."""
+        free = self.logits(x) - self.weights[3]
+        bias, best, mean = self.weights[3].copy(), (np.inf, self.weights[3]), len(x) / free.shape[1]
+        for k in range(rounds):
+            filled = np.bincount((free + bias).argmax(axis=1), minlength=free.shape[1])
+            if filled.max() < best[0]:
+                best = (filled.max(), bias.copy())
+            if filled.max() <= FULLEST * mean:
+                break
+            bias -= 0.3 / (1 + k / 50) * np.log((filled + 1) / (mean + 1))
+        self.weights[3] = best[1]
+
+
+@dataclass
+class Router:
+    """Where vectors are indexed, where queries go, and to how many parts."""
+
+    index: Classifier
+    query: Classifier
+    probes: int
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -115,49 +172,36 @@ def balanced_parts(graph: np.ndarray, parts: int, rounds: int = 8, slack: float
     return part
 
 
-def fit(x: np.ndarray, k: int, parts: int = PARTS, wanted: float = WANTED_RECALL) -> Router:
-    """Graph, balanced parts, classifier and calibrated probes, from a sample of vectors."""
+def fit(x: np.ndarray, k: int, parts: int, wanted: float = WANTED_RECALL, share: float = 1.0) -> Router | None:
+    """Graph, balanced parts, classifiers and calibrated probes, from a sample of vectors, which is ``share`` of all;
+    None for a single part."""
     x = np.asarray(x, dtype=np.float64)
-    n, d = x.shape
-    parts = max(1, min(parts, n // 32))
-    r = np.random.default_rng(7)
-    hidden = HIDDEN
-    router = Router(r.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), r.normal(0, hidden**-0.5, (hidden, parts)), np.zeros(parts), 1)
+    n = len(x)
+    parts = max(1, min(parts, n // PART_SAMPLE))
     if parts == 1:
-        return router
+        return None
     graph = neighbour_graph(x, GRAPH_NEIGHBOURS)
+
+    def shares(part: np.ndarray) -> np.ndarray:
+        aim = np.zeros((n, parts))
+        np.add.at(aim, (np.arange(n)[:, None], part[graph]), 1.0)
+        return aim / np.maximum(aim.sum(axis=1, keepdims=True), 1.0)
+
     part = balanced_parts(graph, parts)
-    aim = np.zeros((n, parts))  # where a vector's neighbours are, and itself
-    np.add.at(aim, (np.arange(n)[:, None], part[graph]), 1.0)
-    aim[np.arange(n), part] += 4.0
-    aim /= aim.sum(axis=1, keepdims=True)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    weights = [router.w1, router.b1, router.w2, router.b2]
-    first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    for _ in range(EPOCHS):
-        order = r.permutation(n)
-        for at in range(0, n, 256):
-            rows = order[at : at + 256]
-            z = np.maximum(unit[rows] @ weights[0] + weights[1], 0)
-            out = z @ weights[2] + weights[3]
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            g = (out / out.sum(axis=1, keepdims=True) - aim[rows]) / len(rows)
-            gz = (g @ weights[2].T) * (z > 0)
-            step += 1
-            for i, grad in enumerate((unit[rows].T @ gz, gz.sum(axis=0), z.T @ g, g.sum(axis=0))):
-                first[i] = 0.9 * first[i] + 0.1 * grad
-                second[i] = 0.999 * second[i] + 0.001 * grad**2
-                weights[i] -= 3e-3 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    router.w1, router.b1, router.w2, router.b2 = weights
-    # Where the classifier puts the vectors is where they will be found.
-    where = router.order(x)[:, 0]
-    probe = r.permutation(n)[: min(n, 1024)]
-    near = neighbour_graph_of(x, probe, k)
+    index, query = Classifier(x.shape[1], parts), Classifier(x.shape[1], parts)
+    own = shares(part) * GRAPH_NEIGHBOURS
+    own[np.arange(n), part] += 4.0  # where a vector's neighbours are, and itself
+    index.learn(x, own / own.sum(axis=1, keepdims=True))
+    index.balance(x)
+    where = index.order(x)[:, 0]
+    query.learn(x, shares(where))
+    # The nearest of all vectors are as near as the nearest few of the sample.
+    probe = np.random.default_rng(9).permutation(n)[: min(n, 2048)]
+    near = neighbour_graph_of(x, probe, max(1, math.ceil(k * share)))
     rank = np.empty((len(probe), parts), dtype=np.int64)
-    np.put_along_axis(rank, router.order(x[probe]), np.arange(parts)[None, :], axis=1)
+    np.put_along_axis(rank, query.order(x[probe]), np.arange(parts)[None, :], axis=1)
     reached = np.sort(np.take_along_axis(rank, where[near], axis=1).ravel())
-    router.probes = int(reached[min(len(reached) - 1, int(wanted * len(reached)))]) + 1 if len(reached) else parts
-    return router
+    return Router(index, query, int(reached[min(len(reached) - 1, int(wanted * len(reached)))]) + 1)
 
 
 def neighbour_graph_of(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
@@ -183,54 +227,76 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _meet(k: int):
-    """The ``k`` best of a block for each query of a block."""
+    """The ``k`` best ids of a block for each query node of a block."""
+
+    def best(score: np.ndarray, nodes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        m = min(k, len(score))
+        while True:
+            edge = np.partition(score, len(score) - m)[len(score) - m]
+            at = np.flatnonzero(score >= edge)  # all that tie with the last
+            ids = np.concatenate([nodes[i] for i in at])
+            s = np.repeat(score[at], [len(nodes[i]) for i in at])
+            order = np.lexsort((ids, -s))
+            ids, s = ids[order], s[order]
+            first = np.sort(np.unique(ids, return_index=True)[1])  # an id with several vectors counts with its best
+            if len(first) >= k or m == len(score):
+                return ids[first[:k]], s[first[:k]]
+            m = min(2 * m, len(score))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        node, ids, scores = [], [], []
         if len(left) and len(right):
-            v, ids = _matrix(right["v"]), right["node"].to_numpy()
-            m = min(k, len(ids))
+            v, own = _matrix(right["v"]), right["ids"].tolist()
             for at in range(0, len(left), 512):
                 rows = left.iloc[at : at + 512]
-                s = _matrix(rows["v"]) @ v.T
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                edge = np.take_along_axis(s, top, axis=1).min(axis=1)
-                q, c = np.nonzero(s >= edge[:, None])  # all that tie with the last
-                out.append(pd.DataFrame({"query_node": rows["query_node"].to_numpy()[q], "node": ids[c], "score": s[q, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_node": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                for q, s in zip(rows["query_node"].to_numpy(), _matrix(rows["v"]) @ v.T, strict=True):
+                    i, x = best(s, own)
+                    node.append(np.full(len(i), q))
+                    ids.append(i)
+                    scores.append(x)
+        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
+        return pd.DataFrame({"query_node": join(node, "int64"), "vec_id": join(ids, "int64"), "score": join(scores, "float64")})
 
     return run
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS, wanted: float = WANTED_RECALL) -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, sample_rows: int = SAMPLE_ROWS, wanted: float = WANTED_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``table`` (vec_id, embedding)
     for which ``is_query`` (an expression of vec_id) holds, among all rows but itself."""
     rows = usable(table)
-    # Equal vectors become a node named by the smallest id, with the k + 1 smallest ids (a query may be one).
+    # Equal vectors become a node, with the k + 1 smallest ids (a query may be one).
     first = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    nodes = first.groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    nodes = checkpointed(nodes.select("node", "ids", "v"))
+    grouped = first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    nodes = checkpointed(grouped.select(F.monotonically_increasing_id().alias("node"), "ids", "v"))
     total = nodes.count()
     share = 1.0 if total <= sample_rows else sample_rows / total
-    picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    sample = picked.select("node", "v").toPandas().sort_values("node")
-    router = fit(_matrix(sample["v"]), k, parts, wanted) if len(sample) > 1 else None
+    picked = nodes.where(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    sample = picked.select(F.get("ids", F.lit(0)).alias("id"), "v").toPandas().sort_values("id", kind="stable")
+    router = fit(_matrix(sample["v"]), k, parts or parts_for(total, sample_rows), wanted, share) if len(sample) > 1 else None
 
     @F.pandas_udf("int")
     def part_of(v: pd.Series) -> pd.Series:
-        return pd.Series(router.order(_matrix(v))[:, 0] if router and len(v) else np.zeros(len(v)), dtype="int32")
+        return pd.Series(router.index.order(_matrix(v))[:, 0] if router and len(v) else np.zeros(len(v)), dtype="int32")
+
+    index = checkpointed(nodes.select("node", "ids", "v", part_of("v").alias("part")))
+    # At most a number for each part: how many vectors it has.
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
 
     @F.pandas_udf("array<int>")
     def probed(v: pd.Series) -> pd.Series:
-        return pd.Series(list(router.order(_matrix(v))[:, : router.probes].astype(np.int32)) if router and len(v) else [[0]] * len(v))
+        if not router or not len(v):
+            return pd.Series([[0]] * len(v))
+        order = router.query.order(_matrix(v))
+        held = np.cumsum(np.array([sizes.get(p, 0) for p in range(order.shape[1])])[order], axis=1)
+        upto = np.maximum(router.probes, (held <= k).sum(axis=1) + 1)  # parts with k other nodes at least, or all
+        return pd.Series([row[:n].astype(np.int32) for row, n in zip(order, upto, strict=True)])
 
-    index = checkpointed(nodes.select("node", "v", part_of("v").alias("part")))
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = checkpointed(asked.join(nodes.select("v", "node"), "v").select("query_id", F.col("node").alias("query_node")))
     queries = asked.select(F.col("query_node").alias("node")).distinct().join(nodes.select("node", "v"), "node")
     routed = checkpointed(queries.select(F.col("node").alias("query_node"), "v", F.explode(probed("v")).alias("part")))
-    # At most PARTS rows each: how many blocks a part and its queries have.
-    blocks = {r["part"]: -(-r["count"] // BLOCK) for r in index.groupBy("part").count().collect()}
+    # How many blocks a part and its queries have.
+    blocks = {p: -(-n // BLOCK) for p, n in sizes.items()}
     query_blocks = {r["part"]: -(-r["count"] // QUERY_BLOCK) for r in routed.groupBy("part").count().collect()}
     number = lambda of: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sorted(of) for x in (p, of[p])]), F.col("part")), F.lit(0)) if of else F.lit(0)
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))
@@ -238,11 +304,11 @@ def search(table: DataFrame, is_query: Column, k: int = 20, parts: int = PARTS,
     left = routed.withColumn("qb", own("query_node", number(query_blocks))).withColumn("vb", F.explode(upto(number(blocks))))
     right = index.withColumn("vb", own("node", number(blocks))).withColumn("qb", F.explode(upto(number(query_blocks))))
     keys = ("part", "vb", "qb")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k + 1), "query_node long, node long, score double")
-    best = met.withColumn("n", F.rank().over(W.partitionBy("query_node").orderBy(F.desc("score")))).where(F.col("n") <= k + 1)
-    ids = best.join(nodes.select("node", "ids"), "node").select("query_node", "score", F.explode("ids").alias("vec_id"))
-    ids = ids.withColumn("n", F.row_number().over(W.partitionBy("query_node").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    lists = ids.groupBy("query_node").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
-    own_out = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    got = asked.join(lists, "query_node").select("query_id", F.posexplode(own_out).alias("at", "x"))
-    return got.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    kind = dict(table.dtypes)["vec_id"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k + 1), f"query_node long, vec_id {kind}, score double")
+    # Parts are disjoint by nodes, not by ids: an id of several vectors may be there once for each.
+    ids = met.groupBy("query_node", "vec_id").agg(F.max("score").alias("score"))
+    ids = ids.withColumn("n", F.row_number().over(W.partitionBy("query_node").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+    got = asked.join(ids, "query_node").where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    got = got.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return got.select("query_id", "rank", "vec_id", "score")

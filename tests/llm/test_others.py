@@ -115,6 +115,29 @@ def test_neighbours_odd_rows(spark):
     assert ann.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.8]), (1, [0.2, 0.2])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=20).orderBy("rank").collect()
+    assert [(x.query_id, x.rank, x.vec_id, x.score) for x in got] == [(0, 1, 1, 0.9), (0, 2, 2, 0.8)]
+
+
+def test_neighbours_of_small_parts(spark):
+    """Tight clusters of twelve: one part never holds twenty, so queries go on."""
+    r = np.random.default_rng(3)
+    middles = r.normal(size=(40, 8)) * 10
+    rows = [(k, [float(x) for x in middles[k % 40] + r.normal(size=8) * 0.01]) for k in range(480)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, parts=15).groupBy("query_id").count().collect()
+    assert len(got) == 24 and all(x["count"] == 20 for x in got)
+
+
+def test_router_deals_evenly():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2000, 16)) + 3 * (r.random((2000, 1)) < 0.5)
+    router = ann.fit(x, 20, 16)
+    assert np.bincount(router.index.order(x)[:, 0], minlength=16).max() <= 1.5 * 125
+    assert ann.parts_for(10) == 1 and ann.parts_for(2_000) == 8 and ann.parts_for(50_000) == 64 and ann.parts_for(10**9) == 256
+
+
 def test_parts_are_balanced():
     r = np.random.default_rng(2)
     graph = ann.neighbour_graph(r.normal(size=(1000, 8)), 10)
@@ -153,6 +176,67 @@ def test_extraction(html, text):
     assert htmltext.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<p><a title=it's>two lost?</a></p><p>mid</p><p>it's three</p>", "two lost?\nmid\nit's three"),
+        ('<p class="x" ">a < b, a<3 "here"</p>', 'a < b, a<3 "here"'),
+        ("<p a='x>y' b=\"c>d\" c = e>one</p><p d='never ends>two", "one\ntwo"),
+        ("<p class='market-share'>a</p><div class='search-results'><p>b</p></div><div class='ad top'>no</div><div class='sidebar-widget'>no</div><p hidden>no</p>", "a\nb"),
+        ("<p>a <b><i>x</b> y</i> z</p><p>u<b>v<p>w</b>x</p></nope></p>", "a x y z\nuv\nwx"),
+        ("<header><h2>h</h2></header><script>a<b</script><!-- no --!><p>a<br>b</p>", "h\na b"),
+    ],
+)
+def test_extraction_inside_articles(inner, text):
+    assert htmltext.main_text(f"<article><p>{LONG}</p>{inner}</article>") == f"{LONG}\n{text}"
+
+
+@pytest.mark.parametrize("part", ["<div>", "<b>", "<p><b>", "<li>", "<td><tr>", "<b></i>", "<p a='x", '<p a="', "<a", "<p ", "<!--", "<script>", "<", "</", "<div class='x y'>", "</div>"])
+def test_extraction_takes_linear_time(part):
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        htmltext.main_text(part * n + LONG + ">\"'")
+        took.append(time.process_time() - began)
+    assert took[1] < 0.5 + 8 * took[0]
+
+
+def test_extraction_against_the_standard_parser(spark):
+    """All pages, with another parser: the blocks of the article."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag in ("p", "h1"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in queries.op10_html(spark, "/root/testdata/sf0.01").collect()}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html or "")
+        wanted = "\n".join(x for b in parser.blocks if (x := " ".join(b.split())))
+        assert got[r.page_id].text == wanted and got[r.page_id].n_chars == len(wanted) and got[r.page_id].url == r.url
+
+
 def test_extraction_odd_rows(spark):
     rows = [(1, "u", None, "k"), (2, None, "<p>" * 3000 + "deep" + "<div>" * 3000 + LONG, "k"), (2, None, "<p>" * 3000 + "deep" + "<div>" * 3000 + LONG, "k"), (None, "u", "<p>" + LONG * 2000, "k")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
