@@ -3,17 +3,23 @@
 Each round points every node at the smallest node it sees (first among its larger neighbours, then among
 its smaller ones); the edge list turns into stars in a number of rounds that grows with the logarithm of
 the nodes. A hub's edges never meet in one row or list: minima are partial aggregates, and the join back
-to the edges is an ordinary equi join, whose skewed partitions Spark splits.
+to the edges is an ordinary equi join, whose skewed partitions Spark splits. Edges that are counted to be few are
+settled by one task instead, with the same result: rounds of shuffles cost more than they are worth there.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, quoted, small_side, written
 
 
+#: Distinct edges up to which one task settles them (some 100 MB there).
+FEW = 300_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,10 +33,38 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("src"), F.col("m").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def _settled(edges: DataFrame) -> DataFrame:
+    """(node, root) of few edges, by union and find in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        up: dict = {}
+
+        def find(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        columns = [pa.array(x, batch.schema.field("src").type) for x in (nodes, [find(n) for n in nodes])] if nodes else []
+        if columns:
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def connected_components(edges: DataFrame, rounds: int = 100, few: int = FEW) -> DataFrame:
     """(node, root): for each node of an edge list (src, dst), the smallest node that it is connected with.
     Loops and repeated edges do no harm; an empty list gives no rows."""
     edges = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
+    if edges.count() <= few:
+        return _settled(edges)
     state = None
     for _ in range(rounds):
         edges = checkpointed(_small_star(_large_star(edges)))

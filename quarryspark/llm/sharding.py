@@ -13,17 +13,18 @@ identical rows may swap places; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import RANGE_ROWS, checkpointed, hex_digits, numbered, quoted, small_side, spelled_out
+from .common import RANGE_ROWS, checkpointed, hex_digits, numbered, quoted, small_side, spelled_out, written
 from .mixing import shuffle_key
 
 SHARDS, SEED = 8, "shard-1"
 #: Ranges of the fractional rank at least; more for more than so many times ``RANGE_ROWS``.
 RANGES = 4096
-_KIND = ["__shard_id", "__shard_size", "__shard_crc"]
+_KIND = ["doc_id", "size", "text_crc32"]
 
 
 def _bytes(text: Column) -> Column:
@@ -62,34 +63,42 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
     return out.withColumn("shard", shard).select("doc_id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("at") - first).cast("long").alias("slot"))
 
 
+def _located(docs: DataFrame) -> DataFrame:
+    """``docs`` with a file and a row number that name each row, from the files it is read from; what isn't read from
+    files is written to some first."""
+    try:
+        return docs.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return written(docs, "rows").withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+
+
+def _same(names: list[str], ends: str) -> Column:
+    out = F.lit(True)
+    for c in names:
+        out = out & F.col(c).eqNullSafe(F.col(f"{c}{ends}"))
+    return out
+
+
 def sharded_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, most: int | None = None) -> DataFrame:
-    """``docs`` with shard (int) and slot (long); rows of equal id and text get the places of their kind one each."""
-    places = assign(docs, shards, seed).select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "size", "text_crc32"), _KIND, strict=True)], F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    places = checkpointed(places)
-    kinds = places.groupBy(*_KIND).agg(F.count("*").alias("__n"), F.min(F.struct("__shard", "__slot")).alias("__at"))
-    kinds = checkpointed(kinds)
+    """``docs`` with shard (int) and slot (long); rows of equal id and text get the places of their kind one each. Only
+    narrow rows are sorted and joined; the places come to the texts by file and row number."""
+    located = _located(docs)
+    places = checkpointed(assign(docs, shards, seed).drop("source"))
+    kinds = places.groupBy(*_KIND).agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.min("slot").alias("slot"))
+    kinds = checkpointed(kinds.select(*[F.col(c).alias(f"{c}_") for c in _KIND], "n", "shard", "slot"))
     text = _bytes(F.col("text"))
-    named = docs.withColumns({"__own_size": (F.length(text) + 1).cast("long"), "__own_crc": F.crc32(text)})
-    match = F.col("doc_id").eqNullSafe(F.col(_KIND[0])) & (F.col("__own_size") == F.col(_KIND[1])) & (F.col("__own_crc") == F.col(_KIND[2]))
-    single = kinds.where("__n = 1").select(*_KIND, "__at")
-    out = lambda rows, at: rows.select(*quoted(docs.columns), at("__shard").alias("shard"), at("__slot").alias("slot"))
-    done = out(named.join(small_side(single, most), match), lambda c: F.col("__at")[c])
-    repeated = kinds.where("__n > 1").select(*_KIND)
-    if not repeated.limit(1).count():
-        return done
-    side = small_side(checkpointed(repeated), most)
-    rows = numbered(named.join(side, match), _KIND, "__row")
-    free = numbered(_kept(places, side), _KIND, "__row").select(*[F.col(c).alias(f"{c}_") for c in _KIND], F.col("__row").alias("__row_"), "__shard", "__slot")
-    same = F.col("__row") == F.col("__row_")
-    for c in _KIND:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    return done.unionByName(out(rows.join(free, same), F.col))
-
-
-def _kept(places: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The places of the given kinds; a null id is one of its own."""
-    other = kinds.select(*[F.col(c).alias(f"{c}_") for c in _KIND])
-    same = F.lit(True)
-    for c in _KIND:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    return places.join(other, same, "left_semi")
+    rows = located.select("__file", "__row", "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    repeated = kinds.where("n > 1").drop("n", "shard", "slot")
+    if repeated.limit(1).count():
+        rows, side = checkpointed(rows), small_side(repeated, most)
+        own = numbered(rows.join(side, _same(_KIND, "_"), "left_semi"), _KIND, "nth")
+        free = numbered(places.join(side, _same(_KIND, "_"), "left_semi"), _KIND, "nth")
+        free = free.select(*[F.col(c).alias(f"{c}_") for c in (*_KIND, "nth")], "shard", "slot")
+        several = own.join(free, _same([*_KIND, "nth"], "_")).select("__file", "__row", "shard", "slot")
+    else:
+        several = None
+    found = rows.join(small_side(kinds.where("n = 1"), most), _same(_KIND, "_")).select("__file", "__row", "shard", "slot")
+    found = checkpointed(found.unionByName(several) if several is not None else found)
+    found = found.select(F.col("__file").alias("__file_"), F.col("__row").alias("__row_"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    done = located.join(small_side(found, most), _same(["__file", "__row"], "_"))
+    return done.select(*quoted(docs.columns), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))

@@ -112,11 +112,12 @@ def test_links_have_all_components(spark, bucket):
     assert found == wanted
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_chains(spark, few):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long"), few=few).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
-    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long"), few=few).count() == 0
 
 
 def test_simhash_odd_rows(odd, none):
@@ -424,6 +425,8 @@ def test_sharding_by_hand(docs, odd, none):
             for r in got.collect():
                 kept.setdefault((r.doc_id, zlib.crc32((r.text or "").encode())), []).append((r.shard, r.slot))
             assert {k: sorted(v) for k, v in kept.items()} == wanted and got.columns == [*frame.columns, "shard", "slot"]
+    mapped = odd.withColumn("a.b", F.create_map(F.lit("x"), F.lit(1)))  # what can't be ordered, and odd names
+    assert sharding.sharded_documents(mapped).columns == [*mapped.columns, "shard", "slot"]
     assert sharding.assign(none).count() == 0 == sharding.sharded_documents(none).count()
 
 
