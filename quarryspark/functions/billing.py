@@ -72,3 +72,8 @@ def warning_level(percent: Column, stored: Column, levels=(80, 90, 100)) -> Colu
 def llm_cost(prompt: Column, answer: Column, prompt_price: float, answer_price: float) -> Column:
     """Cost of tokens at prices for a thousand."""
     return prompt / 1000 * prompt_price + answer / 1000 * answer_price
+
+
+def limits_exceeded(used: dict[str, tuple[Column, Column]]) -> Column:
+    """Names of those limits that are passed, from (used, limit) by name."""
+    return F.array_compact(F.array(*[F.when(n > most, F.lit(name)) for name, (n, most) in used.items()]))

@@ -142,3 +142,91 @@ def depersonalise(text: str) -> tuple[str, dict[str, str]]:
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.MapType(T.StringType(), T.StringType()))]))
 def depersonalised(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([depersonalise(x or "") for x in texts], columns=["text", "tokens"])
+
+
+#: Words near a name that betray a signature, and confidences of full names (fixed values).
+SIGNATURE = re.compile(r"\b(?:üdv|tisztelettel|köszönettel|best regards|kind regards|sincerely|regards|signature|signed by)\b", re.I)
+NAME_BASE, NAME_LISTED, NAME_BOOST, NAME_MOST = 0.70, 0.75, 0.05, 0.85
+MAIL_NEAR, SIGNATURE_NEAR = 120, 200
+_UPPER = "A-ZÁÉÍÓÖŐÚÜŰ"
+_PAIR = re.compile(rf"\b([{_UPPER}][\w-]+)\s+([{_UPPER}][\w-]+)\b")
+_MAIL = re.compile(r"[\w.+-]+@[\w.-]+\.\w+")
+
+
+def person_names(text: str, given: frozenset[str], listed: frozenset[str]) -> list[tuple[str, int, int, float]]:
+    """(name, start, end, confidence) of capitalised pairs with a given name (lower-cased) in either place, which goes first
+    in the result; surer for names that are listed, near an e-mail address, or near a signature."""
+    out = []
+    for m in _PAIR.finditer(text):
+        one, two = m[1], m[2]
+        if one.lower() not in given:
+            if two.lower() not in given:
+                continue
+            one, two = two, one
+        near = lambda pattern, window: pattern.search(text[max(0, m.start() - window) : m.end() + window]) is not None  # noqa: B023, E731
+        sure = NAME_LISTED if f"{one} {two}".lower() in listed else NAME_BASE
+        sure += NAME_BOOST * near(_MAIL, MAIL_NEAR) + NAME_BOOST * near(SIGNATURE, SIGNATURE_NEAR)
+        out.append((f"{one} {two}", m.start(), m.end(), round(min(sure, NAME_MOST), 2)))
+    return out
+
+
+_NAMES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("confidence", T.DoubleType())]))
+
+
+def full_names(given, listed=()):
+    """The vectorised form, for lists of given and of known full names."""
+    first, known = frozenset(x.lower() for x in given), frozenset(x.lower() for x in listed)
+
+    @F.pandas_udf(_NAMES)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: person_names(x or "", first, known))
+
+    return run
+
+
+_WORD = "A-Za-zÁÉÍÓÖŐÚÜŰáéíóöőúüű0-9"
+_WORDS = re.compile(rf"[{_WORD}]{{2,}}")
+_NEXT = re.compile(rf"\b([{_WORD}]{{2,}})\s+([{_WORD}]{{2,}})\b")
+_CAPITALS = re.compile(rf"\b[{_UPPER}][\w-]*(?:\s+[{_UPPER}][\w-]*)*\b")
+
+
+def without_suffix(word: str, suffixes) -> str:
+    """A word less the longest suffix that leaves three letters or more."""
+    for x in sorted(suffixes, key=len, reverse=True):
+        if word.lower().endswith(x) and len(word) > len(x) + 2 and word[0].isalpha():
+            return word[: len(word) - len(x)]
+    return word
+
+
+def entity_candidates(question: str, stopwords: frozenset[str], suffixes=()) -> list[str]:
+    """What a question may be about, in order, each once: pairs of neighbouring words as written (a word is in one
+    pair only), runs of capitalised words without leading stop words, and all lower-cased pairs. A pair with a stop
+    word, or of fewer than five characters, doesn't count."""
+    bare = lambda w: without_suffix(w, suffixes)
+    stopped = lambda w: w.lower() in stopwords or bare(w).lower() in stopwords
+
+    def pairs(found):
+        for a, b in found:
+            if not stopped(a) and not stopped(b) and len(x := f"{bare(a)} {bare(b)}") >= 5:
+                yield x
+
+    out = list(pairs(_NEXT.findall(question)))
+    for m in _CAPITALS.finditer(question):
+        words = _WORDS.findall(m[0])
+        while words and stopped(words[0]):
+            words.pop(0)
+        if words:
+            out.append(" ".join(words))
+    low = _WORDS.findall(question.lower())
+    return list(dict.fromkeys([*out, *pairs(zip(low, low[1:], strict=False))]))
+
+
+def question_entities(stopwords, suffixes=()):
+    """The vectorised form, for lists of stop words and suffixes."""
+    stop = frozenset(x.lower() for x in stopwords)
+
+    @F.pandas_udf(_STRINGS)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: entity_candidates(x or "", stop, suffixes))
+
+    return run

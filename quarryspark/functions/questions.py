@@ -92,3 +92,8 @@ def merged_json(old: Column, patch: Column) -> Column:
     empty = F.create_map().cast(kind)
     a, b = (F.coalesce(F.from_json(x, kind), empty) for x in (old, patch))
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def point_payload(chunk: Column, base: Column, language: Column, source: Column, preview_chars: Column) -> Column:
+    """What an index stores beside a vector, as JSON in a fixed order."""
+    return F.to_json(F.struct(chunk.alias("chunk_id"), base.alias("knowledge_base_id"), F.coalesce(language, F.lit("unknown")).alias("language"), F.coalesce(source, F.lit("none")).alias("source"), F.lit("active").alias("status"), preview_chars.alias("preview_chars")))

@@ -139,25 +139,23 @@ def phrases(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){word}(?:\s{word}){{0,2}}(?![\p{{L}}\p{{N}}_])"), 0)
 
 
-def numeric_dates(text: Column) -> Column:
-    """Array of (raw, start) of dates written year, month, day."""
-    pattern = r"(?<!\d)\d{4}[./-]\s?\d{1,2}[./-]\s?\d{1,2}(?!\d)"
-    part = lambda x, k: F.regexp_extract(x, r"(\d{4})[./-]\s?(\d{1,2})[./-]\s?(\d{1,2})", k)
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.struct(x.alias("raw"), F.concat_ws("-", part(x, 1), F.lpad(part(x, 2), 2, "0"), F.lpad(part(x, 3), 2, "0")).alias("start")))
-
-
-def temporal_confidence(start: Column, kind: Column) -> Column:
-    return F.when(start.isNotNull(), 0.95).when(kind == "deadline", 0.8).otherwise(0.6)
-
-
 def steps(text: Column) -> Column:
     """Array of (order, step) of the numbered lines."""
-    lines = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\d+\.\s+.+)$"), 1)
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("step_order"), F.trim(F.regexp_replace(x, r"^\d+\.\s+", "")).alias("step_text")))
+    lines = F.regexp_extract_all(text, F.lit(r"(?m)^[^\S\n]*(\d+\.[^\S\n]+.+)$"), 1)
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("long").alias("step_order"), F.trim(F.regexp_replace(x, r"^\d+\.[^\S\n]+", "")).alias("step_text")))
 
 
 def checklist(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:[-*]|\[\s?\])\s+(.+)$"), 1), lambda x: F.trim(x))
+    """Texts of the lines that begin with a dash, a star or an empty box."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[^\S\n]*(?:[-*]|\[[^\S\n]?\])[^\S\n]+(.+)$"), 1), lambda x: F.trim(x))
+
+
+def process_items(text: Column) -> Column:
+    """Array of (kind, step_order, step_text, confidence): the steps of a text, or its checklist if it has none."""
+    found, checks = steps(text), checklist(text)
+    row = lambda kind, order, x, n: F.struct(F.lit(kind).alias("kind"), order.cast("long").alias("step_order"), x.alias("step_text"), process_confidence(n).alias("confidence"))
+    listed = F.transform(checks, lambda x, i: row("check", i + 1, x, F.size(checks)))
+    return F.when(F.size(found) > 0, F.transform(found, lambda s: row("step", s["step_order"], s["step_text"], F.size(found)))).otherwise(listed)
 
 
 def process_confidence(n: Column) -> Column:
@@ -281,3 +279,51 @@ def places(text: Column) -> Column:
 
     listed = [F.when(F.lower(text).contains(n), of(F.lit(n), kind)) for kind, names in (("city", CITIES), ("region", REGIONS)) for n in names]
     return F.concat(*[found(k, p) for k, p in patterns.items()], F.array_compact(F.array(*listed)))
+
+
+def blank_line_blocks(text: Column) -> Column:
+    """Blocks between blank lines, trimmed; none is empty."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda x: x != "")
+
+
+def ingest_normal(text: Column, most: int) -> Column:
+    """A text as it is taken in: no byte-order mark, line ends as LF, composed characters, at most ``most`` of them."""
+    bare = F.replace(F.replace(F.replace(text, F.lit("﻿"), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.substring(normal_form("NFC")(bare), 1, most)
+
+
+def lookup_normal(text: Column) -> Column:
+    """A name as it is compared: compatibility characters, lower-cased, white space single and trimmed."""
+    return F.btrim(F.regexp_replace(F.lower(normal_form("NFKC")(text)), r"\s+", " "))
+
+
+def mask_email_for_log(address: Column) -> Column:
+    """The log's mask: two characters of the name, and the last five of the domain."""
+    name, domain = F.substring_index(address, "@", 1), F.substr(address, F.instr(address, "@") + 1)
+    shown = F.when(F.length(domain) < 5, domain).otherwise(F.right(domain, F.lit(5)))
+    masked = F.concat(F.left(name, F.lit(2)), F.repeat(F.lit("*"), F.length(name) - 2), F.lit("@"), F.repeat(F.lit("*"), F.length(domain) - F.length(shown)), shown)
+    return F.when(address.contains("@") & (F.length(name) >= 4) & (domain != ""), masked).otherwise("[REDACTED]")
+
+
+def names_address(details: Column, address: str) -> Column:
+    """Whether details hold an address in any form that is written: as it is, its hash, either mask."""
+    low, given = F.lower(details), F.lit(address.strip().lower())
+    forms = (given, F.sha2(given, 256), mask_email(given), mask_email_for_log(given))
+    out = F.lit(False)
+    for x in forms:
+        out = out | F.contains(low, x)
+    return out
+
+
+def json_as(text: Column, path: str, kind: str) -> Column:
+    """A value of JSON in the wanted type; null if it is empty or isn't one."""
+    return F.nullif(F.get_json_object(text, path), F.lit("")).try_cast(kind)
+
+
+def extract_error(size: Column, pages: Column, parts: Column, longest: Column, seconds: Column, most_bytes: int = 1000 << 20, most_pages: int = 500, most_parts: int = 50_000, most_chars: int = 50_000, most_seconds: int = 600) -> Column:
+    """The first limit of an extraction that is passed; null if none is."""
+    return F.when(longest > most_chars, "PART_TOO_LONG").when(size > most_bytes, "TOO_LARGE").when(pages > most_pages, "TOO_MANY_PAGES").when(parts > most_parts, "TOO_MANY_PARTS").when(seconds > most_seconds, "TIMEOUT")
+
+
+def extract_state(items: Column, failed: Column, timed_out: Column) -> Column:
+    return F.when(failed == items, "FAILED").when(timed_out, "PARTIAL_TIMEOUT").when(failed > 0, "PARTIAL").otherwise("COMPLETED")

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Keys of a place that meet in one block of pairs.
+BLOCK = 2048
+
+
 def nest(rows: DataFrame, key: str, columns: Sequence[str], out: str) -> DataFrame:
     """One row for each key with its rows as a sorted array of structs."""
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(out))
@@ -35,10 +39,15 @@ def any_of(rows: DataFrame, candidates: Sequence[Column], element: str, other: D
 
 def co_occurring(rows: DataFrame, place: str, key: str, confidence: str) -> DataFrame:
     """Unordered pairs of keys that share a place: first place, number of places, least confidence."""
-    a = rows.select(place, F.col(key).alias("a"), F.col(confidence).alias("ca"))
-    b = rows.select(place, F.col(key).alias("b"), F.col(confidence).alias("cb"))
-    pairs = a.join(b, place).where(F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(F.min(place).alias("first_place"), F.countDistinct(place).alias("n_places"), F.min(F.least("ca", "cb")).alias("confidence"))
+    one = rows.groupBy(place, key).agg(F.min(confidence).alias("c"))  # repeats go before pairs are made
+    # A place's keys are dealt in blocks, and blocks meet in pairs: a large place is work for many tasks.
+    sized = one.join(one.groupBy(place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), place)
+    own = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
+    dealt = sized.select(place, F.col(key).alias("k"), "c", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    left, right = (dealt.select(place, "low", "high", F.col("k").alias(k), F.col("c").alias(f"c{k}"), F.col("own").alias(f"own{k}")) for k in ("a", "b"))
+    met = left.join(right, [place, "low", "high"]).where((F.col("a") < F.col("b")) & ((F.col("low") == F.col("high")) | (F.col("owna") != F.col("ownb"))))
+    return met.groupBy("a", "b").agg(F.min(place).alias("first_place"), F.count("*").alias("n_places"), F.min(F.least("ca", "cb")).alias("confidence"))
 
 
 def in_ranges(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, by: Sequence[str] = (), width: int = 1000) -> DataFrame:
@@ -93,3 +102,13 @@ def in_networks(addresses: DataFrame, address: str, networks: DataFrame, cidr: s
     lengths = F.array(*[F.lit(1 << k) for k in range(33)])
     spread = sized.withColumn("__size", F.explode(lengths)).withColumn("__low", F.col("__ip") - F.pmod("__ip", "__size"))
     return spread.join(nets, ["__size", "__low"]).drop("__size", "__low", "__ip")
+
+
+def close_pairs(words: DataFrame, word: str) -> DataFrame:
+    """(a, b) of distinct words one edit apart, a < b. Two such words share a form with one character left out (or
+    the word itself), so an equi join on those forms finds all candidates; the distance decides."""
+    cut = F.expr("transform(sequence(1, length(w)), i -> concat(substring(w, 1, i - 1), substring(w, i + 1)))")
+    distinct = words.select(F.col(word).alias("w")).where("length(w) > 0").distinct()
+    forms = distinct.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), cut))).alias("form"))
+    left, right = forms.select(F.col("w").alias("a"), "form"), forms.select(F.col("w").alias("b"), "form")
+    return left.join(right, "form").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b") <= 1)).select("a", "b").distinct()

@@ -118,9 +118,26 @@ def profile_confidence(content: Column, language: Column, keywords: Column, topi
     return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + boost)), 4)
 
 
-def person_names(docs: DataFrame, key: str, text: str, given: DataFrame) -> DataFrame:
-    """(key, name, confidence) of capitalised pairs whose first word is a given name; surer beside an e-mail address."""
-    pairs = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}])(?=(\p{Lu}[\p{Ll}]+ \p{Lu}?[\p{Ll}]+))\p{Lu}"), 1)
-    rows = docs.select(key, F.explode(F.array_distinct(pairs)).alias("name"), F.col(text).contains("@").alias("__mail"))
-    found = rows.withColumn("given", F.substring_index("name", " ", 1)).join(given, "given")
-    return found.select(key, "name", F.least(F.lit(0.85), 0.70 + F.when(F.col("__mail"), 0.05).otherwise(0.0)).alias("confidence"))
+def rule_rows(measures: Sequence[DataFrame], rules: Sequence[tuple[str, str, str | None, float | None, bool]]) -> DataFrame:
+    """(rule, priority, value, threshold, status) from frames of one row each with the measures; a rule triggers at its
+    threshold, or below it if its last field says so, and is unavailable without a measure."""
+    whole = reduce(lambda a, b: a.join(b, "__k"), [m.withColumn("__k", F.lit(1)) for m in measures])  # one row each
+
+    def row(rule, priority, measure, threshold, below):
+        value, least = (F.col(measure) if measure else F.lit(None).cast("double")), F.lit(threshold).cast("double")
+        hit = value < least if below else value >= least
+        status = F.when(value.isNull() | least.isNull(), "unavailable").when(hit, "triggered").otherwise("ok")
+        return F.struct(F.lit(rule).alias("rule"), F.lit(priority).alias("priority"), value.alias("value"), least.alias("threshold"), status.alias("status"))
+
+    return whole.select(F.explode(F.array(*[row(*r) for r in rules])).alias("r")).select("r.*")
+
+
+def chunk_edges(rows: DataFrame, kind: str, relation: str) -> DataFrame:
+    """Edges from things of a kind (``id``) to the chunks they stand in."""
+    return rows.select(F.lit(kind).alias("from_type"), F.col("id").alias("from_id"), F.lit(relation).alias("relation"), F.col("chunk").cast("string").alias("to_id"))
+
+
+def shared_chunk_edges(a: DataFrame, b: DataFrame, kind: str, relation: str) -> DataFrame:
+    """Edges from things to others of the same chunk, once for each chunk that they share."""
+    both = a.select("chunk", F.col("id").alias("from_id")).distinct().join(b.select("chunk", F.col("id").alias("to_id")).distinct(), "chunk")
+    return both.select(F.lit(kind).alias("from_type"), "from_id", F.lit(relation).alias("relation"), "to_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], version: str) ->
     return latest(old.unionByName(new), key, [F.desc(version)])
 
 
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows numbered in order within each group."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
 def keyset_page(rows: DataFrame, ts: str, key: str, cursor: tuple[str, int] | None, size: int) -> DataFrame:
     """A page of the newest rows before a cursor, and whether there is one after it: one row more is read."""
     if cursor:
@@ -118,35 +124,39 @@ def without_overlaps(spans: DataFrame, by: Sequence[str], start: str, end: str,
 
 
 def admitted(items: DataFrame, by: str, order: str, size: str, limit: int) -> DataFrame:
-    """Items in order; one that would exceed the limit is flagged, and doesn't count for the next."""
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n"))
-    state = "struct<total:bigint,rows:array<struct<o:bigint,n:bigint,fits:boolean>>>"
-
-    def step(acc, x):
-        fits = acc["total"] + x["n"] <= limit
-        row = F.struct(x["o"].cast("bigint").alias("o"), x["n"].alias("n"), fits.alias("fits"))
-        return F.struct(F.when(fits, acc["total"] + x["n"]).otherwise(acc["total"]).alias("total"), F.concat(acc["rows"], F.array(row)).alias("rows")).cast(state)
-
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<o:bigint,n:bigint,fits:boolean>>").alias("rows"))
-    groups = items.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    done = groups.select(by, F.explode(F.aggregate("x", start, step)["rows"]).alias("r"))
-    return done.select(by, F.col("r.o").alias(order), F.col("r.n").alias(size), F.col("r.fits").alias("fits"))
-
-
-def heading_paths(lines: DataFrame, by: str, order: str, level: str, title: str) -> DataFrame:
-    """For each line the stack of headings above it: a heading drops those of its own and deeper levels."""
-    item = F.struct(F.col(order).alias("o"), F.col(level).cast("int").alias("l"), F.col(title).alias("t"))
-    stack = "array<struct<l:int,t:string>>"
-    state = f"struct<stack:{stack},rows:array<struct<o:bigint,path:array<string>>>>"
-
-    def step(acc, x):
-        now = F.when(x["l"].isNull(), acc["stack"]).otherwise(F.concat(F.filter(acc["stack"], lambda h: h["l"] < x["l"]), F.array(F.struct(x["l"].alias("l"), x["t"].alias("t")))))
-        row = F.struct(x["o"].cast("bigint").alias("o"), F.transform(now, lambda h: h["t"]).alias("path"))
-        return F.struct(now.alias("stack"), F.concat(acc["rows"], F.array(row)).alias("rows")).cast(state)
-
-    start = F.struct(F.array().cast(stack).alias("stack"), F.array().cast("array<struct<o:bigint,path:array<string>>>").alias("rows"))
-    docs = lines.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    return docs.select(by, F.explode(F.aggregate("x", start, step)["rows"]).alias("r")).select(by, F.col("r.o").alias(order), "r.path")
+    """Items in order; one that would exceed the limit is flagged, and doesn't count for the next. A walk over sorted
+    partitions that keeps one sum for the group at hand, so groups of any size pass in batches."""
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+
+    def run(batches):
+        at, total = object(), 0
+        for pdf in batches:
+            fits = []
+            for group, n in zip(pdf[by], pdf[size], strict=True):
+                group = None if pd.isna(group) else group
+                if group != at:
+                    at, total = group, 0
+                fits.append(bool(total + n <= limit))
+                total += n if fits[-1] else 0
+            yield pdf.assign(fits=fits)
+
+    rows = items.select(by, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size)).repartition(by).sortWithinPartitions(by, order, size)
+    return rows.mapInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, {size} long, fits boolean")
+
+
+def heading_paths(lines: DataFrame, by: str, order: str, level: str, title: str, levels: int = 6) -> DataFrame:
+    """For each line the stack of headings above it: a heading drops those of its own and deeper levels. The newest
+    heading of each level counts if no higher one came after it: a window for each level, no list."""
+    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    newest = [F.last(F.when(F.col(level) == k, F.struct(F.col(order).alias("o"), F.col(title).alias("t"))), ignorenulls=True).over(w).alias(f"__{k}") for k in range(1, levels + 1)]
+    rows = lines.select(by, order, *newest)
+    held = []
+    for k in range(1, levels + 1):
+        above = [F.col(f"__{j}.o") for j in range(1, k)]
+        last = F.greatest(*above) if len(above) > 1 else above[0] if above else None
+        fits = F.col(f"__{k}").isNotNull() if last is None else F.col(f"__{k}").isNotNull() & (last.isNull() | (F.col(f"__{k}.o") > last))
+        held.append(F.when(fits, F.col(f"__{k}.t")))
+    return rows.select(by, order, F.array_compact(F.array(*held)).alias("path"))
 
 
 def retry_state(attempts: Column, failed_at: Column, delay_seconds: int, most: int) -> tuple[Column, Column]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,10 +28,18 @@ def vector_top_k(points: DataFrame, queries: DataFrame, k: int, by: Sequence[str
     """Exact cosine search of a stated set of queries: all points pass by once, filtered by the ``by`` columns
     first. The queries are counted, and are broadcast up to ``max_queries``; each partition of the points keeps
     its ``k`` best for a query before anything is shuffled. A filter key is an equi join."""
-    p = points.withColumn(vector, unit(F.col(vector)))
-    q = queries.withColumn(query_vector, unit(F.col(query_vector)))
-    side = F.broadcast(q) if queries.count() <= max_queries else q
-    pairs = p.join(side, list(by)) if by else p.withColumn("__one", F.lit(1)).join(side.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    p, q = points.withColumn(vector, unit(F.col(vector))), queries.withColumn(query_vector, unit(F.col(query_vector)))
+    if (n := queries.count()) <= max_queries:
+        side = F.broadcast(q)
+        pairs = p.join(side, list(by)) if by else p.join(F.broadcast(q.groupBy().agg(F.collect_list(F.struct(*queries.columns)).alias("__qs"))), F.lit(True)).withColumn("__q", F.explode("__qs")).select(*points.columns, "__q.*")
+    else:
+        # Blocks of queries meet blocks of points: each query goes to every block of points, a point's block to each of queries.
+        deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        m, k_blocks = math.ceil(n / max_queries), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = p.withColumn("__pb", deal(key, k_blocks)).withColumn("__qb", every(m))
+        right = q.withColumn("__qb", deal(query_key, m)).withColumn("__pb", every(k_blocks))
+        pairs = left.join(right, [*by, "__pb", "__qb"]).drop("__pb", "__qb")
     scored = pairs.where(F.col(key) != F.col(query_key)).withColumn("score", F.round(inner_product(F.col(vector), F.col(query_vector)), 6)).drop(vector, query_vector)
     w = W.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -74,3 +84,22 @@ def sources(hits: DataFrame, by: str, key: Sequence[str], rank: str, k: int = 8)
 
 def blocking_reasons(checks: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in checks.items()]))
+
+
+def nearness(a: Column, b: Column, metric: str) -> Column:
+    """Inner product, cosine or Euclidean distance of two vectors, in double precision."""
+    dot = inner_product
+    if metric == "dot":
+        return dot(a, b)
+    if metric == "euclid":
+        gap = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+        return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x))
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
+
+
+def merged_packets(lists: Sequence[DataFrame], by: str, kind: str, score: str, key: str, caps: dict[str, int], cap: int) -> DataFrame:
+    """Lists of packets as one, those at or above their group's floor, at most so many of each kind, best first."""
+    rows = packet_floor(reduce(lambda a, b: a.unionByName(b), lists), by, score)
+    most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(kind)), F.lit(cap)) if caps else F.lit(cap)
+    w = W.partitionBy(by, kind).orderBy(F.desc(score), key)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

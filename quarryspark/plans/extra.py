@@ -13,23 +13,26 @@ from .registry import query
 c = F.col
 
 
-@query("""WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'what was on 2023-0' || (doc_id % 9 + 1) || '-15 here' WHEN 1 THEN 'summary of 2022-0' || (doc_id % 9 + 1) WHEN 2 THEN 'all of ' || (2000 + doc_id % 20) ELSE 'no time' END AS x FROM documents),
-  f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN strptime(substr(x, 13, 10), '%Y-%m-%d') WHEN 1 THEN strptime(substr(x, 12, 7) || '-01', '%Y-%m-%d') WHEN 2 THEN strptime(substr(x, 8, 4) || '-01-01', '%Y-%m-%d') END AS a FROM q)
-  SELECT doc_id, a AS valid_from, CASE doc_id % 4 WHEN 0 THEN a + INTERVAL 1 DAY WHEN 1 THEN a + INTERVAL 1 MONTH WHEN 2 THEN a + INTERVAL 1 YEAR END - INTERVAL 1 SECOND AS valid_to FROM f""")
+_DAY, _MONTH, _YEAR = (r"(^|[^0-9])((?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})([^0-9]|$)", r"(^|[^0-9])((?:19|20)[0-9]{2}-[0-9]{2})([^0-9]|$)", r"(^|[^0-9])((?:19|20)[0-9]{2})([^0-9]|$)")
+
+
+@query(f"""WITH q AS (SELECT doc_id, nullif(regexp_extract(text, '{_DAY}', 2), '') AS d, nullif(regexp_extract(text, '{_MONTH}', 2), '') AS m, nullif(regexp_extract(text, '{_YEAR}', 2), '') AS y FROM documents),
+  f AS (SELECT doc_id, d, m, coalesce(TRY_CAST(d AS DATE), TRY_CAST(m || '-01' AS DATE), TRY_CAST(y || '-01-01' AS DATE))::TIMESTAMP AS a FROM q)
+  SELECT doc_id, a AS valid_from, CASE WHEN d IS NOT NULL THEN a + INTERVAL 1 DAY WHEN m IS NOT NULL THEN a + INTERVAL 1 MONTH ELSE a + INTERVAL 1 YEAR END - INTERVAL 1 SECOND AS valid_to FROM f""")
 def question_time_window(t):
-    d = c("doc_id")
-    x = F.when(d % 4 == 0, F.concat(F.lit("what was on 2023-0"), d % 9 + 1, F.lit("-15 here"))).when(d % 4 == 1, F.concat(F.lit("summary of 2022-0"), d % 9 + 1)).when(d % 4 == 2, F.concat(F.lit("all of "), 2000 + d % 20)).otherwise("no time")
-    w = Q.time_window(x)
+    """The first day, month or year that stands in each whole text."""
+    w = Q.time_window(c("text"))
     return t.documents.select("doc_id", w["from"].alias("valid_from"), w["to"].alias("valid_to"))
 
 
-_ASKED = "CASE doc_id % 5 WHEN 0 THEN 'Mikor volt?' WHEN 1 THEN 'Milyen KAPCSOLAT van' WHEN 2 THEN 'mennyi az ára' WHEN 3 THEN 'ki vezet itt' ELSE 'tell me' END"
+_INTENT = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in Q.INTENTS) + " ELSE 'summary' END"
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'timeline' WHEN 1 THEN 'relation' WHEN 2 THEN 'attribute' WHEN 3 THEN 'activity' ELSE 'summary' END AS intent, CASE doc_id % 5 WHEN 0 THEN 'timeline_first' WHEN 1 THEN 'entity_first' WHEN 2 THEN 'entity_first' ELSE CASE WHEN doc_id % 2 = 0 THEN 'entity_first' ELSE 'assertion_first' END END AS mode FROM documents")
+@query(f"""WITH i AS (SELECT conv_id, turn, {_INTENT} AS intent, length(text) % 2 = 0 AS heavy FROM conversations WHERE role = 'user')
+  SELECT conv_id, turn, intent, CASE WHEN intent = 'timeline' THEN 'timeline_first' WHEN intent IN ('relation', 'attribute') OR heavy THEN 'entity_first' ELSE 'assertion_first' END AS mode FROM i""")
 def question_intent(t):
-    kind = Q.intent(F.expr(_ASKED))
-    return t.documents.select("doc_id", kind.alias("intent"), Q.retrieval_mode(kind, c("doc_id") % 2 == 0).alias("mode"))
+    kind = Q.intent(c("text"))
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", kind.alias("intent"), Q.retrieval_mode(kind, F.length("text") % 2 == 0).alias("mode"))
 
 
 @query("""SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ',') AS terms FROM (SELECT conv_id, turn, (list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+'), lambda x: length(x) >= 4 AND x NOT IN ('with', 'that')))[1:8] AS w FROM conversations WHERE role = 'user')""")
@@ -37,9 +40,9 @@ def question_hint_terms(t):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", F.array_join(Q.hint_terms(c("text"), ("with", "that")), ",").alias("terms"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'hu,en' WHEN 1 THEN 'es' ELSE '' END AS hints FROM documents")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'en' || CASE WHEN source = 'src0' THEN ',hu' ELSE '' END WHEN 'es' THEN 'es' || CASE WHEN source = 'src0' THEN ',hu' ELSE '' END ELSE CASE WHEN source = 'src0' THEN 'hu' ELSE '' END END AS hints FROM documents")
 def language_hint_codes(t):
-    raw = F.when(c("doc_id") % 3 == 0, "hun+ENG+hu").when(c("doc_id") % 3 == 1, " spa +xyz").otherwise("xx")
+    raw = F.concat(F.upper("lang"), F.lit("+ "), F.when(c("source") == "src0", "hun").otherwise("xx"), F.lit("+"), c("lang"))
     return t.documents.select("doc_id", F.array_join(Q.language_hints(raw), ",").alias("hints"))
 
 
@@ -71,13 +74,13 @@ def json_patch_merge(t):
     return t.events.select("event_id", F.element_at(m, "k").alias("k"), F.element_at(m, "extra").alias("extra"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM l""")
+@query("""WITH l AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM l""")
 def section_titles(t):
     """The nearest heading at or before each part."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return t.conversations.select("conv_id", "turn", F.last(F.when(c("role") == "system", F.substring("text", 1, 40)), ignorenulls=True).over(w).alias("section"))
+    return t.conversations.select("conv_id", "turn", F.last(F.when(c("role") == "system", c("text")), ignorenulls=True).over(w).alias("section"))
 
 
 @query("""SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL AND (lang = 'en') AND source = 'src0'""")
@@ -101,11 +104,13 @@ def issue_filters(t):
     return rows.select("o_orderkey")
 
 
-@query("""SELECT vec_id, label, json_object('chunk_id', vec_id, 'kb', label, 'preview', substr(text, 1, 500))::VARCHAR IS NOT NULL AS built, length(coalesce(substr(text, 1, 500), '')) AS preview_chars FROM embeddings LEFT JOIN documents ON doc_id = vec_id""")
+@query("""SELECT vec_id, sha256('{"chunk_id":' || vec_id || ',"knowledge_base_id":' || label || ',"language":"' || coalesce(lang, 'unknown') || '","source":"' || coalesce(source, 'none') || '","status":"active","preview_chars":' || length(coalesce(substr(text, 1, 500), '')) || '}') AS payload_hash, coalesce(substr(text, 1, 500), '') AS preview
+  FROM embeddings LEFT JOIN documents ON doc_id = vec_id""")
 def index_payload(t):
-    rows = t.embeddings.join(t.documents, c("vec_id") == c("doc_id"), "left")
-    payload = F.to_json(F.struct(c("vec_id").alias("chunk_id"), c("label").alias("kb"), F.substring("text", 1, 500).alias("preview")))
-    return rows.select("vec_id", "label", payload.isNotNull().alias("built"), F.length(F.coalesce(F.substring("text", 1, 500), F.lit(""))).cast("long").alias("preview_chars"))
+    """What is stored beside a vector, with a preview of 500 characters."""
+    rows = t.embeddings.join(t.documents, c("vec_id") == c("doc_id"), "left").withColumn("preview", F.coalesce(F.substring("text", 1, 500), F.lit("")))
+    payload = Q.point_payload(c("vec_id"), c("label"), c("lang"), c("source"), F.length("preview"))
+    return rows.select("vec_id", F.sha2(payload, 256).alias("payload_hash"), "preview")
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars > 15000 THEN 'PART_TOO_LONG' WHEN len(string_split(text, chr(10))) > 60 THEN 'TOO_MANY_PARTS' END AS error FROM documents WHERE n_chars > 15000 OR len(string_split(text, chr(10))) > 60""")
@@ -142,15 +147,15 @@ def place_mentions(t):
     return t.documents.select("doc_id", F.explode(X.places(c("text"))).alias("p")).select("doc_id", "p.*")
 
 
-@query()
+@query("""SELECT doc_id, sha256('{"item":' || doc_id || ',"path":["' || source || '"],"title":"' || lang || '","parts":[' || n_chars || ']}') AS h FROM documents""")
 def chunk_parent_hash(t):
     return t.documents.select("doc_id", Q.section_hash(c("doc_id"), F.array("source"), c("lang"), F.array("n_chars")).alias("h"))
 
 
-@query()
+@query("""WITH new AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), k AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM new)) SELECT * FROM k UNION ALL SELECT o_orderkey, o_custkey, 'N' FROM new""")
 def replace_for_key(t):
     """Rows of the replaced keys go, and the new ones come: an anti join and a union."""
-    new = t.orders.where("o_orderkey < 100").withColumn("o_orderstatus", F.lit("N"))
+    new = t.orders.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("N"))
     return t.orders.join(new.select("o_custkey").distinct(), "o_custkey", "left_anti").unionByName(new).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
@@ -161,7 +166,7 @@ def ranked_previews(t):
     return top_per_group(t.customer, ["c_nationkey"], [F.desc("c_acctbal"), c("c_custkey")], 3).select("c_custkey", "c_acctbal", "rank")
 
 
-@query()
+@query("""SELECT event_id, ts, to_base64(('{"ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || rtrim(rtrim('.' || strftime(ts, '%f'), '0'), '.') || '","id":' || event_id || '}')::BLOB) AS cursor FROM events ORDER BY ts, event_id LIMIT 10""")
 def page_cursors(t):
     rows = t.events.orderBy("ts", "event_id").limit(10)
-    return rows.select("event_id", "ts", O.cursor_text(c("ts"), c("event_id")).alias("cursor"))
+    return rows.select("event_id", "ts", F.regexp_replace(O.cursor_text(c("ts"), c("event_id")), r"\s", "").alias("cursor"))

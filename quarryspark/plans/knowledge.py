@@ -157,9 +157,3 @@ def company_mentions(t):
     from ..functions.folds import companies
 
     return t.documents.select("doc_id", F.explode(companies("text")).alias("company"))
-
-
-@query()
-def person_mentions(t):
-    """Pairs of capitalised words whose first is a known given name."""
-    return K.person_names(t.documents, "doc_id", "text", t.spark.createDataFrame([("The",), ("Of",), ("Des",)], "given string"))

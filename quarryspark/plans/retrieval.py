@@ -13,7 +13,7 @@ c = F.col
 _N = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 _U = f"list_transform(embedding, lambda x: x::DOUBLE / {_N})"
 _DOT = "list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * q[i]))"
-_V = f"p AS (SELECT vec_id, label, {_U} AS v FROM embeddings), qs AS (SELECT vec_id AS query_id, label, v AS q FROM p WHERE vec_id < 20)"
+_V = f"p AS (SELECT vec_id, label, {_U} AS v FROM embeddings), qs AS (SELECT vec_id AS query_id, label, v AS q FROM p WHERE vec_id % 50 = 0)"
 _TOP = f"{_V}, s AS (SELECT query_id, vec_id, round({_DOT}, 6) AS score FROM p JOIN qs USING (label) WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"
 
 
@@ -22,7 +22,7 @@ def _points(t):
 
 
 def _queries(t):
-    return t.embeddings.where("vec_id < 20").select(c("vec_id").alias("query_id"), "label", c("embedding").alias("q"))
+    return t.embeddings.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "label", c("embedding").alias("q"))
 
 
 def _knowledge(t):
@@ -59,22 +59,24 @@ def hydrated_hits(t):
 
 
 def _ranked(documents):
-    from pyspark.sql import Window as W
-
-    rows = documents.select((c("doc_id") % 20).alias("query_id"), "doc_id", "text", "source")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")))
+    """Every document as a hit of some query, six to a query."""
+    rows = documents.select(F.floor(c("doc_id") / 6).alias("query_id"), "doc_id", "text", "source")
+    return O.ranked(rows, ["query_id"], ["doc_id"])
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id // 6 AS query_id, doc_id, length(text) AS n, row_number() OVER (PARTITION BY doc_id // 6 ORDER BY doc_id) AS k FROM documents),
+  w AS (SELECT query_id, list(n ORDER BY k) AS ns, list(doc_id ORDER BY k) AS ds FROM r WHERE k <= 6 GROUP BY 1),
+  s AS (SELECT query_id, ds, list_reduce(list_prepend([0::BIGINT], list_transform(ns, lambda x: [x])), lambda a, x: list_append(a, least(x[1], greatest(120, 4000 - list_sum(a))))) AS us FROM w)
+  SELECT query_id, ds[i] AS doc_id, i::INTEGER AS block, us[i + 1]::INTEGER AS used FROM (SELECT *, unnest(range(1, len(ds) + 1)) AS i FROM s)""")
 def context_budget(t):
     return O.context_blocks(_ranked(t.documents), ["query_id"], "rank", "text", "doc_id").select("query_id", "doc_id", "block", "used")
 
 
-@query("""WITH r AS (SELECT doc_id % 20 AS query_id, doc_id, source, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH r AS (SELECT doc_id // 6 AS query_id, doc_id, source, row_number() OVER (PARTITION BY doc_id // 6 ORDER BY doc_id) AS rank FROM documents),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM f WHERE n = 1)
   SELECT query_id, doc_id, position::INTEGER AS position, 'c' || query_id || '-' || rank AS citation_id, '/api/kb/items/' || source || '/download' AS download_url FROM p WHERE position <= 8""")
 def source_list(t):
-    kept = R.sources(_ranked(t.documents.where("doc_id % 3 = 0")), "query_id", ["source"], "rank")
+    kept = R.sources(_ranked(t.documents), "query_id", ["source"], "rank")
     return R.citations(kept, "query_id", "rank", "source").select("query_id", "doc_id", "position", "citation_id", "download_url")
 
 

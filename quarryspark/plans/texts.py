@@ -80,28 +80,6 @@ def identifier_mentions(t):
     return t.documents.select("doc_id", F.explode(X.identifiers(c("text"))).alias("x")).groupBy("doc_id", "x.kind", "x.name").agg(F.count("*").alias("n")).select("doc_id", "kind", "name", "n")
 
 
-@query("""WITH u AS (SELECT doc_id, unnest(regexp_extract_all('from ' || strftime(DATE '2024-01-01' + doc_id::INTEGER, '%Y-%m-%d') || ' to ' || strftime(DATE '2023-02-01' + doc_id::INTEGER, '%Y. %m. %d') || ' .', '\\d{4}[./-]\\s?\\d{1,2}[./-]\\s?\\d{1,2}')) AS raw FROM documents)
-  SELECT doc_id, raw, regexp_extract(raw, '(\\d{4})', 1) || '-' || lpad(regexp_extract(raw, '\\d{4}[./-]\\s?(\\d{1,2})', 1), 2, '0') || '-' || lpad(regexp_extract(raw, '(\\d{1,2})$', 1), 2, '0') AS start, 0.95::DOUBLE AS confidence FROM u""")
-def date_mentions(t):
-    day = lambda first, form: F.date_format(F.date_add(F.lit(first).cast("date"), c("doc_id").cast("int")), form)
-    text = F.concat(F.lit("from "), day("2024-01-01", "yyyy-MM-dd"), F.lit(" to "), day("2023-02-01", "yyyy. MM. dd"), F.lit(" ."))
-    found = t.documents.select("doc_id", F.explode(X.numeric_dates(text)).alias("x")).select("doc_id", "x.raw", "x.start")
-    return found.withColumn("confidence", X.temporal_confidence(c("start"), F.lit("date")))
-
-
-_STEPS = "'Process: onboarding' || chr(10) || '1. open the file ' || doc_id || chr(10) || '2. check it' || chr(10) || 'owner: team ' || doc_id % 5"
-
-
-@query(f"""WITH d AS (SELECT doc_id, {_STEPS} AS x FROM documents) SELECT doc_id, 1 AS step_order, 'open the file ' || doc_id AS step_text, 'onboarding' AS process_name, 'team ' || doc_id % 5 AS owner, 0.6::DOUBLE AS confidence FROM d
-  UNION ALL SELECT doc_id, 2, 'check it', 'onboarding', 'team ' || doc_id % 5, 0.6 FROM d""")
-def process_steps(t):
-    text = F.concat(F.lit("Process: onboarding\n1. open the file "), c("doc_id"), F.lit("\n2. check it\nowner: team "), c("doc_id") % 5)
-    rows = t.documents.select("doc_id", text.alias("x")).withColumn("s", X.steps(c("x")))
-    name = F.trim(F.regexp_extract("x", r"(?i)(?:folyamat|process|eljárás|workflow)[^\S\n]*:?[^\S\n]*([\p{L}\p{N}_ .-]+)", 1))
-    owner = F.trim(F.regexp_extract("x", r"(?i)(?:felelős|owner|responsible)[^\S\n]*:?[^\S\n]*([\p{L}\p{N}_ .-]+)", 1))
-    return rows.select("doc_id", F.inline("s"), name.alias("process_name"), owner.alias("owner"), X.process_confidence(F.size("s")).alias("confidence"))
-
-
 @query("""SELECT c_custkey, CASE WHEN strpos(e, '@') > 0 THEN substr(split_part(e, '@', 1), 1, 1) || repeat('*', greatest(length(split_part(e, '@', 1)) - 1, 1)) || '@' || split_part(e, '@', 2) ELSE '***' END AS masked
   FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_name ELSE lower(c_mktsegment) || c_custkey || '@example.com' END AS e FROM customer)""")
 def email_mask(t):
@@ -142,14 +120,21 @@ def edit_distance_pairs(t):
     return a.join(b, "n_regionkey").where((c("ka") < c("kb")) & (F.levenshtein("a", "b") <= 4)).select("a", "b")
 
 
-@query("""SELECT doc_id, strip_accents(substr(text, 1, 200)) AS folded FROM documents WHERE lang IN ('fr', 'es')""")
+@query("""SELECT doc_id, sha256(strip_accents(text)) AS folded FROM documents""")
 def accent_fold(t):
-    return t.documents.where(c("lang").isin("fr", "es")).select("doc_id", X.fold_accents(F.substring("text", 1, 200)).alias("folded"))
+    return t.documents.select("doc_id", F.sha2(X.fold_accents(c("text")), 256).alias("folded"))
 
 
-@query("""WITH p AS (SELECT doc_id, substr(text, 1, 60) AS a, substr(text, 1, 300) AS b FROM documents) SELECT doc_id, strpos(lower(b), lower(a)) > 0 AS repeats FROM p""")
+_WORDS_OF = "list_distinct(string_split_regex(lower({}), '\\s+'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS a FROM pages), j AS (SELECT page_id, a, coalesce(text, '') AS b FROM p LEFT JOIN documents ON doc_id = page_id)
+  SELECT page_id, contains(lower(b), lower(a)) OR contains(lower(a), lower(b)) OR len(list_intersect({_WORDS_OF.format("a")}, string_split_regex(lower(b), '\\s+')))::DOUBLE / len({_WORDS_OF.format("a")}) >= 0.9::DOUBLE AS repeats FROM j""")
 def ocr_duplicate(t):
-    return t.documents.select("doc_id", X.ocr_repeats(F.substring("text", 1, 60), F.substring("text", 1, 300)).alias("repeats"))
+    """Whether a page's whole text says nothing that the document of its number doesn't."""
+    bare = t.pages.select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("a"))
+    both = bare.join(t.documents.select(c("doc_id").alias("page_id"), "text"), "page_id", "left").withColumn("b", F.coalesce("text", F.lit("")))
+    return both.select("page_id", X.ocr_repeats(c("a"), c("b")).alias("repeats"))
 
 
 @query("""SELECT doc_id, CASE WHEN count(*) FILTER (bad) = count(*) THEN 'FAILED' WHEN count(*) FILTER (bad) > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status
@@ -174,11 +159,15 @@ def chunk_overlap_split(t):
     return t.documents.select("doc_id", F.posexplode(overlapping_parts("text")).alias("part", "text"))
 
 
-@query()
+@query(f"""WITH {_LINES}, h AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-ZÀ-Ý][^.!?]*$') AND length(line) <= 120 THEN 1 + line_no % 3 END AS l FROM lines),
+  n AS (SELECT doc_id, line_no, max(CASE WHEN l = 1 THEN line_no END) OVER w AS a, max(CASE WHEN l = 2 THEN line_no END) OVER w AS b, max(CASE WHEN l = 3 THEN line_no END) OVER w AS d FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+  k AS (SELECT doc_id, line_no, a, CASE WHEN a IS NULL OR b > a THEN b END AS b, CASE WHEN (a IS NULL OR d > a) AND (b IS NULL OR d > b) THEN d END AS d FROM n)
+  SELECT k.doc_id, k.line_no::INTEGER AS line_no, concat_ws(' > ', x.line, y.line, z.line) AS path FROM k LEFT JOIN lines x ON x.doc_id = k.doc_id AND x.line_no = a LEFT JOIN lines y ON y.doc_id = k.doc_id AND y.line_no = b LEFT JOIN lines z ON z.doc_id = k.doc_id AND z.line_no = d""")
 def heading_path(t):
-    rows = _lines(t)
-    level = F.when(X.block_type(c("line"), F.lit(False)) == "heading", 1 + c("line_no") % 3)
-    return O.heading_paths(rows.withColumn("level", level), "doc_id", "line_no", "level", "line").select("doc_id", "line_no", F.array_join("path", " > ").alias("path"))
+    """Short lines that begin with a capital and hold no sentence, as headings of three levels in turn."""
+    title = c("line").rlike("^[A-ZÀ-Ý][^.!?]*$") & (F.length("line") <= 120)
+    rows = _lines(t).withColumn("level", F.when(title, 1 + c("line_no") % 3))
+    return O.heading_paths(rows, "doc_id", "line_no", "level", "line").select("doc_id", "line_no", F.array_join("path", " > ").alias("path"))
 
 
 @query()
@@ -188,11 +177,14 @@ def span_deoverlap(t):
     return O.without_overlaps(spans, ["doc_id"], "s", "e", [-(c("e") - c("s")), c("s")])
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+  r AS (SELECT source, doc_id, n_chars, k, n_chars <= 60000 AS fits, CASE WHEN n_chars <= 60000 THEN n_chars ELSE 0 END AS total FROM d WHERE k = 1
+   UNION ALL SELECT d.source, d.doc_id, d.n_chars, d.k, r.total + d.n_chars <= 60000, CASE WHEN r.total + d.n_chars <= 60000 THEN r.total + d.n_chars ELSE r.total END FROM r JOIN d ON d.source = r.source AND d.k = r.k + 1)
+  SELECT source, doc_id, n_chars, fits FROM r""")
 def batch_admission(t):
     return O.admitted(t.documents, "source", "doc_id", "n_chars", 60000).select("source", "doc_id", "n_chars", "fits")
 
 
-@query()
+@query("""SELECT doc_id, sha256(nfc_normalize(text)) AS nfc FROM documents""")
 def unicode_normal_forms(t):
-    return t.documents.select("doc_id", F.sha2(X.normal_form("NFC")(c("text")), 256).alias("nfc"), F.sha2(X.normal_form("NFKC")(c("text")), 256).alias("nfkc"))
+    return t.documents.select("doc_id", F.sha2(X.normal_form("NFC")(c("text")), 256).alias("nfc"))

@@ -36,7 +36,6 @@ def test_content_types(spark):
 def test_identifiers_and_dates(spark):
     got = one(spark, X.identifiers(F.lit("mail a.b@x.org or https://x.org/a?b=1, ticket AB-12, INV-2024-7")))
     assert {(r.kind, r.name) for r in got} >= {("email", "a.b@x.org"), ("url", "https://x.org/a?b=1"), ("ticket_id", "AB-12"), ("invoice_number", "INV-2024-7")}
-    assert [r.start for r in one(spark, X.numeric_dates(F.lit("on 2024-1-5 and 2023/12/31.")))] == ["2024-01-05", "2023-12-31"]
 
 
 def test_overlapping_parts():
