@@ -10,6 +10,7 @@ codes, so the events are counted exactly for each (code, outcome), and each grad
 computed from those counts, in parallel over blocks of codes; the driver sums the blocks' gradients and updates
 the weights. Scoring computes the distributions of the contexts that a batch holds, once each, in numpy.
 
+Texts are split for the counts, and once more for the numbers of their words, which all later passes read.
 Counts of tokens cover everything too. Tokens above a count that at most ``HEAD`` tokens reach are looked up
 in a broadcast table of that bounded size; all others are joined with the full table of counts.
 
@@ -195,39 +196,65 @@ def _k_means(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20) -> np.
     return at
 
 
-def _flat(texts, vocabulary: Vocabulary, outside=None):
-    """Model words of many texts in one array, three PADs before each; with ``outside``, it is called for each
-    text with (text number, head places, tokens outside)."""
-    parts = []
-    for k, text in enumerate(texts):
-        parts.append(np.full(3, PAD, dtype=np.int16))
-        for tokens in _pieces(text):
-            words, at, out = vocabulary.look_up(tokens)
-            parts.append(words)
-            if outside:
-                outside(k, at, [tokens[i] for i in out.tolist()])
+def _flat(words: list[bytes]) -> np.ndarray:
+    """Model words of many texts in one array, three PADs before each."""
+    pads = np.full(3, PAD, dtype=np.int16)
+    parts = [x for w in words for x in (pads, np.frombuffer(w, dtype=np.int16))]
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
 
 
-def _texts(batches, column="text", docs=64):
-    """Lists of about as many texts, less if they are long."""
+def _texts(batches, column="words", docs=64):
+    """Lists of about as many texts."""
     for batch in batches:
         for at in range(0, batch.num_rows, docs):
             yield batch.slice(at, docs), batch.column(column).slice(at, docs).to_pylist()
 
 
+_TAIL = "struct<token:binary,tf:bigint>"
+
+
+def _tokenised(vocabulary):
+    """For each text: its model words, tokens, the sums of the counts' logs over head tokens, and of those that are in
+    groups, and the tokens outside the head. Texts are looked up here, once; all later passes read numbers."""
+
+    def run(batches):
+        v, row = vocabulary.value, (TaskContext.get().partitionId() << 36)
+        for part, texts in _texts(batches, "text"):
+            n = len(texts)
+            n_tokens, n_head, head, grouped = (np.zeros(n, dtype=t) for t in (np.int64, np.int64, np.float64, np.float64))
+            words, outside = [], [Counter() for _ in texts]
+            for k, text in enumerate(texts):
+                own = []
+                for tokens in _pieces(text):
+                    w, at, out = v.look_up(tokens)
+                    own.append(w.astype(np.int16, copy=False).tobytes())
+                    inside = at[at >= 0]
+                    logs = v.log_count[inside]
+                    n_tokens[k] += len(at)
+                    n_head[k] += len(inside)
+                    head[k] += logs.sum()
+                    grouped[k] += logs[inside >= WORDS].sum()
+                    outside[k].update([tokens[i] for i in out.tolist()])
+                words.append(b"".join(own))
+            tail = pa.array([[{"token": t, "tf": f} for t, f in x.items()] for x in outside], pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens), pa.array(n_head), pa.array(head), pa.array(grouped), pa.array(words, pa.binary()), tail], names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_log", "group_log", "words", "tail"])
+            row += n
+
+    return run
+
+
 def _sparse(counts: np.ndarray, first: int = 0) -> pa.RecordBatch:
     at = np.flatnonzero(counts)
     return pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(counts[at].astype(np.int64))], names=["cell", "n"])
 
 
-def _following(vocabulary):
+def _following():
     """Counts of words after each of the most frequent words (and any other)."""
 
     def run(batches):
         counts = np.zeros((LAST + 1) * PAD, dtype=np.int64)
-        for _, texts in _texts(batches):
-            flat = _flat(texts, vocabulary.value)
+        for _, words in _texts(batches):
+            flat = _flat(words)
             at = np.flatnonzero(flat != PAD)
             counts += np.bincount(np.minimum(flat[at - 1], LAST) * PAD + flat[at], minlength=len(counts))
         yield _sparse(counts)
@@ -235,7 +262,7 @@ def _following(vocabulary):
     return run
 
 
-def _events(vocabulary, classes):
+def _events(classes):
     """Counts of (code, outcome) of both factors; the second's cells come after the first's."""
 
     def run(batches):
@@ -249,8 +276,8 @@ def _events(vocabulary, classes):
                 codes.clear()
                 del size
 
-        for _, texts in _texts(batches):
-            flat = _flat(texts, vocabulary.value)
+        for _, words in _texts(batches):
+            flat = _flat(words)
             at = np.flatnonzero(flat != PAD)
             w, h1, h2, h3 = flat[at], flat[at - 1], flat[at - 2], flat[at - 3]
             own = c.cls[w]
@@ -398,31 +425,15 @@ class Scorer:
         return np.cumsum(first)[at] - 1, out
 
 
-def _score(vocabulary, scorer):
-    """For each text: tokens, the model's and the counts' sums over head tokens, and the tokens outside the head."""
+def _score(scorer):
+    """For each text: its row, and the model's sum over its words."""
 
     def run(batches):
-        v, s, row = vocabulary.value, scorer.value, (TaskContext.get().partitionId() << 36)
-        for part, texts in _texts(batches):
-            n = len(texts)
-            n_tokens, n_head, head, grouped = (np.zeros(n, dtype=t) for t in (np.int64, np.int64, np.float64, np.float64))
-            outside: list[Counter] = [Counter() for _ in texts]
-
-            def add(k, at, tokens):
-                inside = at[at >= 0]
-                logs = v.log_count[inside]
-                n_tokens[k] += len(at)
-                n_head[k] += len(inside)
-                head[k] += logs.sum()
-                grouped[k] += logs[inside >= WORDS].sum()
-                outside[k].update(tokens)
-
-            flat = _flat(texts, v, add)
-            number, logp = s.score(flat)
-            model = np.bincount(number, logp, n) + grouped
-            tail = pa.array([[{"token": t, "tf": f} for t, f in x.items()] for x in outside], pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens), pa.array(n_head), pa.array(head), pa.array(model), tail], names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_log", "model_log", "tail"])
-            row += n
+        for part, words in _texts(batches):
+            number, logp = scorer.value.score(_flat(words))
+            model = np.bincount(number, logp, len(words)) + part.column("group_log").to_numpy(zero_copy_only=False)
+            others = ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_log"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(model)], names=[*others, "model_log"])
 
     return run
 
@@ -453,22 +464,25 @@ def score(docs: DataFrame, fold: int = 1, steps: int = STEPS) -> DataFrame:
         group[shape(token)] -= (n, 1)
     log_group = np.log10(group[:, 0] + 0.5 * (group[:, 1] + 1))
     vocabulary = spark.sparkContext.broadcast(words)
+    kind = dict(docs.dtypes)["doc_id"]
+    narrow = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, head_log double"
+    tokens = written(rows.mapInArrow(_tokenised(vocabulary), f"{narrow}, group_log double, words binary, tail array<{_TAIL}>"), "tokens")
+    learned = tokens.where(~F.col("held_out")).select("words")
     after = np.zeros((LAST + 1) * PAD)
-    cells = training.mapInArrow(_following(vocabulary), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # (LAST + 1) * PAD at most
+    cells = learned.mapInArrow(_following(), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # (LAST + 1) * PAD at most
     after[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     classes = make_classes(after.reshape(LAST + 1, PAD))
     sent = spark.sparkContext.broadcast(classes)
-    events = training.mapInArrow(_events(vocabulary, sent), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    events = learned.mapInArrow(_events(sent), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     weights, _ = train_factors(spark, events, classes, steps)
     scorer = spark.sparkContext.broadcast(Scorer(classes, [w.astype(np.float32) for w in weights], log_group))
-    item = "struct<token:binary,tf:bigint>"
-    scored = written(rows.mapInArrow(_score(vocabulary, scorer), f"row long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_head long, head_log double, model_log double, tail array<{item}>"), "scored")
-    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.token", "x.tf")
+    scored = tokens.drop("tail").mapInArrow(_score(scorer), f"{narrow}, model_log double")
+    tail = tokens.select("row", F.explode("tail").alias("x")).select("row", "x.token", "x.tf")
     rare = counts.where(F.col("c") < least) if least is not None else counts
     joined = tail.join(rare, "token", "left")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     rest = joined.groupBy("row").agg(F.sum(F.col("tf") * log_c).alias("tail_log"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-    out = scored.drop("tail").join(rest, "row", "left").withColumns({"tail_log": F.coalesce("tail_log", F.lit(0.0)), "tail_known": F.coalesce("tail_known", F.lit(0))})
+    out = scored.join(rest, "row", "left").withColumns({"tail_log": F.coalesce("tail_log", F.lit(0.0)), "tail_known": F.coalesce("tail_known", F.lit(0))})
     per_token = F.lit(float(np.log10(whole["n"] + 0.5 * (whole["v"] + 1))))
     return out.select(
         "doc_id",
