@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Segments of a block of running sums.
+BLOCK = 128
+
+
 @dataclass(frozen=True)
 class Template:
     """Marks of the format; ``foreign``: control strings of other formats that texts mustn't hold either."""
@@ -54,8 +58,8 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """(conv_id, formatted, segments): ``segments`` are the pieces of ``formatted`` in order, each with its
-    text and whether it is under the loss mask (the escaped texts of ``template.learned`` roles)."""
+    """(conv_id, formatted, mask): ``mask`` has the (start, length) in ``formatted``, from 1, of each span under the
+    loss mask, the escaped texts of ``template.learned`` roles, in order."""
     t = template
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     row = F.struct("turn", empty("role").alias("role"), empty("text").alias("text"))
@@ -71,7 +75,18 @@ def format_conversations(turns: DataFrame, template: Template = Template()) -> D
 
     last = F.array(F.struct(F.lit(t.end + t.after).alias("text"), F.lit(False).alias("loss")))
     cut = sorted_turns.select("conv_id", F.concat(F.flatten(F.transform("rows", pieces)), last).alias("segments"))
-    return cut.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    # Generators of one row: each step is there once, and isn't computed anew for each segment of the next.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    cut = cut.select("conv_id", once(F.col("segments"), "segments"))
+    cut = cut.select("conv_id", "segments", once(F.transform("segments", lambda s: F.length(s["text"])), "sizes"))
+    # Places are running sums in two levels, by blocks, so that long conversations don't take quadratic time.
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    blocks = F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / BLOCK).cast("int"))
+    cut = cut.select("*", once(F.transform(blocks, lambda b: total(F.slice("sizes", b * BLOCK + 1, F.lit(BLOCK)))), "sums"))
+    cut = cut.select("*", once(F.transform("sums", lambda x, b: total(F.slice("sums", F.lit(1), b))), "starts"))
+    first = lambda i: F.get("starts", F.floor(i / BLOCK).cast("int")) + total(F.slice("sizes", F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+    spans = F.transform("segments", lambda s, i: F.when(s["loss"], F.struct((first(i) + 1).alias("start"), F.length(s["text"]).alias("length"))))
+    return cut.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), F.array_compact(spans).alias("mask"))
 
 
 def turns(formatted: Column, template: Template = Template()) -> Column:
@@ -88,15 +103,14 @@ def turns(formatted: Column, template: Template = Template()) -> Column:
     return F.flatten(F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), block))
 
 
-def learned_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    said = F.filter(segments, lambda s: s["loss"])
-    return F.array_join(F.transform(said, lambda s: unescape(s["text"])), "")
+def learned_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, cut out of the formatted text and unescaped, nothing between."""
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"], m["length"]))), "")
 
 
 def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """What can be read back from each conversation: number and digest of its turns, and of the learned text."""
-    read = formatted.select("conv_id", "formatted", turns(F.col("formatted"), template).alias("t"), learned_text(F.col("segments")).alias("l"))
+    read = formatted.select("conv_id", "formatted", turns(F.col("formatted"), template).alias("t"), learned_text(F.col("formatted"), F.col("mask")).alias("l"))
     whole = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

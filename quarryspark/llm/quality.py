@@ -7,7 +7,8 @@ a single pass over the texts with built-in functions, without a shuffle.
 
 Defined results: a null text is an empty text; every row is scored, repeated rows alike; ids and other
 columns are carried through untouched and never enter a score, whatever their names; an empty table gives
-no rows; with no labelled row of one class, the score is the (smoothed) share of good labels everywhere.
+no rows; with no labelled row of one class, or too few to part, the score is the (smoothed) share of good labels
+everywhere.
 """
 
 from __future__ import annotations
@@ -125,6 +126,8 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = 30, d
             seen.add(key)
             kept.append(rule)
             columns.append(held)
+    if not kept:  # too few rows to part
+        return model
     z = np.stack(columns, axis=1).astype(np.float32)
     # Proximal gradient with momentum on the mean logistic loss; the intercept is not penalised.
     w = last = np.zeros(z.shape[1], dtype=np.float64)

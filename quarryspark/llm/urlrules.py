@@ -12,7 +12,8 @@ serve balance alone.
 Defined results: host and path of a null url, or one without "://", are empty, and only rules for every
 host fit it; repeated rows are judged alike; of equal rules, block wins over allow; of rules of one length
 (host and path together) the longer host wins; rules with a null host or path count as empty there; an
-empty table gives no rows, and without rules every url gets the default. All columns of the table are kept.
+empty table gives no rows, and without rules every url gets the default. All columns of the table are kept, but for
+those named host, path, rule or verdict, which the results replace; names that begin with two underscores are ours.
 """
 
 from __future__ import annotations

@@ -428,13 +428,3 @@ def test_sharding_by_hand(docs, odd, none):
     mapped = odd.withColumn("a.b", F.create_map(F.lit("x"), F.lit(1)))  # what can't be ordered, and odd names
     assert sharding.sharded_documents(mapped).columns == [*mapped.columns, "shard", "slot"]
     assert sharding.assign(none).count() == 0 == sharding.sharded_documents(none).count()
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF)
-    assert out.columns == [*docs.columns, "shard", "slot"] and 0 < out.count()
-    bad = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0")
-    assert out.join(bad, "doc_id").count() < 0.1 * bad.count() + 2

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -22,18 +23,19 @@ def test_against_sql(spark, duck, name):
 def test_chat_round_trip(spark):
     r = random.Random(1)
     bits = ["<|im_start|>", "<|im_end|>", "<|", "|>", "\\", "\\\\", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<", "[", "\n", "é", "x ", "<|im_part|>", "<|im_sep|>", ""]
-    rows = [(c, t, r.choice(["user", "assistant", "assistant", "tool<|", None]), r.choice([None, "".join(r.choices(bits, k=6))]), 1) for c in range(40) for t in range(r.randrange(1, 8))]
+    rows = [(c, t, r.choice(["user", "assistant", "assistant", "tool<|", None]), r.choice([None, "".join(r.choices(bits, k=6))]), 1) for c in range(40) for t in range(r.randrange(1, 8) if c else 400)]
     rows += [(None, 1, "user", "a", 1), (None, None, "user", "b", 1), (99, 1, "user", "same", 1), (99, 1, "user", "same", 1)]
     made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rows int"))
-    read = {x.conv_id: x for x in made.select("conv_id", "formatted", "segments", chat.turns(F.col("formatted")).alias("t"), chat.learned_text(F.col("segments")).alias("l")).collect()}
+    read = {x.conv_id: x for x in made.select("conv_id", "formatted", "mask", chat.turns(F.col("formatted")).alias("t"), chat.learned_text(F.col("formatted"), F.col("mask")).alias("l")).collect()}
     for c in {x[0] for x in rows}:
         own = sorted([x for x in rows if x[0] == c], key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
         assert [(x.role, x.text) for x in read[c].t] == [(x[2] or "", x[3] or "") for x in own]
         assert read[c].l == "".join(x[3] or "" for x in own if x[2] == "assistant")
-        assert "".join(s.text for s in read[c].segments) == read[c].formatted
+        spans = [read[c].formatted[m.start - 1 : m.start - 1 + m.length] for m in read[c]["mask"]]
+        assert [re.sub(r"(?s)\\(.)", r"\1", x) for x in spans] == [x[3] or "" for x in own if x[2] == "assistant"]
         bare = read[c].formatted
         for mark in ("<|im_start|>", "<|im_sep|>", "<|im_part|>", "<|im_end|>"):
-            bare = bare.replace(mark, "")
+            bare = bare.replace(mark, "\0")
         assert not any(m in bare for m in ("<|", "</s>", "[INST]", "[/INST]", "<<SYS>>"))
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
