@@ -39,9 +39,9 @@ WORDS, SHAPES = 1024, 256
 #: Tokens looked up in a broadcast table at most.
 HEAD = 200_000
 #: Last words told apart in a context; clusters of words, coarse groups of clusters; most words in a class.
-LAST, CLUSTERS, COARSE, CLASS_WORDS = 256, 20, 8, 64
+LAST, CLUSTERS, COARSE, CLASS_WORDS = 1024, 20, 8, 64
 #: Weight rows of the two hashed tables; blocks of codes; gradient steps.
-ROWS, BLOCKS, STEPS = (1 << 14, 1 << 12), 8, 12
+ROWS, BLOCKS, STEPS = (1 << 13, 1 << 13), 6, 12
 END, PAD = b"\n", WORDS + SHAPES
 _ENDINGS = b".,;:!?#$%&*|)\"'"
 
@@ -132,26 +132,30 @@ class Classes:
         self.coarse = np.append(coarse, COARSE)[self.seen]
         self.last = np.where(np.arange(PAD + 1) < LAST, np.arange(PAD + 1), LAST + self.seen)
         self.m = self.n + 1
-        self.codes = (LAST + self.m) * self.m * (COARSE + 1)
-        self.word_codes = self.n * self.m * (COARSE + 1)
+        self.known = LAST + self.m  # what a last word is seen as: itself, or its class
+        self.class_of = np.append(self.seen[:LAST], np.arange(self.m))  # the class of each of these
+        self.codes = self.known * self.m * (COARSE + 1)
+        self.word_codes = self.n * self.known * (COARSE + 1)
 
     def code(self, h1, h2, h3):
         """The context of the class: last word, class before it, coarse class before that."""
         return (self.last[h1] * self.m + self.seen[h2]) * (COARSE + 1) + self.coarse[h3]
 
     def word_code(self, c, h1, h2):
-        """The context of the word: its class, last class, coarse class before that."""
-        return (c * self.m + self.seen[h1]) * (COARSE + 1) + self.coarse[h2]
+        """The context of the word: its class, last word, coarse class before that."""
+        return (c * self.known + self.last[h1]) * (COARSE + 1) + self.coarse[h2]
 
     def features(self, factor: int, code: np.ndarray) -> np.ndarray:
         """(n, features): hashed weight rows of each code. n-grams, skips and a bias; with the class for words."""
-        last, far = code // (COARSE + 1) // self.m, code % (COARSE + 1)
-        mid = code // (COARSE + 1) % self.m
-        zero = np.zeros_like(code)
+        rest, far, zero = code // (COARSE + 1), code % (COARSE + 1), np.zeros_like(code)
         if factor == 0:
-            parts = [(zero, zero), (last, zero), (last, mid), (zero, mid), (far, zero), (far, mid)]
+            last, mid = rest // self.m, rest % self.m
+            own = self.class_of[last]
+            parts = [(zero, zero), (last, zero), (last, mid), (own, zero), (own, mid), (zero, mid), (far, zero), (far, mid)]
         else:
-            parts = [(last, zero), (last, mid), (last, far), (last, mid * 16 + far)]
+            c, last = rest // self.known, rest % self.known
+            own = self.class_of[last]
+            parts = [(c, zero), (c, own), (c, far), (c, own * 16 + far), (c, last)]
         rows = []
         for kind, (a, b) in enumerate(parts):
             h = (a.astype(np.uint64) * np.uint64(0x9E3779B1) ^ (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x85EBCA77) ^ np.uint64(kind) * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
@@ -160,7 +164,7 @@ class Classes:
 
     def allowed(self, code: np.ndarray) -> np.ndarray:
         """(n, width): which places the class of each word code has."""
-        return np.arange(self.width)[None, :] < self.sizes[code // (COARSE + 1) // self.m][:, None]
+        return np.arange(self.width)[None, :] < self.sizes[code // (COARSE + 1) // self.known][:, None]
 
 
 def make_classes(counts: np.ndarray) -> Classes:
@@ -318,7 +322,8 @@ def _pack(classes):
 
 
 def _gradients(classes, weights):
-    """The gradient and curvature of the log likelihood over each block's events."""
+    """The gradient of the log likelihood over each block's events, observed less expected counts; without weights,
+    the observed counts."""
 
     def run(batches):
         c = classes.value
@@ -328,24 +333,24 @@ def _gradients(classes, weights):
                 cell, n = np.frombuffer(data, dtype=np.int64).reshape(2, -1)
                 width = (c.n, c.width)[factor]
                 code, inverse = np.unique(cell // width, return_inverse=True)
-                w = weights.value[factor]
-                grad, curve, loss = np.zeros_like(w), np.zeros_like(w), 0.0
+                w = weights.value[factor] if weights else None
+                grad, loss = np.zeros((ROWS[factor], width)), 0.0
                 for at in range(0, len(code), 4096):  # in bounded room
                     own = (inverse >= at) & (inverse < at + 4096)
                     part = code[at : at + 4096]
                     seen = np.zeros((len(part), width))
                     seen[inverse[own] - at, cell[own] % width] = n[own]
                     rows = c.features(factor, part)
-                    logp = _log_softmax(w, rows, c.allowed(part) if factor else None)
-                    loss -= float((seen * logp)[seen > 0].sum())
-                    expected = np.exp(logp) * seen.sum(axis=1, keepdims=True)
+                    if weights:
+                        logp = _log_softmax(w, rows, c.allowed(part) if factor else None)
+                        loss -= float((seen * logp)[seen > 0].sum())
+                        seen -= np.exp(logp) * seen.sum(axis=1, keepdims=True)
                     for k in range(rows.shape[1]):
-                        np.add.at(grad, rows[:, k], seen - expected)
-                        np.add.at(curve, rows[:, k], expected)
-                touched = np.flatnonzero(curve.any(axis=1))  # a block's codes share most of their rows
+                        np.add.at(grad, rows[:, k], seen)
+                touched = np.flatnonzero(grad.any(axis=1))  # a block's codes share most of their rows
                 factors.append(factor)
                 places.append(touched.astype(np.int32).tobytes())
-                grads.append(np.stack([grad[touched], curve[touched]]).astype(np.float32).tobytes())
+                grads.append(grad[touched].astype(np.float32).tobytes())
                 losses.append(loss)
             yield pd.DataFrame({"factor": factors, "rows": places, "grad": grads, "loss": losses})
 
@@ -366,20 +371,25 @@ def train_factors(spark, events: DataFrame, classes: Classes, steps: int = STEPS
     features = [classes.features(f, np.zeros(1, dtype=np.int64)).shape[1] for f in (0, 1)]
     losses: list[float] = []
     speed = [np.zeros_like(w) for w in weights]
-    for _ in range(steps):
-        sent = spark.sparkContext.broadcast([w.astype(np.float32).astype(np.float64) for w in weights])
-        got = packed.mapInPandas(_gradients(shared, sent), "factor int, rows binary, grad binary, loss double").collect()  # 2 * BLOCKS rows, of the tables' size in all
-        sums = [np.zeros((2, *w.shape)) for w in weights]
-        loss = 0.0
-        for row in got:
+
+    def summed(sent) -> tuple[list[np.ndarray], float]:
+        sums, loss = [np.zeros(w.shape, dtype=np.float32) for w in weights], 0.0
+      
+        for row in packed.mapInPandas(_gradients(shared, sent), "factor int, rows binary, grad binary, loss double").collect():
             at = np.frombuffer(row["rows"], dtype=np.int32)
-            sums[row["factor"]][:, at] += np.frombuffer(row["grad"], dtype=np.float32).reshape(2, len(at), -1)
+            sums[row["factor"]][at] += np.frombuffer(row["grad"], dtype=np.float32).reshape(len(at), -1)
             loss += row["loss"]
+        return sums, loss
+
+    observed, _ = summed(None)
+    for _ in range(steps):
+        sent = spark.sparkContext.broadcast([w.astype(np.float32) for w in weights])
+        grads, loss = summed(sent)
         sent.destroy()
         losses.append(loss)
         for k in (0, 1):
-            grad, curve = sums[k]
-            move = np.clip((grad - 0.5 * weights[k]) / (curve + 1.0), -2, 2) / features[k]
+            expected = np.maximum(observed[k] - grads[k], 0.0)
+            move = np.clip((grads[k] - 0.5 * weights[k]) / (expected + 1.0), -2, 2) / features[k]
             speed[k] = 0.6 * speed[k] + move
             weights[k] = weights[k] + speed[k]
     return weights, losses
