@@ -240,10 +240,10 @@ def word_layout(t):
     return L.word_blocks(words, "l_orderkey", "top", "bottom", "x", "word")
 
 
-@query("""WITH p AS (SELECT doc_id, 0.4::DOUBLE * least(1.0, n_chars / 20000.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN lang = 'en' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END + CASE WHEN doc_id % 2 = 0 THEN 0.15::DOUBLE ELSE 0.0 END + CASE WHEN doc_id % 3 = 0 THEN 0.15::DOUBLE ELSE 0.0 END + 0.05::DOUBLE AS x FROM documents)
+@query("""WITH p AS (SELECT doc_id, 0.4::DOUBLE * least(1.0::DOUBLE, floor(n_chars / 100.0::DOUBLE) / 200.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN lang = 'en' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END + CASE WHEN doc_id % 2 = 0 THEN 0.15::DOUBLE ELSE 0.0 END + CASE WHEN doc_id % 3 = 0 THEN 0.15::DOUBLE ELSE 0.0 END + 0.05::DOUBLE AS x FROM documents)
   SELECT doc_id, round(round_even(least(1.0, x), 4), 3) AS confidence FROM p""")
 def enrichment_confidence(t):
-    share = F.least(F.lit(1.0), c("n_chars") / 20000.0)
+    share = F.least(F.lit(1.0), F.floor(c("n_chars") / 100.0) / 200.0)
     x = K.profile_confidence(share, F.when(c("lang") == "en", 0.9).otherwise(0.5), F.when(c("doc_id") % 2 == 0, 1).otherwise(0), F.when(c("doc_id") % 3 == 0, 1).otherwise(0), F.lit(0.05))
     return t.documents.select("doc_id", F.round(x, 3).alias("confidence"))
 
