@@ -120,10 +120,15 @@ def content_type(text: Column, chunk_type: Column | None = None) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Array of (kind, name) of all identifiers in a text."""
+    """Array of (kind, name) of all identifiers in a text. A plain search for what a kind can't do without goes
+    before its pattern."""
+    marks = {"email": text.contains("@"), "phone": text.contains("+36") | text.contains("06"), "url": text.contains("://")}
+    none = F.array().cast("array<string>")
 
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+        hits = F.regexp_extract_all(text, F.lit(pattern), 0)
+        hits = F.when(marks[kind], hits).otherwise(none) if kind in marks else hits
+        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
 
     return F.flatten(F.array(*[of(kind, pattern) for kind, pattern in IDENTIFIERS.items()]))
 

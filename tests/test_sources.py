@@ -39,3 +39,17 @@ def test_archives(spark):
     rows = spark.createDataFrame([("a", 10, 5), ("b", 10_000, 1), ("c", 5, 5), ("c", 5, 5)], "path string, size long, compressed long")
     got = {r.path: r.problem for r in files.archive_problems(rows, 1, 100_000, 100).collect()}
     assert got == {"b": "ratio too high", "c": "too many entries"}
+
+
+def test_whole_texts_topics_and_lines(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes("é\nline two".encode())
+    (tmp_path / "t" / "b.txt").write_bytes(b"bad \xff byte")
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in files.read_texts(spark, str(tmp_path / "t")).collect()} == {"a.txt": "é\nline two", "b.txt": "bad � byte"}
+    (tmp_path / "topics.json").write_text('{"topic": "a", "weight": 1.5, "markers": ["x", "y"]}\n{"topic": "b"}\n')
+    assert sorted(map(tuple, files.read_topics(spark, str(tmp_path / "topics.json")).collect())) == [("a", 1.5, ["x", "y"]), ("b", None, None)]
+    files.json_lines(spark.range(5), str(tmp_path / "out"), 3)
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    pattern = files.name_pattern(["Ann", "B.C"])
+    frame = spark.createDataFrame([("see ann.",), ("Anna",), ("b.c here",), ("bxc",)], "t string")
+    assert [r.t for r in frame.where(frame.t.rlike(pattern)).collect()] == ["see ann.", "b.c here"]

@@ -66,3 +66,32 @@ def test_retries_and_publish(spark):
     new = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "event_id long, idempotency_key string")
     stored = spark.createDataFrame([("b",)], "idempotency_key string")
     assert sorted(r.event_id for r in outbox.publish(new, stored).collect()) == [1, 3, 4]
+
+
+def test_sessions_and_late_rows(spark, tmp_path):
+    """A gap ends a session; a row behind the watermark is dropped, one within it joins its session."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "user string, ts timestamp"
+    at = lambda *s: [("a", T0 + dt.timedelta(seconds=x)) for x in s]
+    (tmp_path / "in").mkdir()
+    stream = outbox.source(spark, folder, spark.createDataFrame([], schema).schema)
+    for rows in (at(0, 20, 200), at(210, 500), at(30, 505), at(2000)):  # 30 comes after the watermark has passed it
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        sessions = limits.sessions(stream, "user", "ts", "1 minute", "1 minute")
+        sessions.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted(((r.start - T0).seconds, (r.end - T0).seconds, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(0, 80, 2), (200, 270, 2), (500, 565, 2)]
+
+
+def test_poll_goes_on(spark, stream, tmp_path):
+    import time
+
+    seen = []
+    running = outbox.poll(stream[0], lambda batch, k: seen.extend(r.event_id for r in batch.collect()), str(tmp_path / "c"), "100 milliseconds")
+    try:
+        until = time.time() + 40
+        while len(seen) < 20 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        running.stop()
+    assert sorted(seen) == list(range(20))
