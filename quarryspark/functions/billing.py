@@ -77,3 +77,20 @@ def llm_cost(prompt: Column, answer: Column, prompt_price: float, answer_price:
 def limits_exceeded(used: dict[str, tuple[Column, Column]]) -> Column:
     """Names of those limits that are passed, from (used, limit) by name."""
     return F.array_compact(F.array(*[F.when(n > most, F.lit(name)) for name, (n, most) in used.items()]))
+
+
+def question_quota(used: Column, included: Column, addons: Column) -> Column:
+    """Struct of what a period's questions leave of the included and the added ones, and the percentage used, 0 to 100;
+    100 where there is nothing to use."""
+    zero, total = F.lit(0), included + addons
+    return F.struct(
+        F.greatest(zero, included - used).alias("remaining_included"),
+        F.greatest(zero, addons - F.greatest(zero, used - included)).alias("remaining_addon"),
+        F.greatest(zero, total - used).alias("remaining_total"),
+        F.when(total > 0, usage_percent(used, total)).otherwise(100).alias("percent"),
+    )
+
+
+def within(used: Column, limit: Column) -> Column:
+    """Whether use is within a limit; none is given by a null limit."""
+    return limit.isNull() | (used <= limit)

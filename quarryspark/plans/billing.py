@@ -65,9 +65,8 @@ def invoice_line_explode(t):
 @query("""WITH u AS (SELECT user_id, count(*) AS used FROM events GROUP BY 1) SELECT user_id, used, greatest(0, 60 - used) AS remaining_included, greatest(0, 20 - greatest(0, used - 60)) AS remaining_addon,
   greatest(0, 80 - used) AS remaining_total, least(100, greatest(0, round_even(100.0::DOUBLE * used / 80, 0)))::INTEGER AS percent FROM u""")
 def quota_summary(t):
-    used, zero = c("used"), F.lit(0)
     u = t.events.groupBy("user_id").agg(F.count("*").alias("used"))
-    return u.select("user_id", "used", F.greatest(zero, 60 - used).alias("remaining_included"), F.greatest(zero, 20 - F.greatest(zero, used - 60)).alias("remaining_addon"), F.greatest(zero, 80 - used).alias("remaining_total"), B.usage_percent(used, F.lit(80)).alias("percent"))
+    return u.select("user_id", "used", B.question_quota(c("used"), F.lit(60), F.lit(20)).alias("q")).select("user_id", "used", "q.*")
 
 
 @query("""WITH r AS (SELECT source, sum(n_chars)::BIGINT AS live FROM documents GROUP BY 1) SELECT source, greatest(live, 70000) AS used FROM r""")
@@ -124,4 +123,4 @@ def llm_cost(t):
 @query("""SELECT user_id, n, n <= 70 AS within_questions, distinct_days <= 25 AS within_days FROM (SELECT user_id, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS distinct_days FROM events GROUP BY 1)""")
 def limit_checks(t):
     u = t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("d"))
-    return u.select("user_id", "n", (c("n") <= 70).alias("within_questions"), (c("d") <= 25).alias("within_days"))
+    return u.select("user_id", "n", B.within(c("n"), F.lit(70)).alias("within_questions"), B.within(c("d"), F.lit(25)).alias("within_days"))

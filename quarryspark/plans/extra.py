@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import folds
 from ..functions import questions as Q
 from ..functions import text as X
+from ..operators import filters as S
 from ..operators import ordered as O
 from .registry import query
 
@@ -86,22 +87,15 @@ def section_titles(t):
 @query("""SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL AND (lang = 'en') AND source = 'src0'""")
 def payload_filter(t):
     """Rows that aren't deleted, of a mandatory corpus and an optional language; absent filters are skipped."""
-    wanted = {"source": "src0", "lang": "en", "channel_id": "dropped", "doc_id": None}
     rows = t.documents.join(t.labels, "doc_id", "left").where(c("quality").isNull())
-    for name, value in wanted.items():
-        if value is not None and name != "channel_id":
-            rows = rows.where(c(name) == value)
-    return rows.select("doc_id")
+    wanted = {"source": "src0", "lang": "en", "channel_id": "dropped", "doc_id": None}
+    return S.given(rows, wanted, ignored=["channel_id"]).select("doc_id")
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'""")
 def issue_filters(t):
     """Status and severity filter independently; those not given are skipped."""
-    given = {"o_orderstatus": "O", "o_orderpriority": "1-URGENT", "o_custkey": None}
-    rows = t.orders
-    for name, value in given.items():
-        rows = rows if value is None else rows.where(c(name) == value)
-    return rows.select("o_orderkey")
+    return S.given(t.orders, {"o_orderstatus": "O", "o_orderpriority": "1-URGENT", "o_custkey": None}).select("o_orderkey")
 
 
 @query("""SELECT vec_id, sha256('{"chunk_id":' || vec_id || ',"knowledge_base_id":' || label || ',"language":"' || coalesce(lang, 'unknown') || '","source":"' || coalesce(source, 'none') || '","status":"active","preview_chars":' || length(coalesce(substr(text, 1, 500), '')) || '}') AS payload_hash, coalesce(substr(text, 1, 500), '') AS preview

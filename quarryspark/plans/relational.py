@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import filters as S
 from ..operators import joins as J
 from ..operators import ordered as O
-from .registry import now, query
+from .registry import NOW, now, query
 
 c = F.col
 
@@ -59,8 +60,8 @@ def three_way_join(t):
 @query("""SELECT c_custkey, CASE WHEN n IS NULL THEN c_mktsegment ELSE 'ACTIVE' END AS c_mktsegment FROM customer LEFT JOIN
   (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) ON o_custkey = c_custkey""")
 def update_from_join(t):
-    open_ = t.orders.where("o_orderstatus = 'O'").select("o_custkey").distinct().withColumn("n", F.lit(1))
-    return t.customer.join(open_, c("o_custkey") == c("c_custkey"), "left").select("c_custkey", F.when(c("n").isNull(), c("c_mktsegment")).otherwise("ACTIVE").alias("c_mktsegment"))
+    open_ = t.orders.where("o_orderstatus = 'O'").select("o_custkey")
+    return S.updated_from(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey", open_, "o_custkey", "c_mktsegment", F.lit("ACTIVE"))
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1""")
@@ -160,24 +161,45 @@ def safe_json_cast(t):
     return t.events.select("event_id", F.coalesce(F.when(raw.rlike("^[0-9]+$"), raw.try_cast("bigint")), c("user_id")).alias("k"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1995-01-01' THEN 'inactive' WHEN o_orderstatus = 'P' THEN 'temporary_deleted' ELSE 'active' END AS lifecycle,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' ELSE 'info' END AS severity FROM orders""")
+_QUEUE = """SELECT event_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'retry' WHEN 'error' THEN 'processing' WHEN 'purchase' THEN 'processing' ELSE 'done' END AS status, ts AS next_retry_at,
+  CASE WHEN event_type = 'error' THEN ts + INTERVAL 5 MINUTE END AS lease_until, CASE WHEN event_type = 'purchase' THEN ts END AS locked_at FROM events"""
+_ELIGIBLE = f"""(status IN ('pending', 'retry') AND next_retry_at <= TIMESTAMP '{NOW}') OR (status = 'processing' AND (lease_until < TIMESTAMP '{NOW}' OR locked_at < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND))"""
+
+
+def _queue(t):
+    """Events as a queue of work in several states."""
+    state = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "pending", "click", "retry", "error", S.RUNNING, "purchase", S.RUNNING)]), c("event_type"))
+    lease, lock = F.when(c("event_type") == "error", c("ts") + F.expr("interval 5 minutes")), F.when(c("event_type") == "purchase", c("ts"))
+    return t.events.select("event_id", F.coalesce(state, F.lit("done")).alias("status"), c("ts").alias("next_retry_at"), lease.alias("lease_until"), lock.alias("locked_at"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'active' WHEN o_orderpriority = '1-URGENT' THEN 'temporary_deleted' ELSE 'inactive' END AS lifecycle,
+  CASE WHEN o_orderpriority = '2-HIGH' OR o_orderstatus = 'P' THEN 'high' ELSE 'medium' END AS severity FROM orders""")
 def lifecycle_and_severity(t):
-    life = F.when((c("o_orderstatus") == "F") & (c("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")), "inactive").when(c("o_orderstatus") == "P", "temporary_deleted").otherwise("active")
-    grade = F.when(c("o_orderpriority") == "1-URGENT", "critical").when(c("o_orderpriority") == "2-HIGH", "high").otherwise("info")
-    return t.orders.select("o_orderkey", life.alias("lifecycle"), grade.alias("severity"))
+    cancelled = F.when(c("o_orderpriority") == "1-URGENT", "Deactivation_Requested")
+    action, outcome = F.when(c("o_orderpriority") == "2-HIGH", "refresh_failed").otherwise("login"), F.when(c("o_orderstatus") == "P", S.RATE_LIMITED).otherwise("success")
+    return t.orders.select("o_orderkey", S.lifecycle(c("o_orderstatus") == "O", cancelled).alias("lifecycle"), S.severity(action, outcome).alias("severity"))
 
 
-@query("""SELECT event_id FROM events WHERE (event_type IN ('view', 'click') AND ts <= TIMESTAMP '2024-01-02 00:00:00') OR (event_type = 'error' AND ts + INTERVAL 5 MINUTE < TIMESTAMP '2024-01-10 00:00:00') OR (event_type = 'purchase' AND value > 480)""")
+@query(f"SELECT event_id, status FROM ({_QUEUE}) WHERE {_ELIGIBLE}")
 def outbox_eligible(t):
-    due = c("event_type").isin("view", "click") & (c("ts") <= F.lit("2024-01-02").cast("timestamp_ntz"))
-    expired = (c("event_type") == "error") & (c("ts") + F.expr("interval 5 minutes") < F.lit("2024-01-10").cast("timestamp_ntz"))
-    return t.events.where(due | expired | ((c("event_type") == "purchase") & (c("value") > 480))).select("event_id")
+    due = S.eligible(c("status"), c("next_retry_at"), c("lease_until"), c("locked_at"), now(), 300)
+    return _queue(t).where(due).select("event_id", "status")
+
+
+@query(f"""SELECT event_id, 'processing' AS status, TIMESTAMP '{NOW}' AS locked_at, TIMESTAMP '{NOW}' + INTERVAL 300 SECOND AS lease_until, 'worker-1' AS lock_owner FROM ({_QUEUE}) WHERE {_ELIGIBLE} ORDER BY event_id LIMIT 100""")
+def outbox_claim(t):
+    """The next micro-batch of the queue: at most 100 by id, leased to a worker."""
+    return S.claim(_queue(t), "event_id", now(), 100, " worker-1 ").select("event_id", "status", "locked_at", "lease_until", "lock_owner")
 
 
-@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND (o_orderpriority IS NULL OR o_orderdate > TIMESTAMP '1996-06-01') AND o_orderstatus NOT IN ('rejected', 'failed')""")
+@query("""SELECT o_orderkey, o_orderstatus = 'F' AND (o_orderpriority = '5-LOW' OR o_orderdate > TIMESTAMP '1996-06-01') AS active, o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' AS counted FROM orders""")
 def active_bans(t):
-    return t.orders.where((c("o_orderstatus") != "F") & (c("o_orderpriority").isNull() | (c("o_orderdate") > F.lit("1996-06-01").cast("timestamp_ntz"))) & ~c("o_orderstatus").isin("rejected", "failed")).select("o_orderkey")
+    """Bans without an expiry or with one to come, if not released; and ingestion that counts by its status."""
+    released, expires = F.when(c("o_orderstatus") != "F", c("o_orderdate")), F.when(c("o_orderpriority") != "5-LOW", c("o_orderdate"))
+    status = F.when(c("o_orderpriority") == "1-URGENT", "rejected").when(c("o_orderpriority") == "2-HIGH", "failed").otherwise("completed")
+    at = F.lit("1996-06-01").cast("timestamp_ntz")
+    return t.orders.select("o_orderkey", S.ban_active(released, expires, at).alias("active"), S.counted(status).alias("counted"))
 
 
 # --- windows and order ----------------------------------------------------------------------------------------
