@@ -9,6 +9,7 @@ from ..functions import questions as Q
 from ..functions import text as X
 from ..operators import filters as S
 from ..operators import ordered as O
+from ..sources.objects import training_key
 from .registry import query
 
 c = F.col
@@ -164,3 +165,17 @@ def ranked_previews(t):
 def page_cursors(t):
     rows = t.events.orderBy("ts", "event_id").limit(10)
     return rows.select("event_id", "ts", F.regexp_replace(O.cursor_text(c("ts"), c("event_id")), r"\s", "").alias("cursor"))
+
+
+_NAME = "CASE WHEN doc_id % 3 = 0 THEN ' jelentés ' || source || '.PDF' WHEN doc_id % 3 = 1 THEN source || '/' || lang || '.txt' ELSE '.é' || doc_id END"
+_CLEAN = f"regexp_replace(trim({_NAME}), '[/\\\\]+', '_', 'g')"
+
+
+@query(f"""SELECT doc_id, 'tenants/' || coalesce(source, 'default') || '/kb/' || lang || '/training/b_1/' || doc_id || '/' || CASE WHEN regexp_full_match({_CLEAN}, '[\\x00-\\x7f]*') THEN {_CLEAN}
+  ELSE substr(sha256({_CLEAN}), 1, 16) || CASE WHEN doc_id % 3 = 0 THEN '.pdf' ELSE '' END END AS object_key FROM documents""")
+def object_keys(t):
+    """Keys of uploads: plain names, names with slashes, names beyond ASCII, and one that is no extension."""
+    kind = c("doc_id") % 3
+    plain, hidden = F.concat(c("source"), F.lit("/"), c("lang"), F.lit(".txt")), F.concat(F.lit(".é"), c("doc_id"))
+    name = F.when(kind == 0, F.concat(F.lit(" jelentés "), c("source"), F.lit(".PDF"))).when(kind == 1, plain).otherwise(hidden)
+    return t.documents.select("doc_id", training_key(c("source"), c("lang"), F.lit(" b//1 "), c("doc_id"), name).alias("object_key"))

@@ -53,3 +53,57 @@ def test_whole_texts_topics_and_lines(spark, tmp_path):
     pattern = files.name_pattern(["Ann", "B.C"])
     frame = spark.createDataFrame([("see ann.",), ("Anna",), ("b.c here",), ("bxc",)], "t string")
     assert [r.t for r in frame.where(frame.t.rlike(pattern)).collect()] == ["see ann.", "b.c here"]
+
+
+def test_objects_by_key(spark, tmp_path):
+    from quarryspark.sources.objects import get_objects, put_objects, safe_segment, stat_objects, training_key
+
+    at = str(tmp_path / "objects")
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, content_type string, content binary")
+    put_objects(rows(("a", "text/plain", b"old"), ("b", "x", b""), (None, "x", b"lost")), at, 1)
+    put_objects(rows(("a", "text/plain", b"newer")), at, 2)
+    assert {tuple(r) for r in stat_objects(spark, at).collect()} == {("a", "text/plain", 5, 2), ("b", "x", 0, 1)}
+    refs = spark.createDataFrame([("a",), ("a",), ("none",), ("b",)], "key string")
+    assert {r["key"]: r["content"] for r in get_objects(spark, at, refs).collect()} == {"a": b"newer", "b": b"", "none": None}
+    parts = spark.createDataFrame([("a/b\\c",), (" x ",), ("..",), ("",), (None,)], "v string")
+    assert [r[0] for r in parts.select(safe_segment(parts.v)).collect()] == ["a_b_c", "x", None, None, None]
+    from pyspark.sql import functions as F
+
+    one = spark.range(1)
+    key = lambda tenant, batch: one.select(training_key(F.lit(tenant), F.lit("k"), F.lit(batch), F.lit(3))).first()[0]
+    assert key(None, "b") == "tenants/default/kb/k/training/b/3/input.txt"
+    assert key("t", " ") is None
+
+
+def test_tables_of_tenants(spark, tmp_path):
+    from quarryspark.sources.objects import scan_tenants
+
+    for tenant, n in (("acme", 2), ("beta", 3)):
+        spark.range(n).write.parquet(str(tmp_path / tenant / "items"))
+    (tmp_path / "empty").mkdir()
+    counts = lambda rows: {r["tenant"]: r["count"] for r in rows.groupBy("tenant").count().collect()}
+    assert counts(scan_tenants(spark, str(tmp_path), "items", "id long")) == {"acme": 2, "beta": 3}
+    assert counts(scan_tenants(spark, str(tmp_path), "items", "id long", ["beta"])) == {"beta": 3}
+
+
+def test_claims_and_conditions(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from quarryspark.operators.filters import claim, counted, lifecycle, severity
+
+    now = datetime(2024, 1, 1, 12)
+    ago = lambda s: now - timedelta(seconds=s)
+    rows = [(1, "pending", ago(1), None, None), (2, "retry", ago(-5), None, None), (3, "processing", None, ago(1), ago(9)), (4, "processing", None, None, ago(301)), (5, "processing", None, ago(-9), ago(299)), (6, "done", ago(9), None, None), (7, "processing", None, None, None), (8, "pending", None, None, None)]
+    queue = spark.createDataFrame(rows, "id int, status string, next_retry_at timestamp_ntz, lease_until timestamp_ntz, locked_at timestamp_ntz")
+    got = claim(queue, "id", F.lit(now).cast("timestamp_ntz"), 100, " w ").collect()
+    assert [r["id"] for r in got] == [1, 3, 4]
+    assert {(r["status"], r["locked_at"], r["lease_until"], r["lock_owner"]) for r in got} == {("processing", now, now + timedelta(seconds=300), "w")}
+    assert [r["id"] for r in claim(queue, "id", F.lit(now).cast("timestamp_ntz"), 2, None).collect()] == [1, 3]
+    states = spark.createDataFrame([(True, "deactivation_requested"), (False, "DEACTIVATION_requested"), (False, None), (None, "x")], "a boolean, s string")
+    assert [r[0] for r in states.select(lifecycle(states.a, states.s)).collect()] == ["active", "temporary_deleted", "inactive", "inactive"]
+    acts = spark.createDataFrame([("login_failed", None), ("view", "rate_limited"), ("view", "ok"), (None, None)], "a string, o string")
+    assert [r[0] for r in acts.select(severity(acts.a, acts.o)).collect()] == ["high", "high", "medium", "medium"]
+    kinds = spark.createDataFrame([("failed",), ("done",), (None,)], "s string")
+    assert [r[0] for r in kinds.select(counted(kinds.s)).collect()] == [False, True, None]
