@@ -32,18 +32,45 @@ def detect_language(docs: DataFrame, key: str, tokens: Column, markers: dict[str
     return ranked.select(key, language.alias("language"), confidence.alias("confidence"))
 
 
-def term_frequency(tokens: DataFrame, key: str, token: str, stopwords: Sequence[str]) -> DataFrame:
-    """(key, token, frequency, tf) of the tokens that aren't stop words."""
-    counted = tokens.where(~F.col(token).isin(*stopwords)).groupBy(key, token).agg(F.count("*").alias("frequency"))
-    return counted.withColumn("tf", F.col("frequency") / F.sum("frequency").over(W.partitionBy(key)))
-
-
-def match_topics(tokens: DataFrame, key: str, token: str, topics: dict[str, tuple[Sequence[str], float]], boosts: DataFrame | None = None) -> DataFrame:
-    """(key, topic, hits, confidence): distinct markers found, weighted."""
-    rows = [(name, marker, float(weight)) for name, (markers, weight) in topics.items() for marker in markers]
-    table = F.broadcast(tokens.sparkSession.createDataFrame(rows, f"topic string, {token} string, weight double"))  # the markers given
-    hits = tokens.join(table, token).groupBy(key, "topic").agg(F.countDistinct(token).alias("hits"), F.first("weight").alias("weight"))
-    boost = F.lit(0.0)
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not anew for each element of a lambda in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def term_counts(tokens: Column) -> Column:
+    """Array of (token, frequency) by token, from an array of tokens: sorted, and cut into runs, within the row."""
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    run = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("frequency")))
+    counted = _once(F.sort_array(tokens), lambda s: _once(begins(s), lambda at: run(s, at)))
+    return F.when(F.size(tokens) > 0, counted)
+
+
+def _counted(docs: DataFrame, key: str, tokens: Column, stopwords: Sequence[str]) -> DataFrame:
+    # Columns of their own, or the tokens would be looked for again at each use.
+    kept = F.filter(tokens, lambda x: ~x.isin(*stopwords)) if stopwords else tokens
+    return docs.select(key, kept.alias("__t")).select(key, F.size("__t").alias("__n"), term_counts(F.col("__t")).alias("__c"))
+
+
+def term_frequency(docs: DataFrame, key: str, tokens: Column, stopwords: Sequence[str]) -> DataFrame:
+    """(key, token, frequency, tf) of a row's tokens (an array) that aren't stop words. Nothing is shuffled; rows of
+    the same key are counted apart."""
+    # Of a slice: from a plain column Spark would infer a filter on its size, and compute all of it a second time.
+    rows = _counted(docs, key, tokens, stopwords).select(key, "__n", F.explode(F.slice("__c", 1, (1 << 31) - 1)).alias("x"))
+    return rows.select(key, "x.token", "x.frequency", (F.col("x.frequency") / F.col("__n")).alias("tf"))
+
+
+def top_terms(docs: DataFrame, key: str, tokens: Column, stopwords: Sequence[str], k: int) -> DataFrame:
+    """(key, token, rank, frequency): a row's ``k`` most frequent tokens, ties by token."""
+    order = F.transform("__c", lambda x: F.struct((-x["frequency"]).alias("less"), x["token"].alias("token")))
+    best = _counted(docs, key, tokens, stopwords).select(key, F.posexplode(F.slice(F.sort_array(order), 1, k)).alias("at", "x"))
+    return best.select(key, "x.token", (F.col("at") + 1).alias("rank"), (-F.col("x.less")).alias("frequency"))
+
+
+def match_topics(docs: DataFrame, key: str, tokens: Column, topics: dict[str, tuple[Sequence[str], float]], boosts: DataFrame | None = None) -> DataFrame:
+    """(key, topic, hits, confidence): a row's distinct markers of each topic found, weighted."""
+    found = [F.struct(F.lit(name).alias("topic"), F.size(F.array_intersect("__t", F.array(*[F.lit(m) for m in markers]))).cast("long").alias("hits"), F.lit(float(weight)).alias("weight")) for name, (markers, weight) in topics.items()]
+    rows = docs.select(key, F.array_distinct(tokens).alias("__t")).select(key, F.explode(F.filter(F.array(*found), lambda x: x["hits"] > 0)).alias("x"))
+    hits, boost = rows.select(key, "x.*"), F.lit(0.0)
     if boosts is not None:
         hits, boost = hits.join(boosts, [key, "topic"], "left"), F.coalesce("boost", F.lit(0.0))
     return hits.select(key, "topic", "hits", F.least(F.lit(1.0), (0.45 + 0.12 * F.col("hits")) * F.col("weight") + boost).alias("confidence"))
@@ -51,7 +78,8 @@ def match_topics(tokens: DataFrame, key: str, token: str, topics: dict[str, tupl
 
 def contained_terms(docs: DataFrame, key: str, text: str, terms: DataFrame, term_key: str, term: str) -> DataFrame:
     """(key, term_key) of terms inside texts. Candidates share the term's longest inner word with the text as a
-    word of its own, an equi join; ``contains`` decides. A term of fewer than three words is compared by its longest word's presence in any word."""
+    word of its own, an equi join; ``contains`` decides. A term of one or two words
+    is found in texts that have one of its words as a word of their own."""
     words = F.split(F.col("__term"), r"\s+")
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
     anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]

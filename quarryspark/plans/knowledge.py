@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,10 +21,6 @@ _TOK = f"tok AS (SELECT doc_id, x FROM (SELECT doc_id, unnest({_TOKENS}) AS x FR
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 
 
-def _tokens(t) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(X.tokens(c("text"))).alias("x"))
-
-
 _LANG_ROWS = " UNION ALL ".join(f"SELECT '{lang}' AS code, '{w}' AS marker" for lang, ws in MARKERS.items() for w in ws)
 _LANG = f"""m AS ({_LANG_ROWS}), {_TOK}, d AS (SELECT DISTINCT doc_id, x FROM tok), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
   s AS (SELECT d.doc_id, code, count(*) AS hits FROM d JOIN m ON x = marker GROUP BY 1, 2),
@@ -50,13 +45,12 @@ def document_language(t):
 
 @query(f"WITH {_TOK}, k AS (SELECT * FROM tok WHERE x NOT IN {_STOP}), n AS (SELECT doc_id, count(*) AS total FROM k GROUP BY 1) SELECT doc_id, x AS term, count(*) AS frequency, round(count(*)::DOUBLE / any_value(total), 6) AS tf FROM k JOIN n USING (doc_id) GROUP BY 1, 2")
 def term_frequency(t):
-    return K.term_frequency(_tokens(t), "doc_id", "x", STOPWORDS).select("doc_id", c("x").alias("term"), "frequency", F.round("tf", 6).alias("tf"))
+    return K.term_frequency(t.documents, "doc_id", X.tokens(c("text")), STOPWORDS).select("doc_id", c("token").alias("term"), "frequency", F.round("tf", 6).alias("tf"))
 
 
 @query(f"WITH {_TOK}, k AS (SELECT doc_id, x, count(*) AS f FROM tok WHERE x NOT IN {_STOP} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, x) AS rank FROM k) SELECT doc_id, x AS term, rank::INTEGER AS rank, f AS frequency FROM r WHERE rank <= 25")
 def keyword_topk(t):
-    found = K.term_frequency(_tokens(t), "doc_id", "x", STOPWORDS)
-    return A.top_per_group(found, ["doc_id"], [F.desc("frequency"), c("x")], 25).select("doc_id", c("x").alias("term"), "rank", "frequency")
+    return K.top_terms(t.documents, "doc_id", X.tokens(c("text")), STOPWORDS, 25).select("doc_id", c("token").alias("term"), "rank", "frequency")
 
 
 @query()
@@ -72,7 +66,7 @@ _TOPIC_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS topic, '{m}' AS marker, {w}::
 
 @query(f"WITH m AS ({_TOPIC_ROWS}), {_TOK}, d AS (SELECT DISTINCT doc_id, x FROM tok), h AS (SELECT doc_id, topic, count(*) AS hits, any_value(weight) AS weight FROM d JOIN m ON x = marker GROUP BY 1, 2) SELECT doc_id, topic, hits, round(least(1.0, (0.45::DOUBLE + 0.12::DOUBLE * hits) * weight), 4) AS confidence FROM h")
 def topic_match(t):
-    return K.match_topics(_tokens(t), "doc_id", "x", TOPICS).select("doc_id", "topic", "hits", F.round("confidence", 4).alias("confidence"))
+    return K.match_topics(t.documents, "doc_id", X.tokens(c("text")), TOPICS).select("doc_id", "topic", "hits", F.round("confidence", 4).alias("confidence"))
 
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE strpos(d.text, b.text) > 0""")
