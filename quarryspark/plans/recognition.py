@@ -39,8 +39,7 @@ _STEP = r"(?m)^[^\S\n]*[0-9]+\.[^\S\n]+.+$"
   UNION ALL SELECT doc_id, 'check', i::BIGINT, trim(items[i]), least(1.0, 0.4 + 0.1 * len(items))::DOUBLE FROM (SELECT doc_id, items, unnest(range(1, len(items) + 1)) AS i FROM q)""")
 def process_steps(t):
     """Numbered lines of whole texts; where there are none, checklist lines."""
-    rows = t.documents.select("doc_id", X.process_items(c("text")).alias("p"))
-    return rows.select("doc_id", F.explode("p").alias("x")).select("doc_id", "x.*")
+    return t.documents.select("doc_id", F.explode(X.process_items(c("text"))).alias("x")).select("doc_id", "x.*")
 
 
 _BLOCKS = r"list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
@@ -218,7 +217,7 @@ def bundle_of_eight(t):
   SELECT source, key, count(*) AS n_times FROM k WHERE length(key) >= 3 GROUP BY 1, 2 HAVING bool_and(near) AND (count(*) >= 3 OR (count(*) >= 2 AND length(key) <= 52 AND len(regexp_extract_all(key, '[\\p{L}\\p{N}_]+')) <= 9))""")
 def edge_lines(t):
     """Lines that repeat near the edges of a source's texts, each text a page with lines of 14 points."""
-    lines = t.documents.select("source", F.split("text", "\n").alias("ls")).select("source", F.size("ls").alias("n"), F.posexplode("ls").alias("i", "line"))
+    lines = t.documents.select("source", F.split("text", "\n").alias("ls")).select("source", F.size("ls").alias("n"), F.posexplode(F.slice("ls", 1, (1 << 31) - 1)).alias("i", "line"))  # a plain column would be split twice
     rows = lines.select("source", "line", (c("i") * 14).alias("top"), ((c("i") + 1) * 14).alias("bottom"), (c("n") * 14).alias("height"))
     return L.repeated_edge_lines(rows, ["source"], "line", "top", "bottom", "height")
 
