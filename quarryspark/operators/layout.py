@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,27 +19,52 @@ HEADER_CELL_CHARS = 40
 def word_blocks(words: DataFrame, page: str, top: str, bottom: str, left: str, text: str) -> DataFrame:
     """(page, block, line, text): words in reading order, a new line where the top is further than ``LINE_TOP`` from
     that of the line's first word, a new block where the gap to the line before is over ``BLOCK_GAP``. A line begins
-    where the last one ended, so each page (it fits into a task) is walked through."""
+    where the last one ended, so a task walks through its pages' sorted words, and holds one line at a time."""
     kind = words.schema[page].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(near=pdf[top].round(1)).sort_values(["near", left, text], kind="stable")
-        lines: list[dict] = []
-        for t, b, x in zip(pdf[top], pdf[bottom], pdf[text], strict=True):
-            if lines and abs(t - lines[-1]["first"]) <= LINE_TOP:
-                line = lines[-1]
-                line["words"].append(x)
-                line["top"], line["bottom"] = min(line["top"], t), max(line["bottom"], b)
-            else:
-                lines.append({"first": t, "top": t, "bottom": b, "words": [x]})
-        block, out = 0, []
-        for k, line in enumerate(lines):
-            block += bool(k) and line["top"] - lines[k - 1]["bottom"] > BLOCK_GAP
-            out.append((pdf[page].iloc[0], block, k, " ".join(line["words"])))
-        return pd.DataFrame(out, columns=[page, "block", "line", "text"])
-
-    rows = words.select(page, F.col(top).cast("double").alias(top), F.col(bottom).cast("double").alias(bottom), F.col(left).cast("double").alias(left), text)
-    return rows.groupBy(page).applyInPandas(run, f"{page} {kind}, block int, line int, text string")
+    def run(batches):
+        now: tuple | None = None  # the page that is walked through
+        line: list[str] = []
+        first = upper = lower = before = 0.0
+        block = number = 0
+        out: list[tuple] = []
+
+        def ended() -> None:
+            nonlocal block, number, before, line
+            if line:
+                block += number > 0 and upper - before > BLOCK_GAP
+                out.append((now[0], block, number, " ".join(line)))
+                number, before, line = number + 1, lower, []
+
+        def taken(schema: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            kinds = (schema, pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[page, "block", "line", "text"])
+
+        for batch in batches:
+            pages, *others = (batch.column(k).to_pylist() for k in range(4))
+            for p, t, b, x in zip(pages, *others, strict=True):
+                if now is None or p != now[0]:
+                    ended()
+                    now, block, number = (p,), 0, 0
+                elif line and abs(t - first) > LINE_TOP:
+                    ended()
+                if not line:
+                    first = upper = t
+                    lower = b
+                upper, lower = min(upper, t), max(lower, b)
+                line.append(x or "")
+            own = batch.schema.field(0).type
+            yield taken(own)
+        if line:
+            ended()
+            yield taken(own)
+
+    number = lambda name: F.col(name).cast("double").alias(name)
+    rows = words.select(page, number(top), number(bottom), text, F.col(left).cast("double").alias("__left"), (F.rint(F.col(top).cast("double") * 10) / 10).alias("__near"))
+    sorted_ = rows.where(F.col(top).isNotNull() & F.col(bottom).isNotNull()).repartition(page).sortWithinPartitions(page, "__near", "__left", text)
+    return sorted_.select(page, top, bottom, text).mapInArrow(run, f"{page} {kind}, block int, line int, text string")
 
 
 def repeated_edge_lines(lines: DataFrame, by: Sequence[str], text: str, top: str, bottom: str, height: str) -> DataFrame:
