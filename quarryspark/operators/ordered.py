@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,14 +115,29 @@ def pack_blocks(blocks: DataFrame, by: str, order: str, text: str, kind: str, mo
 
 
 def without_overlaps(spans: DataFrame, by: Sequence[str], start: str, end: str, priority: Sequence[Column]) -> DataFrame:
-    """Spans kept greedily in order of priority, none overlapping a kept one; a fold over one group's spans."""
-    names = [f"__p{k}" for k in range(len(priority))]
-    rows = spans.select(*by, start, end, *[p.alias(n) for p, n in zip(priority, names, strict=True)])
-    item = F.struct(*names, F.col(start).alias("s"), F.col(end).alias("e"))
-    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    span = "array<struct<s:bigint,e:bigint>>"
-    keep = F.aggregate("x", F.array().cast(span), lambda acc, x: F.when(F.exists(acc, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["s"].cast("bigint").alias("s"), x["e"].cast("bigint").alias("e"))))))
-    return groups.select(*by, F.explode(keep).alias("k")).select(*by, F.col("k.s").alias(start), F.col("k.e").alias(end))
+    """Spans kept greedily in order of priority, none overlapping a kept one; those without both ends, or ending before
+    they start, are left out. A walk over sorted partitions that holds the kept spans of the group at hand."""
+    names, keys = [f"__p{k}" for k in range(len(priority))], len(by)
+    kinds = [spans.schema[name].dataType.simpleString() for name in by]
+
+    def run(batches):
+        now, kept = None, []  # kept: disjoint, so sorted by their ends too
+        for batch in batches:
+            columns = [column.to_pylist() for column in batch.columns]
+            chosen = []
+            for row, (s, e) in enumerate(zip(columns[keys], columns[keys + 1], strict=True)):
+                group = tuple(column[row] for column in columns[:keys])
+                if group != now:
+                    now, kept = group, []
+                at = bisect_left(kept, (e,))  # those that start before this one ends
+                if at == 0 or kept[at - 1][1] <= s:
+                    insort(kept, (s, e))
+                    chosen.append(row)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    rows = spans.where(F.col(start) <= F.col(end)).select(*by, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end), *[p.alias(n) for p, n in zip(priority, names, strict=True)])
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, *names, start, end).select(*by, start, end)
+    return ordered.mapInArrow(run, ", ".join([*[f"`{n}` {k}" for n, k in zip(by, kinds, strict=True)], f"`{start}` long", f"`{end}` long"]))
 
 
 def admitted(items: DataFrame, by: str, order: str, size: str, limit: int) -> DataFrame:

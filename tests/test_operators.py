@@ -112,3 +112,21 @@ def test_python_folds():
     assert text == "[EMAIL_1] and [NUMBER_1], [EMAIL_1]" and back == {"[EMAIL_1]": "a@b.org", "[NUMBER_1]": "1234567"}
     assert folds.redact_nested({"a": [{"password": "x", "b": 1}]}) == {"a": [{"password": "***", "b": 1}]}
     assert folds.pack_sentences("One is here now. " * 100)[0].count("One") > 10
+
+
+def test_spans_kept_as_by_comparing_all(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(d, s, s + r.randrange(0, 9)) for d in (None, 1, 2) for s in [r.randrange(60) for _ in range(80)]] + [(3, None, 4), (3, 5, 2), (3, 1, None)]
+    spans = spark.createDataFrame(rows, "d int, s long, e long").repartition(3)
+    got = O.without_overlaps(spans, ["d"], "s", "e", [-(F.col("e") - F.col("s")), F.col("s")]).collect()
+    wanted = []
+    for d in (None, 1, 2):
+        kept = []
+        for s, e in sorted(((s, e) for g, s, e in rows if g == d), key=lambda x: (x[0] - x[1], x[0], x[1])):
+            if not any(s < b and a < e for a, b in kept):
+                kept.append((s, e))
+        wanted += [(d, s, e) for s, e in kept]
+    order = lambda x: (x[0] or 0, x[1], x[2])
+    assert sorted(map(tuple, got), key=order) == sorted(wanted, key=order)
