@@ -88,30 +88,56 @@ def context_blocks(hits: DataFrame, by: Sequence[str], rank: str, text: str, key
 def pack_blocks(blocks: DataFrame, by: str, order: str, text: str, kind: str, most: int = 1800, short: int = 200) -> DataFrame:
     """(by, chunk, texts, kinds, length): blocks packed greedily into chunks in order. Headings and tables begin
     a chunk, tables stand alone, and a chunk isn't filled over ``most`` characters; then a chunk shorter than
-    ``short`` joins the one before it, if both fit and neither is a table. Folds over one document's blocks."""
-    item = F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(kind).alias("k"))
-    docs = blocks.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("b"))
-    kind_of = "array<struct<texts:array<string>,kinds:array<string>,length:int>>"
-    one = lambda x: F.struct(F.array(x["t"]).alias("texts"), F.array(x["k"]).alias("kinds"), F.length(x["t"]).alias("length"))
-
-    def add(chunks, x):
-        last = F.element_at(chunks, -1)
-        alone = x["k"].isin("title", "heading", "table") | F.array_contains(last["kinds"], "table")
-        begin = (F.size(chunks) == 0) | F.coalesce(alone, F.lit(True)) | (last["length"] + F.length(x["t"]) > most)
-        longer = F.struct(F.concat(last["texts"], F.array(x["t"])).alias("texts"), F.concat(last["kinds"], F.array(x["k"])).alias("kinds"), (last["length"] + F.length(x["t"])).alias("length"))
-        return F.when(begin, F.concat(chunks, F.array(one(x)))).otherwise(F.concat(F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0))), F.array(longer)))
-
-    def join(chunks, x):
-        last = F.element_at(chunks, -1)
-        table = F.array_contains(x["kinds"], "table") | F.array_contains(last["kinds"], "table")
-        joins = (F.size(chunks) > 0) & ~F.coalesce(table, F.lit(False)) & (x["length"] < short) & (last["length"] + x["length"] <= most)
-        both = F.struct(F.concat(last["texts"], x["texts"]).alias("texts"), F.concat(last["kinds"], x["kinds"]).alias("kinds"), (last["length"] + x["length"]).alias("length"))
-        return F.when(joins, F.concat(F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(chunks, F.array(x)))
-
-    empty = F.array().cast(kind_of)
-    packed = docs.select(by, F.aggregate("b", empty, lambda a, x: add(a, x).cast(kind_of)).alias("c"))
-    merged = packed.select(by, F.aggregate("c", empty, lambda a, x: join(a, x).cast(kind_of)).alias("c"))
-    return merged.select(by, F.posexplode("c").alias("chunk", "x")).select(by, "chunk", "x.texts", "x.kinds", "x.length")
+    ``short`` joins the one before it, if both fit and neither is a table. A block without a kind stands alone, a null
+    text is an empty one. A walk over sorted partitions that holds two chunks."""
+    own = blocks.schema[by].dataType.simpleString()
+
+    def run(batches):
+        now, out, number = None, [], 0
+        last = chunk = None  # [texts, kinds, length] of the chunk before, and of the one that is filled; tables come first
+
+        def closed() -> None:
+            nonlocal last, chunk, number
+            if last and chunk and "table" not in (last[1][0], chunk[1][0]) and chunk[2] < short and last[2] + chunk[2] <= most:
+                last = [x + y for x, y in zip(last, chunk, strict=True)]
+            else:
+                if last:
+                    out.append((now[0], number, *last))
+                    number += 1
+                last = chunk
+            chunk = None
+
+        def ended() -> None:
+            nonlocal number
+            closed()
+            closed()
+            number = 0
+
+        def taken(group: pa.DataType) -> pa.RecordBatch:
+            kinds = (group, pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32())
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[by, "chunk", "texts", "kinds", "length"])
+
+        for batch in batches:
+            for group, t, k in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if now is None or group != now[0]:
+                    ended()
+                    now = (group,)
+                alone = k in (None, "title", "heading", "table") or (chunk and chunk[1][0] in (None, "table"))
+                if chunk and (alone or chunk[2] + len(t) > most):
+                    closed()
+                chunk = chunk or [[], [], 0]
+                chunk[0].append(t)
+                chunk[1].append(k)
+                chunk[2] += len(t)
+            yield taken(batch.schema.field(0).type)
+        if chunk or last:
+            ended()
+            yield taken(batch.schema.field(0).type)
+
+    rows = blocks.select(by, order, F.coalesce(F.col(text), F.lit("")).alias(text), kind).repartition(by).sortWithinPartitions(by, order, text, kind)
+    return rows.select(by, text, kind).mapInArrow(run, f"{by} {own}, chunk int, texts array<string>, kinds array<string>, length int")
 
 
 def without_overlaps(spans: DataFrame, by: Sequence[str], start: str, end: str, priority: Sequence[Column]) -> DataFrame:

@@ -130,3 +130,11 @@ def test_spans_kept_as_by_comparing_all(spark):
         wanted += [(d, s, e) for s, e in kept]
     order = lambda x: (x[0] or 0, x[1], x[2])
     assert sorted(map(tuple, got), key=order) == sorted(wanted, key=order)
+
+
+def test_chunks_of_odd_blocks(spark):
+    blocks = [(1, 0, "a", None), (1, 1, "b", "text"), (1, 2, None, "text"), (1, 3, "T", "table"), (1, 4, "c", "text"), (None, 0, "x" * 1800, "text"), (None, 1, "y", "text"), (2, 0, "h", "heading"), (2, 1, "z", "text")]
+    got = O.pack_blocks(spark.createDataFrame(blocks, "d int, o int, t string, k string").repartition(2), "d", "o", "t", "k").collect()
+    assert sorted(((r.d or 0), r.chunk, r.texts, r.length) for r in got) == [(0, 0, ["x" * 1800], 1800), (0, 1, ["y"], 1), (1, 0, ["a", "b", ""], 2), (1, 1, ["T"], 1), (1, 2, ["c"], 1), (2, 0, ["h", "z"], 2)]
+    empty = spark.createDataFrame([], "d int, o int, t string, k string")
+    assert O.pack_blocks(empty, "d", "o", "t", "k").count() == 0
