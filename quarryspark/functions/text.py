@@ -85,25 +85,31 @@ def collapse_whitespace(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"(?m) +$", ""), r"\n{3,}", "\n\n"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not anew in each branch."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def block_type(text: Column, first: Column) -> Column:
     """Kind of a block without layout hints: warning, note, faq, table, step, list, title, heading or paragraph."""
-    clean = strip(text)
-    lines = F.filter(F.split(clean, "\n"), lambda x: strip(x) != "")
-    head = strip(F.substring_index(clean, "\n", 1))
+    parts = lambda clean: F.struct(F.filter(F.split(clean, "\n"), lambda x: strip(x) != "").alias("lines"), strip(F.substring_index(clean, "\n", 1)).alias("head"))
+    return _once(strip(text), lambda clean: F.when(clean == "", "unknown").otherwise(_once(parts(clean), lambda x: _block_type(x["lines"], x["head"], first))))
+
+
+def _block_type(lines: Column, head: Column, first: Column) -> Column:
     piped = F.size(F.filter(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2))
     letters = F.regexp_replace(head, r"[^\p{L}]", "")
     upper = (letters != "") & (letters == F.upper(letters)) & ~letters.rlike(r"[^\p{Lu}]")
     plain = (F.size(F.split(head, r"\s+")) <= HEADING_WORDS) & ~head.rlike("[.!?]")
-    heading = (F.length(head) <= HEADING_CHARS) & (head.rlike(MARKDOWN_HEADING) | (~head.rlike(r"[.;,]$") & (head.rlike(NUMBERED_HEADING) | upper | plain)))
+    heading = (F.size(lines) == 1) & (F.length(head) <= HEADING_CHARS) & (head.rlike(MARKDOWN_HEADING) | (~head.rlike(r"[.;,]$") & (head.rlike(NUMBERED_HEADING) | plain | upper)))
     return (
-        F.when(clean == "", "unknown")
-        .when(head.rlike(WARNING_LINE), "warning")
+        F.when(head.rlike(WARNING_LINE), "warning")
         .when(head.rlike(NOTE_LINE), "note")
         .when(head.rlike(FAQ_LINE) | (head.endswith("?") & (F.size(lines) > 1)), "faq")
         .when((F.size(lines) >= 2) & (piped >= F.greatest(F.lit(2), F.size(lines) - 1)), "table")
         .when((F.size(lines) >= 2) & F.forall(lines, lambda x: x.rlike(STEP_LINE)), "step")
         .when(F.forall(lines, lambda x: x.rlike(LIST_LINE)), "list")
-        .when(heading & (F.size(lines) == 1), F.when(first, "title").otherwise("heading"))
+        .when(heading, F.when(first, "title").otherwise("heading"))
         .otherwise("paragraph")
     )
 
