@@ -117,8 +117,7 @@ def _block_type(lines: Column, head: Column, first: Column) -> Column:
 def content_type(text: Column, chunk_type: Column | None = None) -> Column:
     """Struct of type and confidence: from the chunk's type, else the surest detector (ties by name), else the default."""
     hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(-s).alias("s"), F.lit(n).alias("n"))) for n, s, p in CONTENT_TYPES]))
-    best = F.array_min(hits)
-    found = F.struct(F.coalesce(best["n"], F.lit(DEFAULT_TYPE)).alias("content_type"), F.coalesce(-best["s"], F.lit(DEFAULT_CONFIDENCE)).alias("confidence"))
+    found = _once(F.array_min(hits), lambda best: F.struct(F.coalesce(best["n"], F.lit(DEFAULT_TYPE)).alias("content_type"), F.coalesce(-best["s"], F.lit(DEFAULT_CONFIDENCE)).alias("confidence")))
     if chunk_type is None:
         return found
     known = F.struct(chunk_type.alias("content_type"), F.lit(CHUNK_TYPE_CONFIDENCE).alias("confidence"))
