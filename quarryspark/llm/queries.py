@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, htmltext, maxent, mixing, quality, sharding, simhash, urlrules
+from . import ann, chat, clusterlayout, decontaminate, htmltext, maxent, mixing, quality, sharding, simhash, urlrules
 from .common import id_fold
 
 
@@ -67,10 +67,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid = clusterlayout.document_layout(_read(spark, sf_dir, "documents"))
+    bounds = F.concat_ws(",", *[F.col(f"{e}{i}").cast("string") for i in range(4) for e in ("low", "high")])
+    return laid.select("doc_id", "z", "position", "file", "files_touched", "files_matching", bounds.alias("file_bounds"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality, op2_decontamination, op3_simhash, op4_maxent, op5_chat, op6_urls, op7_ann, op8_mixing, op9_sharding, op10_html)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality, op2_decontamination, op3_simhash, op4_maxent, op5_chat, op6_urls, op7_ann, op8_mixing, op9_sharding, op10_html, op11_layout)}
 
 
 def _escaped(x: str) -> str:
@@ -103,5 +109,17 @@ _MIX = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text
   SELECT doc_id, size, source_size, target, (size * (CASE WHEN target > 0 AND (before + size) / target + (0 - size / 2.0::DOUBLE) / target <= 1.0 THEN 1 ELSE 0 END + CASE WHEN target > 0 AND (before + size) / target + (source_size - size / 2.0::DOUBLE) / target <= 1.0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM q"""
 
 
+_CRC = "xor(4294967295, list_reduce(list_transform(range(1, length(t) + 1), lambda i: ascii(substr(t, i, 1))::BIGINT), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)), xor(c, b)), 4294967295::BIGINT))"
+_AXES = ("source", "lang", "length", "date")
+_LAYOUT = f"""WITH v AS (SELECT doc_id, source, lang, coalesce(strlen(text), -1)::BIGINT AS length, ({_CRC.replace("(t", "(doc_id::VARCHAR")}) % 365 AS date FROM documents),
+  c AS (SELECT doc_id, {", ".join(f"(16 * (rank() OVER (ORDER BY {a} NULLS FIRST) - 1)) // (count(*) OVER ()) AS c{i}" for i, a in enumerate(_AXES))} FROM v),
+  z AS (SELECT *, {" + ".join(f"((c{i} >> {b}) & 1) * {1 << (4 * b + 3 - i)}" for b in range(4) for i in range(4))} AS z FROM c),
+  p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id) - 1 AS position FROM z), f AS (SELECT *, position // 1000 AS file FROM p),
+  b AS MATERIALIZED (SELECT file, {", ".join(f"min(c{i}) AS l{i}, max(c{i}) AS h{i}" for i in range(4))} FROM f GROUP BY file), q AS MATERIALIZED (SELECT DISTINCT c0, c1, c2, c3 FROM f), m AS MATERIALIZED (SELECT DISTINCT file, c0, c1, c2, c3 FROM f),
+  t AS (SELECT q.c0, q.c1, q.c2, q.c3, count(*) AS files_touched FROM q JOIN b ON q.c0 BETWEEN l0 AND h0 AND q.c1 BETWEEN l1 AND h1 AND h2 >= q.c2 - 2 AND l2 <= q.c2 + 2 AND h3 >= q.c3 - 2 AND l3 <= q.c3 + 2 GROUP BY ALL),
+  x AS (SELECT q.c0, q.c1, q.c2, q.c3, count(DISTINCT m.file) AS files_matching FROM q JOIN m ON q.c0 = m.c0 AND q.c1 = m.c1 AND abs(q.c2 - m.c2) <= 2 AND abs(q.c3 - m.c3) <= 2 GROUP BY ALL)
+  SELECT doc_id, z::BIGINT AS z, position::BIGINT AS position, file::BIGINT AS file, files_touched::BIGINT AS files_touched, files_matching::BIGINT AS files_matching, concat_ws(',', l0, h0, l1, h1, l2, h2, l3, h3) AS file_bounds FROM f JOIN b USING (file) JOIN t USING (c0, c1, c2, c3) JOIN x USING (c0, c1, c2, c3)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": _CHAT, "op6_urls": _URLS, "op8_mixing": _MIX}
+    return {"op11_layout": _LAYOUT, "op5_chat": _CHAT, "op6_urls": _URLS, "op8_mixing": _MIX}
