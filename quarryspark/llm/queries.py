@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, clusterlayout, decontaminate, htmltext, maxent, mixing, quality, sharding, simhash, urlrules
+from . import ann, bpe, chat, clusterlayout, decontaminate, htmltext, maxent, mixing, quality, sharding, simhash, urlrules, vectorcodes
 from .common import id_fold
 
 
@@ -73,10 +73,26 @@ def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.select("doc_id", "z", "position", "file", "files_touched", "files_matching", bounds.alias("file_bounds"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    found = bpe.decode(encoded, path)
+    tokens = F.expr("octet_length(ids) div 4").cast("long")
+    return found.select("doc_id", tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.encode(_read(spark, sf_dir, "embeddings"))
+    found = vectorcodes.label_errors(codes)
+    return found.select(F.col("__id").alias("vec_id"), vectorcodes.code_text(F.col("code")).alias("code"), "error", "label_error", F.lit(vectorcodes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality, op2_decontamination, op3_simhash, op4_maxent, op5_chat, op6_urls, op7_ann, op8_mixing, op9_sharding, op10_html, op11_layout)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality, op2_decontamination, op3_simhash, op4_maxent, op5_chat, op6_urls, op7_ann, op8_mixing, op9_sharding, op10_html, op11_layout, op12_bpe, op13_codes)}
 
 
 def _escaped(x: str) -> str:
@@ -121,5 +137,20 @@ _LAYOUT = f"""WITH v AS (SELECT doc_id, source, lang, coalesce(strlen(text), -1)
   SELECT doc_id, z::BIGINT AS z, position::BIGINT AS position, file::BIGINT AS file, files_touched::BIGINT AS files_touched, files_matching::BIGINT AS files_matching, concat_ws(',', l0, h0, l1, h1, l2, h2, l3, h3) AS file_bounds FROM f JOIN b USING (file) JOIN t USING (c0, c1, c2, c3) JOIN x USING (c0, c1, c2, c3)"""
 
 
+def _codes_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds unrolled; all numbers are whole and below 2**53, so doubles hold them exactly."""
+    sums = ", ".join(f"floor(sum(x[{i}]) / count(*))" for i in range(1, width + 1))
+    square = " + ".join(f"(x[{i}] - b.e[{i}]) * (x[{i}] - b.e[{i}])" for i in range(1, width + 1))
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS MATERIALIZED (SELECT r, part, v[part * {width} + 1 : (part + 1) * {width}] AS x FROM v, (SELECT unnest(range({parts})) AS part)), b0 AS MATERIALIZED (SELECT part, r - 1 AS j, x AS e FROM p WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p.part, min(struct_pack(d := {square}, j := b.j)) AS m FROM p JOIN b{k} AS b ON p.part = b.part GROUP BY ALL)")
+        if k < rounds:
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.j, coalesce(n.e, b.e) AS e FROM b{k} AS b LEFT JOIN (SELECT a.part, m.j AS j, [{sums}] AS e FROM a{k} AS a JOIN p USING (r, part) GROUP BY ALL) AS n ON b.part = n.part AND b.j = n.j)")
+    return "WITH " + ", ".join(steps) + f""", h AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda c: c::BIGINT), ','), ',' ORDER BY part, j)) AS codebooks_sha256 FROM b{rounds}),
+  c AS (SELECT r, string_agg(lower(lpad(to_hex(m.j), 2, '0')), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (r), h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_layout": _LAYOUT, "op5_chat": _CHAT, "op6_urls": _URLS, "op8_mixing": _MIX}
+    return {"op13_codes": _codes_sql(), "op11_layout": _LAYOUT, "op5_chat": _CHAT, "op6_urls": _URLS, "op8_mixing": _MIX}
