@@ -42,15 +42,18 @@ def overlapping_parts(texts: pd.Series) -> pd.Series:
 
 
 def pack_sentences(text: str, most: int = SENTENCES, least: int = LEAST) -> list[str]:
-    """Sentences joined into chunks of at most ``most`` characters; chunks of ``least`` or fewer are dropped."""
+    """Sentences joined into chunks of at most ``most`` characters; a sentence beyond that is sliced into chunks of its own, which
+    nothing is joined to; chunks of ``least`` or fewer are dropped."""
     chunks, now = [], ""
     for sentence in re.split(r"(?<=[.!?])\s+", " ".join(text.split())):
         if now and len(now) + 1 + len(sentence) > most:
             chunks.append(now)
-            now = sentence
+            now = ""
+        if len(sentence) > most:
+            chunks += [sentence[k : k + most] for k in range(0, len(sentence), most)]
         else:
             now = f"{now} {sentence}" if now else sentence
-    return [x for x in [*chunks, now] if len(x) > least]
+    return [x for x in [*chunks, now] if len(x.strip()) > least]
 
 
 @F.pandas_udf(_STRINGS)

@@ -33,14 +33,19 @@ CONTENT_TYPES = (
     ("warning", 0.78, r"(?iu)" + _B + "(?:figyelem|warning|veszély|fontos)" + _E),
 )
 CHUNK_TYPES, CHUNK_TYPE_CONFIDENCE, DEFAULT_TYPE, DEFAULT_CONFIDENCE = ("table", "list", "step", "warning", "note"), 0.92, "general_text", 0.45
+#: The edge of a word, for matches that may begin with another character, and a word's characters.
+_EDGE, _CHARS = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))", r"\p{L}\p{N}_"
 IDENTIFIERS = {
-    "email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]{2,}",
-    "phone": r"(?:\+36|06)[\s-]?\d{1,2}[\s-]?\d{3}[\s-]?\d{4}",
-    "url": r"https?://[A-Za-z0-9_./?=&%-]+",
-    "ticket_id": r"[A-Z][A-Z0-9]{1,9}-\d{1,6}",
-    "contract_number": r"(?i)(?:SZERZ|SZ|CTR|K)[-/]?\d{2,4}[-/]\d{1,6}",
-    "invoice_number": r"(?i)(?:SZLA|INV)[-/]?\d{2,4}[-/]?\d{1,8}",
+    "email": _EDGE + rf"[{_CHARS}.+-]+@[{_CHARS}.-]+\.[{_CHARS}]{{2,}}" + _E,
+    "phone": _EDGE + r"(?:\+36|06)[\s-]?\d{1,2}[\s-]?\d{3}[\s-]?\d{4}" + _E,
+    "url": _B + rf"https?://[{_CHARS}./?=&%-]+",
+    "ticket_id": _B + r"[A-Z][A-Z0-9]{1,9}-\d{1,6}" + _E,
+    "contract_number": _B + r"(?i)(?:SZERZ|SZ|CTR|K)[-/]?\d{2,4}[-/]\d{1,6}" + _E,
+    "invoice_number": _B + r"(?i)(?:SZLA|INV)[-/]?\d{2,4}[-/]?\d{1,8}" + _E,
 }
+#: Characters of a text that is taken in, at most (fixed value), and what Python calls white space.
+INGEST_CHARS = 2_000_000
+WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def fix_encoding(text: Column) -> Column:
@@ -296,10 +301,15 @@ def blank_line_blocks(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda x: x != "")
 
 
-def ingest_normal(text: Column, most: int) -> Column:
-    """A text as it is taken in: no byte-order mark, line ends as LF, composed characters, at most ``most`` of them."""
-    bare = F.replace(F.replace(F.replace(text, F.lit("﻿"), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.substring(normal_form("NFC")(bare), 1, most)
+def ingest_normal(text: Column) -> Column:
+    """A text as it is taken in, whole: without a byte-order mark at its start (one of them), line ends as LF, composed characters."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\x{FEFF}", "")
+    return normal_form("NFC")(F.replace(F.replace(bare, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+
+
+def ingest_error(normal: Column, most: int = INGEST_CHARS) -> Column:
+    """Why a text in its normal form is rejected: it is blank, or has more than ``most`` characters; null if it is taken."""
+    return F.when(~normal.rlike(f"[^{WHITE}]"), "TEXT_REQUIRED").when(F.length(normal) > most, "TEXT_TOO_LONG")
 
 
 def lookup_normal(text: Column) -> Column:

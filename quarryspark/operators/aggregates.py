@@ -105,13 +105,3 @@ def alert_rules(values: DataFrame, rules: Sequence[tuple[str, str, float | None]
         rows.append(F.struct(F.lit(name).alias("rule"), value.alias("value"), F.lit(threshold).cast("double").alias("threshold"), state.alias("state")))
     return values.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
-
-def upsert_counts(events: DataFrame, key: Sequence[str], ts: str, status: str, order: str) -> DataFrame:
-    """Issues from their occurrences: first and last seen, number, and the latest status; an occurrence after a
-    terminal status opens it again."""
-    return events.groupBy(*key).agg(
-        F.count("*").alias("occurrence_count"),
-        F.min(ts).alias("first_seen_at"),
-        F.max(ts).alias("last_seen_at"),
-        F.max_by(status, F.struct(ts, order)).alias("last_status"),
-    )

@@ -146,16 +146,18 @@ def profile_confidence(content: Column, language: Column, keywords: Column, topi
     return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + boost)), 4)
 
 
-def rule_rows(measures: Sequence[DataFrame], rules: Sequence[tuple[str, str, str | None, float | None, bool]]) -> DataFrame:
-    """(rule, priority, value, threshold, status) from frames of one row each with the measures; a rule triggers at its
-    threshold, or below it if its last field says so, and is unavailable without a measure."""
+def rule_rows(measures: Sequence[DataFrame], rules: Sequence[tuple[str, str, str | None, float | None, str, tuple[str, float] | None]]) -> DataFrame:
+    """(rule, priority, value, threshold, status) from frames of one row each with the measures. A rule has a measure, a
+    threshold, how it triggers ("least": from the threshold on, "most": below it, "over": above it, "any": above zero), and
+    maybe a second measure with the least that it needs; it is unavailable without a measure."""
     whole = reduce(lambda a, b: a.join(b, "__k"), [m.withColumn("__k", F.lit(1)) for m in measures])  # one row each
 
-    def row(rule, priority, measure, threshold, below):
-        value, least = (F.col(measure) if measure else F.lit(None).cast("double")), F.lit(threshold).cast("double")
-        hit = value < least if below else value >= least
-        status = F.when(value.isNull() | least.isNull(), "unavailable").when(hit, "triggered").otherwise("ok")
-        return F.struct(F.lit(rule).alias("rule"), F.lit(priority).alias("priority"), value.alias("value"), least.alias("threshold"), status.alias("status"))
+    def row(rule, priority, measure, threshold, how, also):
+        value, bound = (F.col(measure).cast("double") if measure else F.lit(None).cast("double")), F.lit(threshold).cast("double")
+        hit = {"least": value >= bound, "most": value < bound, "over": value > bound, "any": value > 0}[how]
+        hit = hit & (F.col(also[0]) >= also[1]) if also else hit
+        status = F.when(value.isNull(), "unavailable").when(hit, "triggered").otherwise("ok")
+        return F.struct(F.lit(rule).alias("rule"), F.lit(priority).alias("priority"), value.alias("value"), bound.alias("threshold"), status.alias("status"))
 
     return whole.select(F.explode(F.array(*[row(*r) for r in rules])).alias("r")).select("r.*")
 

@@ -153,49 +153,53 @@ def plan_limit_checks(t):
     return rows.select("c_custkey", F.array_join(over, ",").alias("over"))
 
 
+# The alert rules. Rule, priority, measure (none: unavailable), threshold (none: not stated), and how the
+# measure triggers: "least" from the threshold on, "most" up to below it, "over" above it, "any" above zero;
+# and a second measure with the least that it needs.
 _RULES = (
-    # rule, priority, measure (none: unavailable), threshold, and whether it triggers below the threshold
-    ("p1_api_not_responding", "P1", "requests", 1, True),
-    ("p1_db_unreachable", "P1", "db_errors", 1, False),
-    ("p1_login_outage", "P1", "failed_logins", 20, False),
-    ("p1_payment_outage", "P1", None, None, False),
-    ("p1_disk_usage_high", "P1", None, None, False),
-    ("p1_restart_loop", "P1", None, None, False),
-    ("p1_failed_login_same_ip", "P1", "most_by_ip", 10, False),
-    ("p1_failed_login_same_email", "P1", "most_by_mail", 20, False),
-    ("p1_admin_login_new_ip", "P1", "new_ips", 1, False),
-    ("p1_privilege_escalation", "P1", "escalations", 1, False),
-    ("p1_permission_denied_spike", "P1", "denied", 20, False),
-    ("p1_rate_limit_spike", "P1", "limited", 50, False),
-    ("p1_token_abuse", "P1", "bad_tokens", 20, False),
-    ("p2_api_latency_p95", "P2", None, None, False),
-    ("p2_error_rate", "P2", "error_share", 2, False),
-    ("p2_db_slow_query_spike", "P2", None, None, False),
-    ("p2_queue_failure_rise", "P2", "queue_failures", 10, False),
-    ("p2_payment_failed_rise", "P2", None, None, False),
-    ("p2_new_device_login_rise", "P2", "new_devices", 10, False),
-    ("p3_deployment_finished", "P3", "deployments", 1, False),
-    ("p3_new_admin_created", "P3", "new_admins", 1, False),
-    ("p3_feature_flag_changed", "P3", None, None, False),
-    ("p3_usage_spike", "P3", "requests", 1000, False),
-    ("p3_export_completed", "P3", "exports", 1, False),
+    ("p1_api_not_responding", "P1", "requests", 1, "most", None),
+    ("p1_db_unreachable", "P1", "db_errors", 1, "least", None),
+    ("p1_login_outage", "P1", "failed_logins", 20, "least", ("no_logins", 1)),
+    ("p1_payment_outage", "P1", None, None, "least", None),
+    ("p1_disk_usage_high", "P1", None, None, "least", None),
+    ("p1_restart_loop", "P1", None, None, "least", None),
+    ("p1_failed_login_same_ip", "P1", "most_by_ip", 10, "least", None),
+    ("p1_failed_login_same_email", "P1", "most_by_mail", 20, "least", None),
+    ("p1_admin_login_new_country_ip", "P1", "new_ips", 1, "least", None),
+    ("p1_privilege_escalation", "P1", "escalations", 1, "least", None),
+    ("p1_permission_denied_spike", "P1", "denied", 15, "least", None),
+    ("p1_rate_limit_spike", "P1", "limited", 50, "least", None),
+    ("p1_token_abuse", "P1", "bad_tokens", 20, "least", None),
+    ("p2_api_latency_p95", "P2", None, None, "least", None),
+    ("p2_error_rate", "P2", "error_share", 2, "over", ("requests", 100)),
+    ("p2_db_slow_query_spike", "P2", None, None, "least", None),
+    ("p2_queue_failure_rise", "P2", "queue_failures", 5, "least", None),
+    ("p2_payment_failed_rise", "P2", None, None, "least", None),
+    ("p2_new_device_login_rise", "P2", "new_devices", 10, "least", None),
+    ("p3_deployment_finished", "P3", "deployments", None, "any", None),
+    ("p3_new_admin_created", "P3", "new_admins", None, "any", None),
+    ("p3_feature_flag_changed", "P3", None, None, "least", None),
+    ("p3_usage_spike", "P3", "requests", 1000, "least", None),
+    ("p3_export_completed", "P3", "exports", None, "any", None),
 )
 #: What stands for each measure in the events: (event type, least value), counted.
-_MEASURES = {"requests": (None, 0), "db_errors": ("error", 489), "failed_logins": ("error", 300), "escalations": ("error", 489.9), "denied": ("click", 480), "limited": ("click", 470), "bad_tokens": ("view", 486), "queue_failures": ("purchase", 485), "new_devices": ("signup", 485), "deployments": ("signup", 489.5), "new_admins": ("signup", 400), "exports": ("purchase", 489)}
+_MEASURES = {"requests": (None, 0), "db_errors": ("error", 489), "failed_logins": ("error", 300), "logins": ("view", 489.99), "escalations": ("error", 489.9), "denied": ("click", 480), "limited": ("click", 470), "bad_tokens": ("view", 486), "queue_failures": ("purchase", 485), "new_devices": ("signup", 485), "deployments": ("signup", 489.5), "new_admins": ("signup", 400), "exports": ("purchase", 489)}
 _COUNTED = ", ".join(f"count(*) FILTER ({f'event_type = {chr(39)}{k}{chr(39)} AND ' if k else ''}value >= {v})::DOUBLE AS {n}" for n, (k, v) in _MEASURES.items())
-_RULE_ROWS = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{p}' AS priority, {m or 'NULL::DOUBLE'} AS value, {t if t is not None else 'NULL'}::DOUBLE AS threshold, {str(b).lower()} AS below FROM m" for r, p, m, t, b in _RULES)
+_HITS = {"least": "value >= threshold", "most": "value < threshold", "over": "value > threshold", "any": "value > 0"}
+_RULE_ROWS = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{p}' AS priority, {m or 'NULL'}::DOUBLE AS value, {t if t is not None else 'NULL'}::DOUBLE AS threshold, '{how}' AS how, {f'{also[0]} >= {also[1]}' if also else 'true'} AS also FROM m" for r, p, m, t, how, also in _RULES)
 
 
-@query(f"""WITH a AS (SELECT {_COUNTED}, round(100.0::DOUBLE * count(*) FILTER (event_type = 'error' AND value > 400) / count(*), 6) AS error_share FROM events),
+@query(f"""WITH a AS (SELECT {_COUNTED}, round(100.0::DOUBLE * count(*) FILTER (event_type = 'error' AND value > 400) / count(*), 2) AS error_share FROM events),
   b AS (SELECT max(n)::DOUBLE AS most_by_ip FROM (SELECT count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id)), d AS (SELECT max(n)::DOUBLE AS most_by_mail FROM (SELECT count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id % 40)),
   i AS (SELECT count(*)::DOUBLE AS new_ips FROM (SELECT DISTINCT user_id FROM events WHERE ts >= {_AT} - INTERVAL 1 DAY AND event_type = 'signup' EXCEPT SELECT user_id FROM events WHERE ts < {_AT} - INTERVAL 1 DAY AND event_type = 'signup')),
-  m AS (SELECT * FROM a, b, d, i), r AS ({_RULE_ROWS})
-  SELECT rule, priority, value, threshold, CASE WHEN value IS NULL OR threshold IS NULL THEN 'unavailable' WHEN CASE WHEN below THEN value < threshold ELSE value >= threshold END THEN 'triggered' ELSE 'ok' END AS status FROM r""")
+  m AS (SELECT *, CASE WHEN logins = 0 THEN 1 ELSE 0 END AS no_logins FROM a, b, d, i), r AS ({_RULE_ROWS})
+  SELECT rule, priority, value, threshold, CASE WHEN value IS NULL THEN 'unavailable' WHEN also AND CASE how {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _HITS.items())} END THEN 'triggered' ELSE 'ok' END AS status FROM r""")
 def alert_rule_table(t):
     """All alert rules as rows over one pass of conditional counts and three small ones."""
     e = t.events
     counted = {n: F.count_if((c("event_type") == k if k else F.lit(True)) & (c("value") >= v)).cast("double") for n, (k, v) in _MEASURES.items()}
-    a = e.agg(*[x.alias(n) for n, x in counted.items()], F.round(100.0 * F.count_if((c("event_type") == "error") & (c("value") > 400)) / F.count("*"), 6).alias("error_share"))
+    a = e.agg(*[x.alias(n) for n, x in counted.items()], F.round(100.0 * F.count_if((c("event_type") == "error") & (c("value") > 400)) / F.count("*"), 2).alias("error_share"))
+    a = a.withColumn("no_logins", (c("logins") == 0).cast("int"))
     most = lambda by, name: e.where("event_type = 'error'").groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").cast("double").alias(name))
     day, signups = now() - F.expr("interval 1 day"), e.where("event_type = 'signup'")
     new = J.only_new(signups.where(c("ts") >= day), signups.where(c("ts") < day), ["user_id"]).agg(F.count("*").cast("double").alias("new_ips"))

@@ -66,9 +66,14 @@ def block_kinds(t):
     return rows.select(X.block_type(c("x"), F.lit(False)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, sha256(substr(nfc_normalize(replace(replace(replace(text, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))), 1, 20000)) AS h FROM documents""")
+@query("""WITH n AS (SELECT doc_id, nfc_normalize(replace(replace(CASE WHEN starts_with(text, chr(65279)) THEN substr(text, 2) ELSE coalesce(text, '') END, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS x FROM documents),
+  e AS (SELECT *, CASE WHEN NOT regexp_matches(x, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]') THEN 'TEXT_REQUIRED' WHEN length(x) > 20000 THEN 'TEXT_TOO_LONG' END AS error FROM n)
+  SELECT doc_id, CASE WHEN error IS NULL THEN sha256(x) END AS h, length(x) AS n, error FROM e""")
 def ingest_normalise(t):
-    return t.documents.select("doc_id", F.sha2(X.ingest_normal(c("text"), 20_000), 256).alias("h"))
+    """Every text is taken in whole or rejected with a reason; texts of over 20,000 characters are too long here, so that some are."""
+    rows = t.documents.select("doc_id", X.ingest_normal(c("text")).alias("x")).withColumn("error", X.ingest_error(c("x"), 20_000))
+    taken = c("error").isNull()
+    return rows.select("doc_id", F.when(taken, F.sha2("x", 256)).alias("h"), F.length("x").cast("long").alias("n"), "error")
 
 
 @query("""SELECT DISTINCT regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') AS name FROM part""")

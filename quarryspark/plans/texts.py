@@ -69,12 +69,12 @@ def content_type_detect(t):
     return t.documents.select("doc_id", X.content_type(c("text"), kind)["content_type"].alias("content_type"))
 
 
-@query("""WITH u AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]{2,}')) AS name FROM documents
-  UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '(?:\\+36|06)[\\s-]?\\d{1,2}[\\s-]?\\d{3}[\\s-]?\\d{4}')) FROM documents
-  UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9_./?=&%-]+')) FROM documents
-  UNION ALL SELECT doc_id, 'ticket_id', unnest(regexp_extract_all(text, '[A-Z][A-Z0-9]{1,9}-\\d{1,6}')) FROM documents
-  UNION ALL SELECT doc_id, 'contract_number', unnest(regexp_extract_all(text, '(?i)(?:SZERZ|SZ|CTR|K)[-/]?\\d{2,4}[-/]\\d{1,6}')) FROM documents
-  UNION ALL SELECT doc_id, 'invoice_number', unnest(regexp_extract_all(text, '(?i)(?:SZLA|INV)[-/]?\\d{2,4}[-/]?\\d{1,8}')) FROM documents)
+@query("""WITH u AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '\\b[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.[\\p{L}\\p{N}_]{2,}\\b')) AS name FROM documents
+  UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '\\b(?:\\+36|06)[\\s-]?\\d{1,2}[\\s-]?\\d{3}[\\s-]?\\d{4}\\b')) FROM documents
+  UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, '\\bhttps?://[\\p{L}\\p{N}_./?=&%-]+')) FROM documents
+  UNION ALL SELECT doc_id, 'ticket_id', unnest(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{1,9}-\\d{1,6}\\b')) FROM documents
+  UNION ALL SELECT doc_id, 'contract_number', unnest(regexp_extract_all(text, '(?i)\\b(?:SZERZ|SZ|CTR|K)[-/]?\\d{2,4}[-/]\\d{1,6}\\b')) FROM documents
+  UNION ALL SELECT doc_id, 'invoice_number', unnest(regexp_extract_all(text, '(?i)\\b(?:SZLA|INV)[-/]?\\d{2,4}[-/]?\\d{1,8}\\b')) FROM documents)
   SELECT doc_id, kind, name, count(*) AS n FROM u GROUP BY 1, 2, 3""")
 def identifier_mentions(t):
     return t.documents.select("doc_id", F.explode(X.identifiers(c("text"))).alias("x")).groupBy("doc_id", "x.kind", "x.name").agg(F.count("*").alias("n")).select("doc_id", "kind", "name", "n")

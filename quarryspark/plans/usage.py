@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import issues as I
 from .registry import now, query
 
 #: Upper bounds of the histogram's buckets (fixed values).
@@ -184,11 +185,22 @@ def prometheus_exposition(t):
     return A.prometheus_lines(A.cumulative_histogram(t.events, "value", BUCKETS, ["event_type"]), "request_ms", "event_type")
 
 
-@query("""SELECT user_id, event_type, count(*) AS occurrence_count, min(ts) AS first_seen_at, max(ts) AS last_seen_at, arg_max(CASE WHEN value > 250 THEN 'open' ELSE 'resolved' END, struct_pack(a := ts, b := event_id)) AS last_status
-  FROM events GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT user_id, event_type, ts, event_id, value, value > 250 AS occ, struct_pack(a := ts, b := event_id) AS at_, CASE event_id % 3 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'IGNORED' ELSE 'ACKNOWLEDGED' END AS st FROM events),
+  o AS (SELECT user_id, event_type, min(at_) AS first_, max(at_) AS last_, count(*) AS n, arg_max(CASE WHEN value > 400 THEN 'error' ELSE 'warning' END, at_) AS severity, arg_max('event ' || event_id, at_) FILTER (event_id % 4 > 0) AS message, arg_max(props_k, at_) AS k FROM (SELECT * FROM e JOIN (SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS props_k FROM events) USING (event_id)) WHERE occ GROUP BY 1, 2),
+  u AS (SELECT e.user_id, e.event_type, max(at_) AS set_, arg_max(st, at_) AS st FROM e JOIN o USING (user_id, event_type) WHERE NOT occ AND at_ > first_ GROUP BY 1, 2),
+  m AS (SELECT user_id, event_type, event_id % 3 AS r, arg_max(event_id, at_) AS id FROM e WHERE occ GROUP BY 1, 2, 3), g AS (SELECT user_id, event_type, string_agg('"u' || r || '":{"id":' || id || '}', ',' ORDER BY r) AS us FROM m GROUP BY 1, 2),
+  w AS (SELECT *, coalesce(set_ > last_, false) AS after FROM o LEFT JOIN u USING (user_id, event_type) JOIN g USING (user_id, event_type))
+  SELECT user_id, event_type, n AS occurrence_count, first_.a AS first_seen_at, last_.a AS last_seen_at, severity, message, CASE WHEN st IS NULL OR (NOT after AND st <> 'ACKNOWLEDGED') THEN 'OPEN' ELSE st END AS status,
+  CASE WHEN after AND st <> 'ACKNOWLEDGED' THEN set_.a END AS resolved_at, '{"k":' || k || ',' || us || '}' AS metadata FROM w""")
 def issue_upsert(t):
-    rows = t.events.withColumn("status", F.when(F.col("value") > 250, "open").otherwise("resolved"))
-    return A.upsert_counts(rows, ["user_id", "event_type"], "ts", "status", "event_id")
+    """The issues of half a month are the stored table into which those of the other half are upserted."""
+    c, occurs = F.col, F.col("value") > 250
+    status = F.when(c("event_id") % 3 == 0, "RESOLVED").when(c("event_id") % 3 == 1, "IGNORED").otherwise("ACKNOWLEDGED")
+    metadata = F.format_string('{"k":%s,"u%d":{"id":%d}}', F.regexp_extract("props", "([0-9]+)", 1), c("event_id") % 3, c("event_id"))
+    rows = t.events.select("user_id", "event_type", "ts", c("event_id").alias("order"), F.when(~occurs, status).alias("status"), F.when(c("value") > 400, "error").otherwise("warning").alias("severity"), F.when(c("event_id") % 4 > 0, F.concat(F.lit("event "), c("event_id"))).alias("message"), F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("string").alias("step"), metadata.alias("metadata"))
+    half, key = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), ["user_id", "event_type"]
+    stored = I.upsert_issues(None, rows.where(c("ts") < half), key)
+    return I.upsert_issues(stored, rows.where(c("ts") >= half), key).drop("job_id", "step")
 
 
 @query("""WITH x AS (SELECT source, count(*) AS n, count(*) FILTER (n_chars < 100) AS failed FROM documents GROUP BY 1)

@@ -26,13 +26,17 @@ def sentence_chunks(spark):
     got = {}
     for r in sorted(result(spark, "sentence_chunks"), key=lambda r: (r.doc_id, r.chunk)):
         got.setdefault(r.doc_id, []).append(r.text)
+    assert max(len(x) for texts in got.values() for x in texts) <= 900
     for d in rows(spark, "documents"):
-        parts, now, wanted = [s for s in regex.split(r"(?<=[.!?])\s+", " ".join((d.text or "").split()))], [], []
-        for s in [*parts, None]:
+        now, wanted = [], []
+        for s in [*regex.split(r"(?<=[.!?])\s+", " ".join((d.text or "").split())), None]:
             if s is None or now and len(" ".join([*now, s])) > 900:
                 wanted.append(" ".join(now))
                 now = []
-            now.append(s)
+            if s is not None and len(s) > 900:
+                wanted += ["".join(x) for x in zip(*[iter(s)] * 900)] + [s[len(s) // 900 * 900 :]]
+            elif s is not None:
+                now.append(s)
         assert got.get(d.doc_id, []) == [w for w in wanted if len(w) > 20]
 
 
