@@ -55,6 +55,13 @@ def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def first_of_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], deal: str, k: int, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group. They are sought among the first ``k`` of each of ``salts`` shares of a group (dealt by the
+    column ``deal``), so one task sees ``k * salts`` rows of a group at most, however many tasks and rows there are."""
+    shares = top_per_group(rows.withColumn("__salt", F.pmod(F.xxhash64(deal), F.lit(salts))), [*by, "__salt"], order, k, "__n")
+    return top_per_group(shares.drop("__n", "__salt"), by, order, k, "__n").drop("__n")
+
+
 def event_counts(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Counts of named events, where a row stands for none, one or several (each once); all names are listed."""
     names = F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])))
@@ -64,21 +71,15 @@ def event_counts(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def metric_series(samples: DataFrame, by: Sequence[str], value: str, ts: str, order: str, window: int = 2048) -> DataFrame:
-    """Count, sum, least, most, last value, and p50/p95/p99 by linear interpolation over the latest ``window`` samples."""
-    w = W.partitionBy(*by).orderBy(F.desc(ts), F.desc(order))
-    recent = F.when(F.col("__n") <= window, F.col(value))
-    return (
-        samples.withColumn("__n", F.row_number().over(w))
-        .groupBy(*by)
-        .agg(
-            F.count(value).alias("n"),
-            F.sum(value).alias("total"),
-            F.min(value).alias("least"),
-            F.max(value).alias("most"),
-            F.max_by(value, F.struct(ts, order)).alias("last"),
-            *[F.percentile(recent, p / 100).alias(f"p{p}") for p in (50, 95, 99)],
-        )
-    )
+    """Count, sum, least, most, last value, and p50/p95/p99 by linear interpolation over the latest ``window`` samples. The
+    totals are partial aggregates; only the latest samples of each group are sorted."""
+    totals = samples.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.max_by(value, F.struct(ts, order)).alias("last"))
+    latest = first_of_group(samples.select(*by, value, ts, order), by, [F.desc(ts), F.desc(order)], order, window)
+    recent = latest.groupBy(*by).agg(*[F.percentile(value, p / 100).alias(f"p{p}") for p in (50, 95, 99)]).withColumnsRenamed({c: f"__{c}" for c in by})
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return totals.join(recent, match).drop(*[f"__{c}" for c in by])
 
 
 def cumulative_histogram(samples: DataFrame, value: str, bounds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import small_side
+from .aggregates import first_of_group
+
 #: Stages of the processing chain in order.
 STAGES = ("understanding", "discovery", "embedding", "indexing")
 #: Seconds by event type: time limit of a handler, lease, heartbeat; and of all other types (fixed values).
@@ -58,11 +61,27 @@ def upsert_alerts(old: DataFrame, signals: DataFrame, at: str, order: str) -> Da
     )
 
 
-def within_backlog(arrivals: DataFrame, by: Sequence[str], order: Sequence[str], waiting: Column, limit: int) -> DataFrame:
-    """Arrivals with ``accepted``: those that still found the backlog of their queue below the limit. Rejected ones
-    don't count, so the first ones up to what is free are the accepted."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return arrivals.withColumn("accepted", n <= F.greatest(F.lit(0), F.lit(limit) - F.coalesce(waiting, F.lit(0))))
+def within_backlog(arrivals: DataFrame, waiting: DataFrame, by: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """Arrivals with ``accepted``: those that still found the backlog of their queue below the limit. Rejected ones don't
+    count, so the first ones up to what is free are the accepted. ``waiting`` has a row for each queue with its number in ``waiting``;
+    the last column of ``order`` is unique. Only the first ``limit`` of a queue are sorted; the last accepted one of each is its edge,
+    which all arrivals are compared with. A null queue is a queue of its own."""
+    names = {c: f"__{c}" for c in by}
+    first = first_of_group(arrivals.select(*by, *order), by, [F.col(c) for c in order], order[-1], limit)
+    first = first.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    free = F.greatest(F.lit(0), F.lit(limit) - F.coalesce("waiting", F.lit(0)))
+    side = waiting.select(*[F.col(c).alias(n) for c, n in names.items()], "waiting")
+    within = first.join(side, _agree(names), "left").where(F.col("__n") <= free)
+    edges = within.groupBy(*by).agg(F.max(F.struct(*order)).alias("__edge")).withColumnsRenamed(names)
+    found = arrivals.join(small_side(edges), _agree(names), "left")
+    return found.withColumn("accepted", F.coalesce(F.struct(*order) <= F.col("__edge"), F.lit(False))).drop("__edge", *names.values())
+
+
+def _agree(names: dict[str, str]) -> Column:
+    match = F.lit(True)
+    for a, b in names.items():
+        match = match & F.col(a).eqNullSafe(F.col(b))
+    return match
 
 
 def event_policy(kind: Column, default_timeout: int) -> Column:

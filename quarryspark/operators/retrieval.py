@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,33 +17,6 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(v: Column) -> Column:
-    """A vector in double precision, scaled to length one."""
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.nullif(length, F.lit(0.0)))
-
-
-def vector_top_k(points: DataFrame, queries: DataFrame, k: int, by: Sequence[str] = (), vector: str = "v", query_vector: str = "q", key: str = "vec_id", query_key: str = "query_id", max_queries: int = 10_000) -> DataFrame:
-    """Exact cosine search of a stated set of queries: all points pass by once, filtered by the ``by`` columns
-    first. The queries are counted, and are broadcast up to ``max_queries``; each partition of the points keeps
-    its ``k`` best for a query before anything is shuffled. A filter key is an equi join."""
-    p, q = points.withColumn(vector, unit(F.col(vector))), queries.withColumn(query_vector, unit(F.col(query_vector)))
-    if (n := queries.count()) <= max_queries:
-        side = F.broadcast(q)
-        pairs = p.join(side, list(by)) if by else p.join(F.broadcast(q.groupBy().agg(F.collect_list(F.struct(*queries.columns)).alias("__qs"))), F.lit(True)).withColumn("__q", F.explode("__qs")).select(*points.columns, "__q.*")
-    else:
-        # Blocks of queries meet blocks of points: each query goes to every block of points, a point's block to each of queries.
-        deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        m, k_blocks = math.ceil(n / max_queries), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = p.withColumn("__pb", deal(key, k_blocks)).withColumn("__qb", every(m))
-        right = q.withColumn("__qb", deal(query_key, m)).withColumn("__pb", every(k_blocks))
-        pairs = left.join(right, [*by, "__pb", "__qb"]).drop("__pb", "__qb")
-    scored = pairs.where(F.col(key) != F.col(query_key)).withColumn("score", F.round(inner_product(F.col(vector), F.col(query_vector)), 6)).drop(vector, query_vector)
-    w = W.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def hybrid_rank(hits: DataFrame, knowledge: DataFrame, key: str, score: str = "score", knowledge_score: str = "knowledge_score", query_key: str = "query_id") -> DataFrame:
     """Hits reranked by the weighted sum of vector and knowledge score; a missing or zero score counts as one half."""
     known = F.coalesce(F.nullif(F.col(knowledge_score), F.lit(0.0)), F.lit(NO_SCORE))
@@ -53,11 +25,6 @@ def hybrid_rank(hits: DataFrame, knowledge: DataFrame, key: str, score: str = "s
     return rows.withColumn("rank", F.row_number().over(w))
 
 
-def soft_filter(strict: DataFrame, loose: DataFrame, query_key: str = "query_id") -> DataFrame:
-    """Hits under the filter; for queries without any, those without it."""
-    return strict.unionByName(loose.join(strict.select(query_key).distinct(), query_key, "left_anti"))
-
-
 def hydrate(hits: DataFrame, chunks: DataFrame, key: str, fallbacks: dict[str, Column]) -> DataFrame:
     """Hits with their chunks' columns; where a chunk is gone, the fallbacks."""
     return hits.join(chunks, key, "left").select(*hits.columns, *[F.coalesce(F.col(c), d).alias(c) for c, d in fallbacks.items()])

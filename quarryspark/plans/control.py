@@ -41,8 +41,8 @@ def alert_upsert(t):
   SELECT o_orderkey, n <= greatest(0, 700 - coalesce(waiting, 0)) AS accepted FROM n LEFT JOIN w USING (o_orderpriority)""")
 def backlog_admission(t):
     waiting = t.orders.where("o_orderstatus = 'P'").groupBy("o_orderpriority").agg(F.count("*").alias("waiting"))
-    new = t.orders.where("o_orderstatus = 'O'").join(F.broadcast(waiting), "o_orderpriority", "left")  # a row for each of five priorities
-    return O.within_backlog(new, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], c("waiting"), 700).select("o_orderkey", "accepted")
+    new = t.orders.where("o_orderstatus = 'O'")
+    return O.within_backlog(new, waiting, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], 700).select("o_orderkey", "accepted")
 
 
 @query(f"""WITH j AS (SELECT event_id, {_KIND} AS kind, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'running' END AS status, ts AS locked_at, ts + INTERVAL (event_id % 50) MINUTE AS beat_at FROM events),

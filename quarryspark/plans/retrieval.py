@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import ordered as O
 from ..operators import retrieval as R
+from ..operators import vectorsearch as V
 from .registry import query
 
 c = F.col
@@ -32,16 +33,16 @@ def _knowledge(t):
 @query(f"""WITH {_TOP}, h AS (SELECT query_id, r.vec_id, score, round(0.75::DOUBLE * score + 0.25::DOUBLE * coalesce(nullif(quality::DOUBLE, 0.0), 0.5), 8) AS hybrid FROM r LEFT JOIN labels l ON l.doc_id = r.vec_id WHERE rank <= 10)
   SELECT query_id, vec_id, score, hybrid, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, vec_id)::INTEGER AS rank FROM h""")
 def vector_hybrid_topk(t):
-    hits = R.vector_top_k(_points(t), _queries(t), 10, ["label"]).select("query_id", "vec_id", "score")
+    hits = V.top_k(_points(t), _queries(t), 10, ["label"]).select("query_id", "vec_id", "score")
     return R.hybrid_rank(hits, _knowledge(t), "vec_id").select("query_id", "vec_id", "score", "hybrid", "rank")
 
 
 @query(f"""WITH {_TOP}, st AS (SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5 AND query_id % 4 <> 0), lo AS (SELECT query_id, vec_id, round({_DOT}, 6) AS score FROM p, qs WHERE vec_id <> query_id AND query_id % 4 = 0),
   lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM lo) SELECT query_id, vec_id, score FROM st UNION ALL SELECT query_id, vec_id, score FROM lr WHERE rank <= 5""")
 def vector_soft_language_fallback(t):
-    strict = R.vector_top_k(_points(t), _queries(t).where("query_id % 4 <> 0"), 5, ["label"]).select("query_id", "vec_id", "score")
-    loose = R.vector_top_k(_points(t).drop("label"), _queries(t).drop("label"), 5).select("query_id", "vec_id", "score")
-    return R.soft_filter(strict, loose)
+    """Every fourth query asks for a label that no point has."""
+    queries = _queries(t).withColumn("label", F.when(c("query_id") % 4 == 0, -1).otherwise(c("label")))
+    return V.soft_top_k(_points(t), queries, 5, ["label"]).select("query_id", "vec_id", "score")
 
 
 @query("""SELECT doc_id, CASE WHEN v.vec_id IS NULL THEN 'generate' ELSE 'reuse' END AS action FROM documents d LEFT JOIN (SELECT DISTINCT vec_id, label FROM embeddings WHERE label < 5) v ON v.vec_id = d.doc_id AND v.label = d.doc_id % 5""")
@@ -53,7 +54,7 @@ def embedding_reuse_lookup(t):
 
 @query(f"""WITH {_TOP} SELECT query_id, r.vec_id, rank::INTEGER AS rank, coalesce(substr(text, 1, 480), 'missing') AS snippet, coalesce(lang, 'unknown') AS language FROM r LEFT JOIN documents d ON d.doc_id = r.vec_id AND d.lang <> 'de' WHERE rank <= 5""")
 def hydrated_hits(t):
-    hits = R.vector_top_k(_points(t), _queries(t), 5, ["label"]).select("query_id", "vec_id", "rank")
+    hits = V.top_k(_points(t), _queries(t), 5, ["label"]).select("query_id", "vec_id", "rank")
     chunks = t.documents.where("lang <> 'de'").select(c("doc_id").alias("vec_id"), F.substring("text", 1, 480).alias("snippet"), c("lang").alias("language"))
     return R.hydrate(hits, chunks, "vec_id", {"snippet": F.lit("missing"), "language": F.lit("unknown")})
 

@@ -273,12 +273,3 @@ def test_process_items(spark):
     one = lambda t: [tuple(x) for x in spark.createDataFrame([(t,)], "t string").select(X.process_items(F.col("t")).alias("p")).first().p]
     assert one("1. open it\n- not this\n2. close it") == [("step", 1, "open it", pytest.approx(0.6)), ("step", 2, "close it", pytest.approx(0.6))]
     assert one("- a\n* b\n[ ] c") == [("check", 1, "a", pytest.approx(0.7)), ("check", 2, "b", pytest.approx(0.7)), ("check", 3, "c", pytest.approx(0.7))] and one("nothing") == []
-
-
-def test_many_queries_meet_in_blocks(spark):
-    from quarryspark.operators.retrieval import vector_top_k
-
-    points = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "vec_id long, v array<double>")
-    queries = points.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    few, many = ({(r.query_id, r["rank"], r.vec_id) for r in vector_top_k(points, queries, 4, max_queries=n).collect()} for n in (100, 4))
-    assert few == many and len(few) == 80
