@@ -125,28 +125,6 @@ def companies(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: company_names(x or ""))
 
 
-_SPANS = (("EMAIL", re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")), ("NUMBER", re.compile(r"\d{6,}")))
-
-
-def depersonalise(text: str) -> tuple[str, dict[str, str]]:
-    """Detected spans become tokens, equal spans the same one; the second value turns them back."""
-    found, taken = {}, []
-    for kind, pattern in _SPANS:
-        for m in pattern.finditer(text):
-            if all(m.end() <= a or m.start() >= b for a, b, _ in taken):
-                key = (kind, m[0])
-                found.setdefault(key, f"[{kind}_{1 + sum(k[0] == kind for k in found)}]")
-                taken.append((m.start(), m.end(), key))
-    for a, b, key in sorted(taken, reverse=True):
-        text = text[:a] + found[key] + text[b:]
-    return text, {token: value for (_, value), token in found.items()}
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.MapType(T.StringType(), T.StringType()))]))
-def depersonalised(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([depersonalise(x or "") for x in texts], columns=["text", "tokens"])
-
-
 #: Words near a name that betray a signature, and confidences of full names (fixed values).
 SIGNATURE = re.compile(r"\b(?:üdv|tisztelettel|köszönettel|best regards|kind regards|sincerely|regards|signature|signed by)\b", re.I)
 NAME_BASE, NAME_LISTED, NAME_BOOST, NAME_MOST = 0.70, 0.75, 0.05, 0.85

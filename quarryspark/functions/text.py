@@ -206,19 +206,6 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
-def accent_insensitive(pattern_text: str) -> str:
-    """A pattern for a plain text in which every letter stands for all its accented forms."""
-    forms: dict[str, str] = {}
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(code))[0]
-        if base.isascii() and base.isalpha():
-            forms[base.lower()] = forms.get(base.lower(), base.lower()) + chr(code)
-    import re
-
-    plain = (unicodedata.normalize("NFKD", x)[0].lower() for x in pattern_text)
-    return "(?iu)" + "".join(f"[{forms[x]}]" if x in forms else re.escape(x) for x in plain)
-
-
 def normal_form(form: str):
     """A vectorised function for a Unicode normal form, which Spark has no built-in for."""
 

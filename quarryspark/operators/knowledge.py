@@ -76,23 +76,6 @@ def match_topics(docs: DataFrame, key: str, tokens: Column, topics: dict[str, tu
     return hits.select(key, "topic", "hits", F.least(F.lit(1.0), (0.45 + 0.12 * F.col("hits")) * F.col("weight") + boost).alias("confidence"))
 
 
-def contained_terms(docs: DataFrame, key: str, text: str, terms: DataFrame, term_key: str, term: str) -> DataFrame:
-    """(key, term_key) of terms inside texts. Candidates share the term's longest inner word with the text as a
-    word of its own, an equi join; ``contains`` decides. A term of one or two words
-    is found in texts that have one of its words as a word of their own."""
-    words = F.split(F.col("__term"), r"\s+")
-    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
-    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    named = terms.select(F.col(term_key), F.col(term).alias("__term"))
-    long, short = named.where(F.size(words) > 2).withColumn("__w", anchor), named.where(F.size(words) <= 2)
-    placed = docs.select(key, F.col(text).alias("__text"))
-    seen = placed.select(key, F.explode(F.array_distinct(F.split("__text", r"\s+"))).alias("__w")).join(long, "__w").select(key, term_key, "__term")
-    out = placed.join(seen, key).where(F.col("__text").contains(F.col("__term"))).select(key, term_key)
-    few = short.select(F.col(term_key), F.col("__term"), F.explode(F.array_distinct(words)).alias("__w"))
-    parts = placed.select(key, F.explode(F.array_distinct(F.split("__text", r"\s+"))).alias("__w")).join(few, "__w").select(key, term_key, "__term").distinct()
-    return out.union(placed.join(parts, key).where(F.col("__text").contains(F.col("__term"))).select(key, term_key)).distinct()
-
-
 def best_candidates(rows: DataFrame, key: Sequence[str], confidence: str, order: str) -> DataFrame:
     """The surest candidate of each key; the first of equals."""
     w = W.partitionBy(*key).orderBy(F.desc(confidence), order)

@@ -9,6 +9,7 @@ from ..functions import questions as Q
 from ..functions import text as X
 from ..operators import filters as S
 from ..operators import ordered as O
+from ..operators import tokens as P
 from ..sources.objects import training_key
 from .registry import query
 
@@ -132,8 +133,10 @@ def nested_redaction(t):
 
 @query()
 def depersonalised_texts(t):
-    d = t.documents.select("doc_id", folds.depersonalised("text").alias("d"))
-    return d.select("doc_id", F.size("d.tokens").alias("n_tokens"), F.sha2("d.text", 256).alias("h"))
+    """Tokens over all texts of a source, and whether each text comes back whole."""
+    docs, tokens = P.depersonalise(t.documents.select("doc_id", "source", "text"), "doc_id", "text", "source")
+    back = P.restored(docs, "doc_id", "encoded", "source", tokens)
+    return back.select("doc_id", "source", "encoded", c("tokens").alias("n_tokens"), F.size("restored.spans").alias("n_restored"), (c("restored.text") == c("text")).alias("same"))
 
 
 @query()

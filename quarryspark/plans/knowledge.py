@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import aggregates as A
+from ..operators import dictionary as D
 from ..operators import joins as J
 from ..operators import knowledge as K
 from .registry import query
@@ -71,8 +72,18 @@ def topic_match(t):
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE strpos(d.text, b.text) > 0""")
 def dictionary_in_text(t):
-    """Long terms inside texts: an equi join on the terms' first words finds candidates, ``contains`` decides."""
-    return K.contained_terms(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+    """Long terms inside texts, as they are."""
+    entries = t.benchmark.select(c("item_id").alias("entry"), c("text").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(None).alias("confidence"))
+    found = D.find_terms(t.documents, "doc_id", "text", entries, words=False)
+    return found.select("doc_id", c("entry").cast("long").alias("item_id")).distinct()
+
+
+@query()
+def dictionary_mentions(t):
+    """Names and aliases, taken from the benchmark's first words, as words of any case and accent in the documents."""
+    w = F.split("text", r"\s+")
+    entries = t.benchmark.select(c("item_id").alias("entry"), F.upper(F.array_join(F.slice(w, 1, 2), " ")).alias("name"), F.array(F.get(w, F.lit(2)), F.initcap(F.get(w, F.lit(3)))).alias("aliases"), F.when(c("item_id") % 5 > 0, (c("item_id") % 5) / 10).alias("confidence"))
+    return D.find_terms(t.documents, "doc_id", "text", entries)
 
 
 @query("""WITH x AS (SELECT user_id, event_type AS kind, floor(value / 50)::BIGINT AS name, value / 500 AS confidence, event_id FROM events),

@@ -8,6 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 from support import DATA
+from test_dictionary import dictionary_mentions
 
 from quarryspark.functions import folds
 from quarryspark.functions import text as X
@@ -53,16 +54,24 @@ def nested_redaction(spark):
 
 
 def depersonalised_texts(spark):
+    """Numbers by the digests of a source's distinct values; the texts put together from the left."""
+    found, values = {}, {}
+    pattern = regex.compile(r"(?<literal>\[[a-z0-9_]+_\d+\])|(?<email>[\w.+-]+@[\w-]+\.[\w.-]+)|(?<phone>\+\d[\d \-]{7,}\d)|(?<number>\d{6,})")
+    docs = rows(spark, "documents")
+    for d in docs:
+        found[d.doc_id] = [(m.start(), m.end(), m.lastgroup, m[0]) for m in pattern.finditer(d.text)]
+        for _, _, kind, value in found[d.doc_id]:
+            values.setdefault((d.source, kind), set()).add(value)
+    number = {(c, k, v): n for (c, k), vs in values.items() for n, v in enumerate(sorted(vs, key=lambda v: (hashlib.md5(v.encode()).hexdigest(), v)), 1)}
     got = {r.doc_id: r for r in result(spark, "depersonalised_texts")}
-    for d in rows(spark, "documents"):
-        seen, out, at = {}, [], 0
-        for m in regex.finditer(r"(?<mail>[\w.+-]+@[\w-]+\.[\w.-]+)|\d{6,}", d.text):
-            kind = "EMAIL" if m["mail"] else "NUMBER"
-            seen.setdefault((kind, m[0]), f"[{kind}_{1 + sum(k == kind for k, _ in seen)}]")
-            out += [d.text[at : m.start()], seen[kind, m[0]]]
-            at = m.end()
-        assert got[d.doc_id].n_tokens == len(seen)
-        assert got[d.doc_id].h == hashlib.sha256("".join([*out, d.text[at:]]).encode()).hexdigest()
+    assert len(got) == len(docs) and any(len(v) > 1 for v in values.values())
+    for d in docs:
+        out, at = [], 0
+        for a, b, kind, value in found[d.doc_id]:
+            out += [d.text[at:a], f"[{kind}_{number[d.source, kind, value]}]"]
+            at = b
+        r = got[d.doc_id]
+        assert (r.encoded, r.n_tokens, r.n_restored, r.same) == ("".join([*out, d.text[at:]]), len(found[d.doc_id]), len(found[d.doc_id]), True)
 
 
 def place_mentions(spark):
@@ -242,7 +251,7 @@ def word_layout(spark):
         assert got[key] == wanted
 
 
-CHECKED = {f.__name__: f for f in (sentence_chunks, canonical_payload_hash, nested_redaction, depersonalised_texts, place_mentions, phrase_keywords, company_mentions, person_mentions, question_entities, pseudo_embedding, lead_and_preview, chunk_pack, chunk_overlap_split, span_deoverlap, word_layout)}
+CHECKED = {"dictionary_mentions": lambda spark: dictionary_mentions(spark, DATA)} | {f.__name__: f for f in (sentence_chunks, canonical_payload_hash, nested_redaction, depersonalised_texts, place_mentions, phrase_keywords, company_mentions, person_mentions, question_entities, pseudo_embedding, lead_and_preview, chunk_pack, chunk_overlap_split, span_deoverlap, word_layout)}
 
 
 @pytest.mark.parametrize("name", sorted(CHECKED))

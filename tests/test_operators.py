@@ -100,7 +100,6 @@ def test_billing_rules(spark):
 def test_text_scalars(spark):
     assert one(spark, X.mask_email(F.lit("someone@x.org"))) == "s******@x.org"
     assert one(spark, X.fold_accents(F.lit("Árvíztűrő"))) == "Arvizturo"
-    assert one(spark, F.lit("árvíz").rlike(X.accent_insensitive("arviz")))
     assert one(spark, X.close_words(F.lit("abc"), F.lit("abd"))) and not one(spark, X.close_words(F.lit(""), F.lit("a")))
     assert one(spark, X.origin(F.lit("HTTPS://X.org:8080/a"))) == "https://x.org:8080"
     assert one(spark, X.normal_form("NFKC")(F.lit("ﬁ"))) == "fi"
@@ -108,8 +107,6 @@ def test_text_scalars(spark):
 
 def test_python_folds():
     assert folds.company_names("we asked the Red Fox Trading Ltd. today") == ["Red Fox Trading Ltd"]
-    text, back = folds.depersonalise("a@b.org and 1234567, a@b.org")
-    assert text == "[EMAIL_1] and [NUMBER_1], [EMAIL_1]" and back == {"[EMAIL_1]": "a@b.org", "[NUMBER_1]": "1234567"}
     assert folds.redact_nested({"a": [{"password": "x", "b": 1}]}) == {"a": [{"password": "***", "b": 1}]}
     assert folds.pack_sentences("One is here now. " * 100)[0].count("One") > 10
 
