@@ -18,16 +18,25 @@ def _prepared(events: DataFrame, key: str, event_id: str, ts: str) -> DataFrame:
     return events.select(F.col(key).cast("string").alias("key"), F.col(event_id).alias("event_id"), F.col(ts).cast("timestamp").alias("ts"))
 
 
-def _stateful(events: DataFrame, step, state: str) -> DataFrame:
-    """Runs ``step(rows in order, state tuple) -> (flags, state tuple)`` for each key and batch."""
+def _stateful(events: DataFrame, step, state: str, idle_seconds: float | None = None, late: str = "1 minute") -> DataFrame:
+    """Runs ``step(rows in order, state tuple) -> (flags, state tuple)`` for each key and batch. With ``idle_seconds``, after which a key's
+    state says nothing any more, it is dropped once the watermark has passed that; rows later than ``late`` are dropped then, too."""
 
     def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         flags, new = step(rows, held.get if held.exists else None)
         held.update(new)
+        if idle_seconds is not None:
+            last = int(rows["ts"].astype("datetime64[us]").astype("int64").max() // 1000)
+            held.setTimeoutTimestamp(max(last + int(idle_seconds * 1000) + 1, held.getCurrentWatermarkMs() + 1))
         yield rows.assign(allowed=flags)[["key", "event_id", "ts", "allowed"]]
 
-    return events.groupBy("key").applyInPandasWithState(run, _OUT, state, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
+    rows = events if idle_seconds is None else events.withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(run, _OUT, state, "append", timeout)
 
 
 def sliding_limit(events: DataFrame, key: str, event_id: str, ts: str, seconds: int, limit: int) -> DataFrame:
@@ -43,7 +52,7 @@ def sliding_limit(events: DataFrame, key: str, event_id: str, ts: str, seconds:
                 log.append(t)
         return flags, (log,)
 
-    return _stateful(_prepared(events, key, event_id, ts), step, "log array<long>")
+    return _stateful(_prepared(events, key, event_id, ts), step, "log array<long>", seconds)
 
 
 def paced(events: DataFrame, key: str, event_id: str, ts: str, seconds: float) -> DataFrame:
@@ -56,11 +65,12 @@ def paced(events: DataFrame, key: str, event_id: str, ts: str, seconds: float) -
             last = t if flags[-1] else last
         return flags, (last,)
 
-    return _stateful(_prepared(events, key, event_id, ts), step, "last long")
+    return _stateful(_prepared(events, key, event_id, ts), step, "last long", seconds)
 
 
 def budget(events: DataFrame, key: str, event_id: str, ts: str, limit: int, day_limit: int) -> DataFrame:
-    """Two counters at once, in total and for each day; an event that one of them rejects counts in neither."""
+    """Two counters at once, in total and for each day; an event that one of them rejects counts in neither. The total never ends, so its
+    state stays; for budgets of a minute, a day and a month, with slots and timers, see ``slots``."""
 
     def step(rows, held):
         total, day, n = held if held else (0, -1, 0)

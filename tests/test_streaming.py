@@ -95,3 +95,15 @@ def test_poll_goes_on(spark, stream, tmp_path):
     finally:
         running.stop()
     assert sorted(seen) == list(range(20))
+
+
+def test_idle_state_is_dropped(spark, tmp_path):
+    """A key that has been quiet for longer than the limit looks back has no state left."""
+    for k, rows in enumerate([[(0, "a", T0)], [(1, "b", T0 + dt.timedelta(hours=1))], [(2, "b", T0 + dt.timedelta(hours=2))], [(3, "a", T0 + dt.timedelta(hours=2))]]):
+        spark.createDataFrame(rows, "event_id long, user string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = outbox.source(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    q = limits.sliding_limit(frame, "user", "event_id", "ts", 60, 1).writeStream.format("memory").queryName("idle").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.event_id for r in spark.table("idle").collect() if r.allowed) == [0, 1, 2, 3]
+    removed = sum(s["numRowsRemoved"] for p in q.recentProgress for s in p["stateOperators"])
+    assert removed >= 1
