@@ -7,6 +7,7 @@ into words. A dictionary beyond a bound of measured bytes is cut into parts, one
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
@@ -22,6 +23,8 @@ from ..storage import measured_bytes
 
 #: Measured bytes of entries up to which they are one automaton; an automaton takes some twenty times as many.
 AUTOMATON_BYTES = 4 << 20
+#: Hits that leave a task at once.
+HITS = 20_000
 # The forms of a vowel that stand for each other, and the confidence of an entry that states none.
 VOWELS = {"a": "aáÁA", "e": "eéÉE", "i": "iíÍI", "o": "oóöőÓÖŐO", "u": "uúüűÚÜŰU"}
 CONFIDENCE = 0.8
@@ -128,9 +131,11 @@ def find_terms(docs: DataFrame, key: str, text: str, entries: DataFrame, words:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, told = sent.value
             finder = Finder(names, words)
+            columns = [key, "entry", "name", "raw", "start", "end", "confidence", "normalized"]
             for batch in batches:
-                rows = [(row_key, *names[k], x[a:b], a, b, *told[k]) for row_key, x in zip(batch[key], batch["__text"], strict=True) if x for k, a, b in finder(x)]
-                yield pd.DataFrame(rows, columns=[key, "entry", "name", "raw", "start", "end", "confidence", "normalized"])
+                hits = ((row_key, *names[k], x[a:b], a, b, *told[k]) for row_key, x in zip(batch[key], batch["__text"], strict=True) if x for k, a, b in finder(x))
+                while rows := list(itertools.islice(hits, HITS)):
+                    yield pd.DataFrame(rows, columns=columns)
 
         return docs.select(key, F.col(text).alias("__text")).mapInPandas(run, shape)
 
