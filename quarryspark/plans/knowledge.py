@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import dictionary as D
-from ..operators import joins as J
 from ..operators import knowledge as K
 from .registry import query
 
