@@ -102,29 +102,6 @@ def redacted_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else json.dumps(redact_nested(json.loads(x)), ensure_ascii=False))
 
 
-#: Legal forms that end a company's name, and words that begin it at the latest (fixed values).
-LEGAL_FORMS = frozenset("kft bt zrt nyrt rt ltd llc inc gmbh ag sa srl corp plc".split())
-BOUNDARIES = frozenset("a az és the and of by with from for in at to der die das und la el los y de".split())
-
-
-def company_names(text: str, most: int = 4) -> list[str]:
-    """Names that end in a legal form: up to four words to the left, as far as a boundary word or mark."""
-    words, out = text.split(), []
-    for k, word in enumerate(words):
-        if word.strip(".,;:()").lower() in LEGAL_FORMS and k:
-            start = k
-            while start > 0 and k - start < most and words[start - 1].lower() not in BOUNDARIES and not words[start - 1].endswith((".", ",", ";", ":")):
-                start -= 1
-            if start < k:
-                out.append(" ".join(words[start : k + 1]).strip(".,;:()"))
-    return out
-
-
-@F.pandas_udf(_STRINGS)
-def companies(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: company_names(x or ""))
-
-
 #: Words near a name that betray a signature, and confidences of full names (fixed values).
 SIGNATURE = re.compile(r"\b(?:üdv|tisztelettel|köszönettel|best regards|kind regards|sincerely|regards|signature|signed by)\b", re.I)
 NAME_BASE, NAME_LISTED, NAME_BOOST, NAME_MOST = 0.70, 0.75, 0.05, 0.85

@@ -6,9 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.recognisers import Companies, Identifiers, recognised
 from ..operators import aggregates as A
 from ..operators import dictionary as D
 from ..operators import knowledge as K
+from ..operators.companies import find_companies
 from .registry import query
 
 c = F.col
@@ -156,8 +158,20 @@ def list_previews(t):
     return t.events.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("s"), F.count("*").alias("n")).select("user_id", F.array_join(F.slice("s", 1, 3), ",").alias("previews"), "n")
 
 
+#: Legal forms of several languages, one of which goes with each document's company (parameters).
+_LEGAL_FORMS = ("GmbH", "AG", "S.L.", "SpA", "Ltd.", "Zrt.", "Sociedad Anónima", "gmbh")
+
+
 @query()
 def company_mentions(t):
-    from ..functions.folds import companies
+    """Companies in the documents; each text ends with one that is called after its first words, with a legal form that its language may lack."""
+    form = F.element_at(F.array(*[F.lit(x) for x in _LEGAL_FORMS]), (F.pmod("doc_id", F.lit(len(_LEGAL_FORMS))) + 1).cast("int"))
+    called = F.initcap(F.substring_index(F.coalesce("text", F.lit("")), " ", 2))
+    texts = t.documents.select("doc_id", "lang", F.concat_ws(" ", "text", F.lit("signed by"), F.concat(called, F.when(c("doc_id") % 3 == 0, ",").otherwise("")), form, F.lit("and others")).alias("text"))
+    return find_companies(texts, "doc_id", "text", c("lang")).select("doc_id", "name", "start", "end", "legal_form", "suffix", F.array_join("words", "|").alias("words"), "stop", "normalized", "confidence")
 
-    return t.documents.select("doc_id", F.explode(companies("text")).alias("company"))
+
+@query()
+def recognised_mentions(t):
+    """Companies and identifiers of the documents by one table function."""
+    return recognised(t.documents, ["doc_id"], "text", "lang", {"company": Companies(), "identifier": Identifiers()})

@@ -12,6 +12,7 @@ from test_dictionary import dictionary_mentions
 
 from quarryspark.functions import folds
 from quarryspark.functions import text as X
+from quarryspark.operators import companies as C
 from quarryspark.plans import QUERIES
 
 
@@ -98,23 +99,59 @@ def phrase_keywords(spark):
         assert got.get(d.doc_id, {}) == {t: round(0.5 + 0.1 * len(regex.split(r"[ \t\n\x0b\f\r]", t)), 6) for t in terms}
 
 
+def _names_before_forms(text, language):
+    """Every place and every form by comparison; then words to the left, split anew for each place."""
+    forms = [f for k, fs in C.FORMS.items() if k in (language, "global") or language not in C.FORMS for f in fs]
+    bad, out, at = C.BOUNDARIES.get(language, C.BOUNDARIES["en"]), [], 0
+    inside = regex.compile(r"[\p{L}\p{N}\p{M}_]").fullmatch
+    while at < len(text):
+        here = [f for f in forms if text.startswith(f, at) and not (at and inside(text[at - 1])) and not (text[at + len(f) : at + len(f) + 1] == "." or inside(text[at + len(f) : at + len(f) + 1]))]
+        if not here:
+            at += 1
+            continue
+        form = max(here, key=len)
+        left, words = text[:at].rstrip(), []
+        comma = left.endswith(",")
+        left = left[:-1] if comma else left
+        while len(words) < 4 and (m := regex.search(r"\S+\s*$", left)):
+            word = m[0].rstrip()
+            bare = word.strip(C.EDGES)
+            if not bare or len(bare) > 40 or (bare.casefold() in bad and bare != "Empresa"):
+                break
+            if not (bare[0].isupper() or regex.search(r"[\d.-]", bare)):
+                break
+            words.insert(0, word)
+            left = left[: m.start()]
+        if words and (form[0].isupper() or "." in form):
+            sep = ", " if comma else " "
+            out.append((" ".join(words).rstrip("," if comma else "") + sep + form, at + len(form), form))
+        at += len(form)
+    return out
+
+
 def company_mentions(spark):
-    """Names that end in a legal form, walked back word by word."""
     got = {}
     for r in result(spark, "company_mentions"):
-        got.setdefault(r.doc_id, []).append(r.company)
+        got.setdefault(r.doc_id, []).append((r.name, r.end, r.suffix))
+    forms = ("GmbH", "AG", "S.L.", "SpA", "Ltd.", "Zrt.", "Sociedad Anónima", "gmbh")
     for d in rows(spark, "documents"):
-        words, wanted = d.text.split(), []
-        for k, w in enumerate(words):
-            name = []
-            if w.strip(".,;:()").lower() in folds.LEGAL_FORMS:
-                for before in reversed(words[max(0, k - 4) : k]):
-                    if before.lower() in folds.BOUNDARIES or before[-1] in ".,;:":
-                        break
-                    name.insert(0, before)
-            if name:
-                wanted.append(" ".join([*name, w]).strip(".,;:()"))
-        assert sorted(got.get(d.doc_id, [])) == sorted(wanted)
+        first = " ".join(w[:1].upper() + w[1:].lower() for w in d.text.split(" ")[:2])
+        text = f"{d.text} signed by {first}{',' if d.doc_id % 3 == 0 else ''} {forms[d.doc_id % 8]} and others"
+        assert got.get(d.doc_id, []) == _names_before_forms(text, d.lang)
+    assert len(got) > 50
+
+
+def recognised_mentions(spark):
+    """Identifiers as the column functions find them, companies as above."""
+    got = {}
+    for r in result(spark, "recognised_mentions"):
+        got.setdefault((r.doc_id, r.kind), []).append((r.subtype, r.name) if r.kind == "identifier" else r.name)
+    listed = {}
+    for r in result(spark, "identifier_mentions"):
+        listed.setdefault((r.doc_id, "identifier"), set()).add((r.kind, r.name))
+    for d in rows(spark, "documents"):
+        assert set(got.get((d.doc_id, "identifier"), [])) == listed.get((d.doc_id, "identifier"), set())
+        assert got.get((d.doc_id, "company"), []) == [x for x, _, _ in _names_before_forms(d.text, d.lang)]
 
 
 def person_mentions(spark):
@@ -251,7 +288,7 @@ def word_layout(spark):
         assert got[key] == wanted
 
 
-CHECKED = {"dictionary_mentions": lambda spark: dictionary_mentions(spark, DATA)} | {f.__name__: f for f in (sentence_chunks, canonical_payload_hash, nested_redaction, depersonalised_texts, place_mentions, phrase_keywords, company_mentions, person_mentions, question_entities, pseudo_embedding, lead_and_preview, chunk_pack, chunk_overlap_split, span_deoverlap, word_layout)}
+CHECKED = {"dictionary_mentions": lambda spark: dictionary_mentions(spark, DATA)} | {f.__name__: f for f in (sentence_chunks, canonical_payload_hash, nested_redaction, depersonalised_texts, place_mentions, phrase_keywords, company_mentions, recognised_mentions, person_mentions, question_entities, pseudo_embedding, lead_and_preview, chunk_pack, chunk_overlap_split, span_deoverlap, word_layout)}
 
 
 @pytest.mark.parametrize("name", sorted(CHECKED))
