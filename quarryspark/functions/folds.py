@@ -61,10 +61,19 @@ def sentence_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: pack_sentences(x or ""))
 
 
+def _of_json(text: str | None, result):
+    """``result`` of the value that a text of JSON stands for; null for null and for what can't be read."""
+    try:
+        return None if text is None else result(json.loads(text))
+    except (ValueError, RecursionError):  # lone surrogates can't be encoded, either
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json_hash(texts: pd.Series) -> pd.Series:
-    """sha256 of JSON with sorted keys and no blanks."""
-    return texts.map(lambda x: None if x is None else hashlib.sha256(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest())
+    """sha256 of JSON with sorted keys and no blanks; null if it isn't JSON."""
+    plain = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    return texts.map(lambda x: _of_json(x, lambda v: hashlib.sha256(plain(v)).hexdigest()))
 
 
 @F.pandas_udf(T.StringType())
@@ -99,7 +108,8 @@ def redact_nested(value):
 
 @F.pandas_udf(T.StringType())
 def redacted_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else json.dumps(redact_nested(json.loads(x)), ensure_ascii=False))
+    """Null for what isn't JSON (it may hold secrets) or holds half a character."""
+    return texts.map(lambda x: _of_json(x, lambda v: json.dumps(redact_nested(v), ensure_ascii=False).encode().decode()))
 
 
 #: Words near a name that betray a signature, and confidences of full names (fixed values).

@@ -78,32 +78,6 @@ def ambiguous(aliases: DataFrame, alias: str, canonical: str) -> DataFrame:
     return aliases.groupBy(alias).agg(F.countDistinct(canonical).alias("n_canonical")).where("n_canonical > 1")
 
 
-def ipv4(address: Column) -> Column:
-    """A dotted address as a number; null if it isn't one."""
-    parts = F.split(address, r"\.")
-    byte = lambda k: F.get(parts, k).cast("long")
-    fine = address.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
-    return F.when(fine & (byte(0) < 256) & (byte(1) < 256) & (byte(2) < 256) & (byte(3) < 256), ((byte(0) * 256 + byte(1)) * 256 + byte(2)) * 256 + byte(3))
-
-
-def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
-    """First address of a network, and the one after its last."""
-    base, bits = ipv4(F.substring_index(cidr, "/", 1)), F.coalesce(F.nullif(F.regexp_extract(cidr, r"/(\d+)$", 1), F.lit("")).cast("int"), F.lit(32))
-    size = F.pow(F.lit(2.0), 32 - bits).cast("long")
-    low = base - F.pmod(base, size)
-    return low, low + size
-
-
-def in_networks(addresses: DataFrame, address: str, networks: DataFrame, cidr: str) -> DataFrame:
-    """Addresses with the networks that hold them: by equal prefixes, one for each prefix length in use."""
-    low, high = cidr_bounds(F.col(cidr))
-    nets = networks.withColumns({"__size": high - low, "__low": low})
-    sized = addresses.withColumn("__ip", ipv4(F.col(address)))
-    lengths = F.array(*[F.lit(1 << k) for k in range(33)])
-    spread = sized.withColumn("__size", F.explode(lengths)).withColumn("__low", F.col("__ip") - F.pmod("__ip", "__size"))
-    return spread.join(nets, ["__size", "__low"]).drop("__size", "__low", "__ip")
-
-
 def close_pairs(words: DataFrame, word: str) -> DataFrame:
     """(a, b) of distinct words one edit apart, a < b. Two such words share a form with one character left out (or
     the word itself), so an equi join on those forms finds all candidates; the distance decides."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as S
 from ..operators import joins as J
+from ..operators.networks import in_networks
 from ..operators import ordered as O
 from .registry import NOW, now, query
 
@@ -97,7 +98,21 @@ def offset_range_join(t):
 def addresses_in_networks(t):
     ip = F.format_string("10.%d.%d.%d", c("c_custkey") % 4, c("c_custkey") % 256, c("c_custkey") % 100)
     nets = t.spark.createDataFrame([("10.1.0.0/16",), ("10.2.7.0/24",), ("10.0.0.0/8",)], "n string")
-    return J.in_networks(t.customer.select("c_custkey", ip.alias("ip")), "ip", nets, "n").select("c_custkey", "n")
+    return in_networks(t.customer.select("c_custkey", ip.alias("ip")), "ip", nets, "n").select("c_custkey", "n")
+
+
+@query("""WITH k AS (SELECT client_id, client_id % 16 AS a, client_id % 256 AS b FROM clients WHERE client_id IS NOT NULL),
+  ip AS (SELECT client_id, a, b, CASE client_id % 3 WHEN 0 THEN '2001:DB8:' || lower(to_hex(a)) || '::' || to_hex(b) WHEN 1 THEN '::ffff:10.' || a || '.0.' || b ELSE '10.' || a || '.0.' || b END AS ip FROM k)
+  SELECT client_id, ip, n FROM (SELECT *, '2001:db8:3::/48' AS n FROM ip WHERE client_id % 3 = 0 AND a = 3 UNION ALL SELECT *, '2001:db8:8::1/45' FROM ip WHERE client_id % 3 = 0 AND a BETWEEN 8 AND 15
+  UNION ALL SELECT *, '::ffff:0:0/96' FROM ip WHERE client_id % 3 = 1 UNION ALL SELECT *, '10.4.0.0/255.252.0.0' FROM ip WHERE client_id % 3 = 2 AND a BETWEEN 4 AND 7 UNION ALL SELECT *, '2001:db8:0:0::11' FROM ip WHERE client_id % 3 = 0 AND a = 0 AND b = 17
+  UNION ALL SELECT *, '10.1.0.0/33' FROM ip WHERE false)""")
+def addresses_of_both_versions(t):
+    """Addresses of versions 4 and 6 made from client ids, in networks of either."""
+    k, h = c("client_id"), lambda x: F.hex(x)
+    a, b = k % 16, k % 256
+    ip = F.when(k % 3 == 0, F.concat(F.lit("2001:DB8:"), F.lower(h(a)), F.lit("::"), h(b))).when(k % 3 == 1, F.format_string("::ffff:10.%d.0.%d", a, b)).otherwise(F.format_string("10.%d.0.%d", a, b))
+    nets = t.spark.createDataFrame([(x,) for x in ("2001:db8:3::/48", "2001:db8:8::1/45", "::ffff:0:0/96", "10.4.0.0/255.252.0.0", "2001:db8:0:0::11", "10.1.0.0/33")], "n string")
+    return in_networks(t.clients.where(k.isNotNull()).select("client_id", ip.alias("ip")), "ip", nets, "n").select("client_id", "ip", "n")
 
 
 @query("""SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts < TIMESTAMP '2024-01-30 00:00:00' EXCEPT

@@ -4,8 +4,9 @@ from quarryspark.functions import billing as B
 from quarryspark.functions import folds
 from quarryspark.functions import text as X
 from quarryspark.operators import aggregates as A
-from quarryspark.operators import cleaning, joins
+from quarryspark.operators import cleaning
 from quarryspark.operators import ordered as O
+from quarryspark.operators.networks import in_networks
 
 
 def one(spark, column):
@@ -79,10 +80,43 @@ def test_context_budget(spark):
 def test_networks(spark):
     ips = spark.createDataFrame([("10.1.2.3",), ("10.2.0.1",), ("300.1.1.1",), (None,)], "ip string")
     nets = spark.createDataFrame([("10.1.0.0/16",), ("10.0.0.0/8",), ("10.2.0.1",)], "net string")
-    got = {(r.ip, r.net) for r in joins.in_networks(ips, "ip", nets, "net").collect()}
+    got = {(r.ip, r.net) for r in in_networks(ips, "ip", nets, "net").collect()}
     assert got == {("10.1.2.3", "10.1.0.0/16"), ("10.1.2.3", "10.0.0.0/8"), ("10.2.0.1", "10.0.0.0/8"), ("10.2.0.1", "10.2.0.1")}
 
 
+def test_networks_as_in_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(5)
+    v4 = [str(ipaddress.ip_address(rng.choice([0x0A000000, 0xC0A80000]) + rng.randrange(1 << 12))) for _ in range(60)]
+    v6 = [ipaddress.ip_address((rng.choice([0x20010DB8, 0xFE80, 0]) << 96) + (rng.randrange(8) << rng.choice([0, 16, 48, 64, 80]))) for _ in range(60)]
+    odd = ["::", "::1", "1::", "::ffff:10.0.0.1", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", ":::", "1::2::3", "1:2", "12345::", "::1.2.3", "1:2:3:4:5:6:7:8:9", ":1::", "g::", "01.2.3.4", "1.2.3.256", "10.0.0.0/8", " ::1 ", "host", "", "1:2:3:4:5:6:7:", "::1.2.3.4:5"]
+    ips = [*v4, *(rng.choice([str(x), x.exploded.upper()]) for x in v6), *odd]
+    nets = [f"{x}/{rng.randrange(33)}" for x in v4[:15]] + [f"{x}/{rng.randrange(129)}" for x in v6[:25]] + odd[:-4] + ["host", "10.0.0.0/255.0.0.0", "10.0.0.0/0.0.255.255", "10.0.0.0/255.0.255.0", "10.0.0.0/33", "::/129", "::/0", "0.0.0.0/0.0.0.0", "1.2.3.4/", "1.2.3.4/8/8", "::/255.0.0.0"]
+
+    def holds(ip, net):
+        ip, net = ip.strip(), net.strip()
+        try:
+            address = ipaddress.ip_address(ip)
+        except ValueError:
+            return ip != "" and ip == net
+        try:
+            return address in ipaddress.ip_network(net, strict=False)
+        except ValueError:
+            return False
+
+    frames = spark.createDataFrame(sorted({(x,) for x in ips}), "ip string"), spark.createDataFrame(sorted({(x,) for x in nets}), "net string")
+    got = sorted((r.ip, r.net) for r in in_networks(frames[0], "ip", frames[1], "net").collect())
+    assert got == sorted((a, b) for a in set(ips) for b in set(nets) if holds(a, b))
+
+
+def test_json_that_cannot_be_read(spark):
+    rows = spark.createDataFrame([(1, '{"token": "x", "b": [1]}'), (2, "{no"), (3, None), (4, '"\\ud800"'), (5, "[" * 100_000)], "id int, j string")
+    got = {r.id: (r.h is None, r.r) for r in rows.select("id", folds.canonical_json_hash("j").alias("h"), folds.redacted_json("j").alias("r")).collect()}
+    assert got == {1: (False, '{"token": "***", "b": [1]}'), 2: (True, None), 3: (True, None), 4: (True, None), 5: (True, None)}
+
+
 def test_histogram_counts_once(spark):
     got = A.cumulative_histogram(spark.createDataFrame([(12.0,), (30.0,)], "v double"), "v", [10, 25, 50]).collect()
     assert {r.le: r.n for r in got} == {"10": 0, "25": 1, "50": 2, "+Inf": 2}
