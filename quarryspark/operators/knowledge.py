@@ -76,6 +76,20 @@ def match_topics(docs: DataFrame, key: str, tokens: Column, topics: dict[str, tu
     return hits.select(key, "topic", "hits", F.least(F.lit(1.0), (0.45 + 0.12 * F.col("hits")) * F.col("weight") + boost).alias("confidence"))
 
 
+def match_topic_rules(docs: DataFrame, key: str, text: Column, keywords: Column, topics: dict[str, Sequence[str]]) -> DataFrame:
+    """(key, topic, hits): markers that are anywhere in a normalised text, parts of words included, and once more those that are among its keywords
+    (an array; case doesn't matter). Null texts and null keywords have no hits; topics without hits have no row."""
+    words = F.transform(F.coalesce("__k", F.array().cast("array<string>")), F.lower)
+    whole = F.coalesce("__x", F.lit(""))
+    found = []
+    for topic, markers in topics.items():
+        inside = sum((F.contains(whole, F.lit(m)).cast("long") for m in markers), F.lit(0))
+        listed = sum((F.array_contains("__k", m.lower()).cast("long") for m in markers), F.lit(0))
+        found.append(F.struct(F.lit(topic).alias("topic"), (inside + listed).cast("long").alias("hits")))
+    rows = docs.select(key, text.alias("__x"), keywords.alias("__k")).withColumn("__k", words)
+    return rows.select(key, F.explode(F.filter(F.array(*found), lambda x: x["hits"] > 0)).alias("x")).select(key, "x.*")
+
+
 def best_candidates(rows: DataFrame, key: Sequence[str], confidence: str, order: str) -> DataFrame:
     """The surest candidate of each key; the first of equals."""
     w = W.partitionBy(*key).orderBy(F.desc(confidence), order)

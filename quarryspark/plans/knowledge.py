@@ -71,6 +71,15 @@ def topic_match(t):
     return K.match_topics(t.documents, "doc_id", X.tokens(c("text")), TOPICS).select("doc_id", "topic", "hits", F.round("confidence", 4).alias("confidence"))
 
 
+_RULES = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS topic, " + " + ".join(f"(strpos(x, '{m}') > 0)::BIGINT + list_contains(k, '{m}')::BIGINT" for m in ms) + " AS hits FROM d" for k, (ms, _) in TOPICS.items())
+
+
+@query(f"WITH d AS (SELECT doc_id, lower(text) AS x, list_filter({_TOKENS}, lambda w: length(w) >= 2) AS k FROM documents WHERE text IS NOT NULL) SELECT doc_id, topic, hits FROM ({_RULES}) WHERE hits > 0")
+def topic_rules(t):
+    """Markers inside the texts and among their words."""
+    return K.match_topic_rules(t.documents, "doc_id", F.lower("text"), X.tokens(c("text")), {k: ms for k, (ms, _) in TOPICS.items()})
+
+
 @query("""SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE strpos(d.text, b.text) > 0""")
 def dictionary_in_text(t):
     """Long terms inside texts, as they are."""

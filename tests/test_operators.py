@@ -5,6 +5,7 @@ from quarryspark.functions import folds
 from quarryspark.functions import text as X
 from quarryspark.operators import aggregates as A
 from quarryspark.operators import cleaning
+from quarryspark.operators import knowledge as K
 from quarryspark.operators import ordered as O
 from quarryspark.operators.networks import in_networks
 
@@ -111,6 +112,12 @@ def test_networks_as_in_the_standard_library(spark):
     assert got == sorted((a, b) for a in set(ips) for b in set(nets) if holds(a, b))
 
 
+def test_topic_rules(spark):
+    rows = spark.createDataFrame([(1, "the invoices are due", ["INVOICE", "due"]), (2, "voice", []), (3, None, ["due"]), (4, "due", None), (5, None, None)], "id int, x string, k array<string>")
+    got = {(r.id, r.topic): r.hits for r in K.match_topic_rules(rows, "id", F.col("x"), F.col("k"), {"billing": ("invoice", "due"), "other": ("oice",)}).collect()}
+    assert got == {(1, "billing"): 4, (1, "other"): 1, (2, "other"): 1, (3, "billing"): 1, (4, "billing"): 1}
+
+
 def test_json_that_cannot_be_read(spark):
     rows = spark.createDataFrame([(1, '{"token": "x", "b": [1]}'), (2, "{no"), (3, None), (4, '"\\ud800"'), (5, "[" * 100_000)], "id int, j string")
     got = {r.id: (r.h is None, r.r) for r in rows.select("id", folds.canonical_json_hash("j").alias("h"), folds.redacted_json("j").alias("r")).collect()}
