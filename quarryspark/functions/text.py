@@ -129,7 +129,7 @@ def content_type(text: Column, chunk_type: Column | None = None) -> Column:
     return F.when(chunk_type.isin(*CHUNK_TYPES), known).otherwise(found)
 
 
-def identifiers(text: Column) -> Column:
+def identifiers(text: Column, patterns: dict[str, str] = IDENTIFIERS) -> Column:
     """Array of (kind, name) of all identifiers in a text. A plain search for what a kind can't do without goes
     before its pattern."""
     marks = {"email": text.contains("@"), "phone": text.contains("+36") | text.contains("06"), "url": text.contains("://")}
@@ -140,7 +140,7 @@ def identifiers(text: Column) -> Column:
         hits = F.when(marks[kind], hits).otherwise(none) if kind in marks else hits
         return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
 
-    return F.flatten(F.array(*[of(kind, pattern) for kind, pattern in IDENTIFIERS.items()]))
+    return F.flatten(F.array(*[of(kind, pattern) for kind, pattern in patterns.items()]))
 
 
 def tokens(text: Column) -> Column:

@@ -134,3 +134,39 @@ def test_alert_rules(spark):
     assert triggered(requests=5.0, failed_logins=20.0, no_logins=1.0) == {"p1_login_outage"}
     assert triggered(requests=1000.0, exports=1.0, new_ips=1.0) == {"p3_usage_spike", "p3_export_completed", "p1_admin_login_new_country_ip"}
     assert len(control._RULES) == 24
+
+
+COUNTED = [
+    "tel. 0621567258911 and 063020011223344",  # longer runs of digits
+    "a.b@c.de+x@y.zz, a+b@c.d-e.fg_ and x@y, é.x@q.hu_ a@b.c@d.ef",
+    "xhttp://a.b/c ABC-1234567 xAB-12y 1AB-3",
+    "\u017fz-12/3 \u212a-12-3 k12/3x ctr/2024/17 xSZERZ-1234-1",
+    "inv2024 \u0131nv2024 SZLA/12/123456789 \u017fzla12",
+    "+36\x0b30 200 1122 +36 30 200 1122 06-1-234 5678",
+    "",
+]
+
+
+def test_counted_identifiers_equal_the_sql(spark, duck):
+    """Counts of identifiers follow the patterns of their SQL, which have no edges of words."""
+    from quarryspark.plans.recognition import _IDENTIFIERS, _IDS
+
+    rows = spark.createDataFrame(list(enumerate(COUNTED)), "k int, text string")
+    found = {r.k: [x.name for x in r.x] for r in rows.select("k", X.identifiers(F.col("text"), _IDENTIFIERS).alias("x")).collect()}
+    for k, text in enumerate(COUNTED):
+        wanted = duck.execute("SELECT " + ", ".join(f"regexp_extract_all($1, '{p}')" for p in _IDS), [text]).fetchall()[0]
+        assert found[k] == [x for xs in wanted for x in xs], text
+
+
+@pytest.mark.parametrize("name", ["chunk_recognition_counts", "recognised_knowledge_score"])
+def test_recognition_counts_on_more_texts(spark, duck, name):
+    """Texts of sf0.01, where identifiers stand inside longer words."""
+    import duckdb
+    from support import same_rows
+
+    from quarryspark.plans import QUERIES, SQL
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    same_rows(QUERIES[name](spark, folder), con.sql(SQL[name]))
