@@ -27,8 +27,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more. The row of the
-    smallest id stays, a null id after all others; null and blank texts are copies of each other."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more, found by the Golay codes of
+    fingerprints and, for what is further apart, by min-wise keys. The row of the smallest id stays, a null id after all others; null and blank texts are copies of each other."""
     return similar.deduplicate(docs)
 
 

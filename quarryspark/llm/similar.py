@@ -2,11 +2,12 @@
 
 Texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 
-* Search: min-wise hashes of the shingle set, ``ROWS`` to each of ``BANDS`` keys. Two texts of similarity J share a key
-  with probability 1 - (1 - J^6)^20: 0.998 at 0.8. That depends neither on the number of texts nor on where they
-  differ (scattered words, a block appended, a tail cut). Codeword keys, as in ``simhash``, can't do this: at that
-  similarity 15 of 100 SimHash bits differ (README has the figures).
-* Verification: the exact similarity of both sets, of 64-bit hashes.
+* Golay codes: fingerprints of two differing bits at most meet by the codeword keys of ``simhash`` and are linked first.
+* Min-wise keys, for what is further apart: hashes of the shingle set, ``ROWS`` to each of ``BANDS`` keys. Two texts of
+  similarity J share a key with probability 1 - (1 - J^6)^20: 0.998 at 0.8. That depends neither on the number of texts nor on
+  where they differ (scattered words, a block appended, a tail cut). Codeword keys alone can't do this: at that similarity 15
+  of 100 SimHash bits differ (README has the figures).
+* Verification, of the links of either search: the exact similarity of both sets, of 64-bit hashes.
 
 The texts of a key are compared with one of them, its representative, and those that turn out to be near copies are
 contracted to a component. A key whose texts are in one component is done; a few rounds settle groups of any size
@@ -24,9 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import checkpointed, small_side, written
 from .components import connected_components, first_rows
 
@@ -86,19 +88,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, node, n, keys, bytes); ``mark`` is Spark's own hash of the text, to find the row again."""
+    """(doc_id, mark, node, n, keys, bytes, f); ``mark`` is Spark's own hash of the text, to find the row again, ``f`` the
+    fingerprint of ``simhash``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [sketch(x.as_py()) for x in part.column("text")]
-                columns = [part.column("doc_id"), part.column("mark"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), _lists([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n", "keys", "bytes"])
+                texts = part.column("text").to_pylist()
+                rows = [sketch(x) for x in texts]
+                marks = np.array([simhash.text_fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
+                columns = [part.column("doc_id"), part.column("mark"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), _lists([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.binary()), pa.array(marks)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n", "keys", "bytes", "f"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, mark long, node binary, n long, keys array<long>, bytes binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, mark long, node binary, n long, keys array<long>, bytes binary, f long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -226,24 +231,39 @@ def _unsettled(rows: DataFrame, rooted: DataFrame) -> DataFrame:
     return checkpointed(now.join(small_side(keys), "key"))
 
 
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be that similar."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def _fingerprint_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts that the Golay codes of ``simhash`` link: the first text of each fingerprint with those of
+    fingerprints two bits away at most, and with the others of its own."""
+    first = checkpointed(nodes.groupBy("f").agg(F.min(F.struct("node", "n")).alias("r")))
+    other = lambda name: first.select(F.col("f").alias(name), F.col("r").alias(name + "_r"))
+    near = simhash.links(first.select("f")).join(other("src"), "src").join(other("dst"), "dst").select(F.col("src_r.node").alias("a"), F.col("dst_r.node").alias("b"), F.col("src_r.n").alias("n"), F.col("dst_r.n").alias("m"))
+    same = nodes.select("f", "node", "n").join(first, "f").where("node <> r.node").select(F.col("node").alias("a"), F.col("r.node").alias("b"), "n", F.col("r.n").alias("m"))
+    return checkpointed(near.union(same).where(_fits("n", "m", similarity)).select("a", "b"))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, similarity: float, rounds: int, block: int) -> DataFrame:
     """(node, root) of the linked texts."""
     keys = nodes.select(F.explode("keys").alias("key"), "node", "n")
     groups = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("m > 1")
     groups = checkpointed(groups.groupBy("m", "a", "b", "sum").agg(F.min("key").alias("key")).select("key"))  # groups of the same members meet once
     members = written(keys.join(small_side(groups), "key").withColumn("root", F.col("node")), "members")
-    # The shingles of texts that share a key, and of no others.
-    sharing = small_side(checkpointed(members.select("node").distinct()))
+    marked = _fingerprint_pairs(nodes, similarity)
+    # The shingles of texts that share a key or a fingerprint's neighbourhood, and of no others.
+    sharing = small_side(checkpointed(members.select("node").union(marked.select("a")).union(marked.select("b")).distinct()))
     wanted = nodes.join(sharing, "node", "left_semi").select(F.col("first.doc_id").alias(_ID), F.col("first.mark").alias(_MARK))
     same = F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.xxhash64("text") == F.col(_MARK))
     sets = written(_sets(docs.select("doc_id", "text").join(small_side(checkpointed(wanted)), same, "left_semi")), "shingles")
-    rooted = None
+    rooted = checkpointed(_grown(None, written(_verified(marked, sets, similarity), "links")))
+    members = _unsettled(members, rooted)
     for _ in range(rounds):
         one = small_side(checkpointed(members.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("r"))))
         met = members.join(one, "key").where("node <> r.node")
-        # Sets whose sizes differ more can't be that similar.
-        fits = F.least("n", "r.n") >= similarity * F.greatest("n", "r.n") - 1e-9
-        pairs = met.where(fits & (F.col("root") != F.col("r.root"))).select(F.col("node").alias("a"), F.col("r.node").alias("b")).distinct()
+        pairs = met.where(_fits("n", "r.n", similarity) & (F.col("root") != F.col("r.root"))).select(F.col("node").alias("a"), F.col("r.node").alias("b")).distinct()
         rooted = checkpointed(_grown(rooted, written(_verified(pairs, sets, similarity), "links")))
         members = _unsettled(met.select(*members.columns), rooted)
         if not members.limit(1).count():
@@ -271,7 +291,7 @@ def _rooted(docs: DataFrame, similarity: float, rounds: int, block: int) -> Data
     """(doc_id, mark, root) for every row of ``docs``."""
     marks = written(_sketches(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark"))
-    nodes = written(marks.groupBy("node").agg(first.alias("first"), *[F.first(x).alias(x) for x in ("n", "keys", "bytes")]), "texts")
+    nodes = written(marks.groupBy("node").agg(first.alias("first"), *[F.first(x).alias(x) for x in ("n", "keys", "bytes", "f")]), "texts")
     rooted = _links(docs, nodes, similarity, rounds, block)
     rows = marks.select("doc_id", "mark", "node").join(small_side(rooted.where("node <> root")), "node", "left")
     return written(rows.select("doc_id", "mark", F.coalesce("root", "node").alias("root")), "rooted")

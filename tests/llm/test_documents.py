@@ -182,6 +182,32 @@ def test_similar_keeps_close_groups_apart(spark, rounds, block):
     assert {x.doc_id: x.component_id for x in similar.components(frame, rounds=rounds, block=block).collect()} == wanted
 
 
+def test_similar_links_by_golay_codes(spark):
+    """Near copies of two differing bits at most are linked by their fingerprints' codewords, without any min-wise key;
+    fingerprints that meet but differ in too many shingles aren't."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for _ in range(8):
+        base = r.choices(vocabulary, k=400)
+        near = [base[:k] + [r.choice(vocabulary)] + base[k + 1 :] for k in range(10, 400, 10)]
+        mark = simhash.text_fingerprint(" ".join(base))
+        close = [w for w in near if (simhash.text_fingerprint(" ".join(w)) ^ mark).bit_count() <= 2]
+        texts += [base, *close[:3]]
+    texts += [["same"] * 4, ["same"] * 40, ["same"] * 40 + ["x"]]  # nearly one fingerprint, unlike sets of shingles for the last
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    first = F.struct(F.lit(False).alias("no"), F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"))
+    nodes = similar._sketches(frame).groupBy("node").agg(first.alias("first"), *[F.first(x).alias(x) for x in ("n", "bytes", "f")]).withColumn("keys", F.array().cast("array<long>"))
+    nodes = nodes.localCheckpoint()
+    root = {x.node: x.root for x in similar._links(frame, nodes, 0.8, 3, 256).collect()}
+    node = {x["first"].doc_id: x.node for x in nodes.collect()}
+    got = [root.get(node[k], node[k]) for k in range(len(texts))]
+    wanted = _all_pairs(texts)
+    wanted_groups = {frozenset(k for k in wanted if wanted[k] == g) for g in wanted.values()}
+    assert {frozenset(k for k in range(len(texts)) if got[k] == g) for g in got} == wanted_groups
+    assert sum(len(g) > 1 for g in wanted_groups) >= 7
+
+
 def test_similar_odd_rows(spark, odd, none):
     got = {r.doc_id: r.component_id for r in similar.components(odd).collect()}
     assert {got[k] for k in (30, 31, 32)} == {30} and got[None] == 3 and got[35] == got[5]
