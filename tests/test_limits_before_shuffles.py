@@ -99,3 +99,30 @@ def test_backlog(spark):
     accepted = {q: sorted(r.id for r in found if r.q == q and r.accepted) for q in (None, "full", "free", "other")}
     assert accepted == {None: [0], "full": [], "free": [18, 19, 20], "other": [27, 28, 29, 30, 31]}
     assert len(found) == 36
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_tasks_that_make_pairs_are_counted_out(spark, monkeypatch, block):
+    """Places of few and of many keys, null ones and repeats; partitions follow the rows, whatever their compressed bytes."""
+    import random
+
+    from quarryspark.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", block)
+    monkeypatch.setattr(joins, "TASK_ROWS", 20)
+    r = random.Random(2)
+    rows = [(r.choice([*range(40), None]), r.choice([*range(30), None]), r.choice([0.1, 0.5, 0.9, None])) for _ in range(300)] + [(99, k % 25, 0.3) for k in range(60)]
+    found = joins.co_occurring(spark.createDataFrame(rows, "p int, k int, c double"), "p", "k", "c")
+    least: dict = {}
+    for p, k, c in rows:
+        if p is not None and k is not None:
+            least.setdefault(p, {}).setdefault(k, []).extend([c] if c is not None else [])
+    wanted: dict = {}
+    for p, ks in least.items():
+        for a in ks:
+            for b in ks:
+                if a < b:
+                    wanted.setdefault((a, b), []).append((p, ks[a] + ks[b]))
+    want = sorted((*ab, min(p for p, _ in xs), len(xs), min((c for _, cs in xs for c in cs), default=None)) for ab, xs in wanted.items())
+    assert sorted(tuple(x) for x in found.collect()) == want
+    assert found.rdd.getNumPartitions() > 8
