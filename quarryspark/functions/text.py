@@ -6,7 +6,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,12 +207,19 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
-def normal_form(form: str):
-    """A vectorised function for a Unicode normal form, which Spark has no built-in for."""
+#: Texts that are normalised at once.
+NORMALISED = 64
+
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize(form, x))
+def normal_form(form: str):
+    """A vectorised function for a Unicode normal form, which Spark has no built-in for. A batch's texts are strings of Python's by pieces, not
+    all at once: a task holds its batch and the result."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        pieces = [texts.slice(at, NORMALISED) for at in range(0, len(texts), NORMALISED)] or [texts]
+        done = lambda piece: pa.array([None if x is None else unicodedata.normalize(form, x) for x in piece.to_pylist()], piece.type)
+        return pa.concat_arrays([x if pc.all(pc.string_is_ascii(x)).as_py() else done(x) for x in pieces])
 
     return run
 

@@ -170,3 +170,13 @@ def test_recognition_counts_on_more_texts(spark, duck, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     same_rows(QUERIES[name](spark, folder), con.sql(SQL[name]))
+
+
+def test_normal_forms_stay_in_arrow(spark):
+    """Equal to Python's over pieces of batches, nulls and empty texts among them; no pandas, which makes strings of whole batches."""
+    texts = [None, "", "plain", "é", "ạ̇", "각", "ﬁ ①", *["x" * k + "ő" for k in range(300)], *[None] * 70]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(3)
+    for form in ("NFC", "NFKC"):
+        plan = rows.select("k", X.normal_form(form)(F.col("text")).alias("n"))
+        assert {r.k: r.n for r in plan.collect()} == {k: None if x is None else unicodedata.normalize(form, x) for k, x in enumerate(texts)}
+    assert not hasattr(X, "pd")
