@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +25,18 @@ _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("en
 _RESTORED = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([*_SPAN.fields, T.StructField("token", T.StringType())])))])
 
 
+_ARROW_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
+_ARROW_RESTORED = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([*_ARROW_SPAN, ("token", pa.string())])))])
+#: Texts that are Python's objects at once.
+PIECE = 64
+
+
+def _in_pieces(run, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """What ``run`` makes of the columns, in pieces: whole batches stay in Arrow's buffers."""
+    pieces = [pa.array(run(*[x.slice(at, PIECE) for x in columns]), kind) for at in range(0, len(columns[0]), PIECE)]
+    return pa.concat_arrays(pieces) if pieces else pa.array([], kind)
+
+
 def spans_of(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) in order, none overlapping."""
     found: list[tuple[int, int, str, str]] = []
@@ -38,9 +50,9 @@ def spans_of(text: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(_SPAN))
-def personal_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: spans_of(x or ""))
+@F.arrow_udf(T.ArrayType(_SPAN))
+def personal_spans(texts: pa.Array) -> pa.Array:
+    return _in_pieces(lambda piece: [[dict(zip(_SPAN.names, s, strict=True)) for s in spans_of(x or "")] for x in piece.to_pylist()], pa.list_(_ARROW_SPAN), texts)
 
 
 def _agree(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
@@ -111,19 +123,23 @@ def depersonalise(docs: DataFrame, key: str, text: str, corpus: str, known: Data
     return rows.withColumn("encoded", F.when(F.col(text).isNotNull(), encoded)).withColumn("tokens", F.size(s)).drop("__spans"), tokens
 
 
-@F.pandas_udf(_RESTORED)
-def _put_back(texts: pd.Series, values: pd.Series) -> pd.DataFrame:
+def _restored_rows(texts: pa.Array, values: pa.Array) -> list[dict]:
     rows = []
-    for text, pairs in zip(texts, values, strict=True):
-        own, out, size, at, spans = {p["token"]: p for p in (pairs if pairs is not None else [])}, [], 0, 0, []
+    for text, pairs in zip(texts.to_pylist(), values.to_pylist(), strict=True):
+        own, out, size, at, spans = {p["token"]: p for p in pairs or []}, [], 0, 0, []
         for m in re.finditer(TOKEN, text or ""):
             if p := own.get(m[0]):
                 out += [text[at : m.start()], p["value"]]
                 size += m.start() - at
                 spans.append({"start": size, "end": size + len(p["value"]), "kind": p["kind"], "value": p["value"], "token": m[0]})
                 size, at = size + len(p["value"]), m.end()
-        rows.append((None if text is None else "".join([*out, text[at:]]), spans))
-    return pd.DataFrame(rows, columns=["text", "spans"])
+        rows.append({"text": None if text is None else "".join([*out, text[at:]]), "spans": spans})
+    return rows
+
+
+@F.arrow_udf(_RESTORED)
+def _put_back(texts: pa.Array, values: pa.Array) -> pa.Array:
+    return _in_pieces(_restored_rows, _ARROW_RESTORED, texts, values)
 
 
 def restored(docs: DataFrame, key: str, text: str, corpus: str, tokens: DataFrame, allowed: Column | None = None) -> DataFrame:

@@ -73,3 +73,15 @@ def test_only_allowed_tokens_are_restored(spark):
 def test_no_texts(spark):
     docs, tokens = run(spark, [])
     assert docs.count() == tokens.count() == 0
+
+
+def test_spans_and_values_by_pieces(spark):
+    """More texts than a piece holds, nulls and empty ones among them; whole batches aren't Python's objects."""
+    texts = [None, "", *[f"a{k}@b.hu és {100_000 + k} ő" for k in range(3 * P.PIECE + 5)], *[None] * P.PIECE]
+    docs = spark.createDataFrame([(k, "c", x) for k, x in enumerate(texts)], "k int, corpus string, text string").coalesce(1)
+    spans = {r.k: [tuple(s) for s in r.s] for r in docs.select("k", P.personal_spans("text").alias("s")).collect()}
+    assert spans == {k: P.spans_of(x or "") for k, x in enumerate(texts)}
+    encoded, tokens = P.depersonalise(docs, "k", "text", "corpus")
+    back = P.restored(encoded, "k", "encoded", "corpus", tokens).select("k", "tokens", "restored.*").collect()
+    assert {r.k: r.text for r in back} == dict(enumerate(texts)) and all(len(r.spans) == r.tokens for r in back)
+    assert not hasattr(P, "pd")
