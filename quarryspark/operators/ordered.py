@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
@@ -147,17 +147,18 @@ def without_overlaps(spans: DataFrame, by: Sequence[str], start: str, end: str,
     kinds = [spans.schema[name].dataType.simpleString() for name in by]
 
     def run(batches):
-        now, kept = None, []  # kept: disjoint, so sorted by their ends too
+        now, starts, ends = None, [], []  # of the kept: disjoint, so in one order
         for batch in batches:
             columns = [column.to_pylist() for column in batch.columns]
+            groups = columns[0] if keys == 1 else list(zip(*columns[:keys], strict=True)) if keys else [()] * batch.num_rows
             chosen = []
-            for row, (s, e) in enumerate(zip(columns[keys], columns[keys + 1], strict=True)):
-                group = tuple(column[row] for column in columns[:keys])
+            for row, (group, s, e) in enumerate(zip(groups, columns[keys], columns[keys + 1], strict=True)):
                 if group != now:
-                    now, kept = group, []
-                at = bisect_left(kept, (e,))  # those that start before this one ends
-                if at == 0 or kept[at - 1][1] <= s:
-                    insort(kept, (s, e))
+                    now, starts, ends = group, [], []
+                at = bisect_left(starts, e)  # those that start before this one ends
+                if at == 0 or ends[at - 1] <= s:
+                    starts.insert(at, s)
+                    ends.insert(at, e)
                     chosen.append(row)
             yield batch.take(pa.array(chosen, pa.int64()))
 

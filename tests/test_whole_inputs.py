@@ -31,3 +31,26 @@ def test_places_of_whole_texts_only(spark, tmp_path):
     """A place late in a text is found, and none that the text hasn't got."""
     at = _documents(spark, tmp_path, ["plain words " * 50 + "in meeting room B-3 or 1011 Fő utca 5. in Győr.", "plain words"])
     assert {r.doc_id for r in QUERIES["place_mentions"](spark, at).collect()} == {0}
+
+
+def test_spans_without_overlaps_by_hand(spark):
+    """Two keys, null ones, empty spans and repeats, against a walk over all kept spans."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarryspark.operators import ordered as O
+
+    r = random.Random(6)
+    rows = [(r.choice([1, 2, None]), r.choice("ab"), s, s + r.randrange(6)) for s in (r.randrange(60) for _ in range(200))]
+    frame = spark.createDataFrame(rows, "k int, x string, s long, e long")
+    got = sorted(map(str, map(tuple, O.without_overlaps(frame, ["k", "x"], "s", "e", [-(F.col("e") - F.col("s")), F.col("s")]).collect())))
+    wanted = []
+    for group in {(k, x) for k, x, _, _ in rows}:
+        kept = []
+        for s, e in sorted(((s, e) for k, x, s, e in rows if (k, x) == group), key=lambda z: (z[0] - z[1], z[0], z[0], z[1])):
+            before = [z for z in sorted(kept) if z[0] < e]
+            if not before or before[-1][1] <= s:
+                kept.append((s, e))
+        wanted += [str((*group, *z)) for z in kept]
+    assert got == sorted(wanted)
