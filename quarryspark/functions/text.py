@@ -146,7 +146,7 @@ def identifiers(text: Column, patterns: dict[str, str] = IDENTIFIERS) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits, underscores and hyphens, of two characters at least."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_-]+"), 0), F.lower), lambda x: F.length(x) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_-]{2,}+"), 0)
 
 
 def phrases(text: Column) -> Column:
@@ -272,6 +272,16 @@ def ocr_repeats(ocr: Column, text: Column, least: float = 0.9) -> Column:
 CITIES, REGIONS = ("budapest", "debrecen", "szeged", "győr", "pécs"), ("dunántúl", "alföld", "transdanubia")
 
 
+def _place(raw: Column, kind: str) -> Column:
+    return F.struct(raw.alias("raw"), F.lower(raw).alias("place"), F.lit(kind).alias("kind"), F.lit(0.9 if kind == "office" else 0.75).alias("confidence"))
+
+
+def listed_places(text: Column) -> Column:
+    """The cities and regions of ``places`` alone."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.contains(n), _place(F.lit(n), kind)) for kind, names in (("city", CITIES), ("region", REGIONS)) for n in names]))
+
+
 def places(text: Column) -> Column:
     """Array of (raw, place, kind, confidence): site phrases .9; cities, addresses, rooms and regions .75."""
     word, start = r"[\p{L}\p{N}_]", r"(?<![\p{L}\p{N}_])"
@@ -281,14 +291,10 @@ def places(text: Column) -> Column:
         "room": rf"(?i){start}(?:tárgyaló|meeting room)\s[\p{{L}}\p{{N}}_-]+",
     }
 
-    def of(raw: Column, kind: str) -> Column:
-        return F.struct(raw.alias("raw"), F.lower(raw).alias("place"), F.lit(kind).alias("kind"), F.lit(0.9 if kind == "office" else 0.75).alias("confidence"))
-
     def found(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: of(x, kind))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: _place(x, kind))
 
-    listed = [F.when(F.lower(text).contains(n), of(F.lit(n), kind)) for kind, names in (("city", CITIES), ("region", REGIONS)) for n in names]
-    return F.concat(*[found(k, p) for k, p in patterns.items()], F.array_compact(F.array(*listed)))
+    return F.concat(*[found(k, p) for k, p in patterns.items()], listed_places(text))
 
 
 def blank_line_blocks(text: Column) -> Column:

@@ -180,3 +180,14 @@ def test_normal_forms_stay_in_arrow(spark):
         plan = rows.select("k", X.normal_form(form)(F.col("text")).alias("n"))
         assert {r.k: r.n for r in plan.collect()} == {k: None if x is None else unicodedata.normalize(form, x) for k, x in enumerate(texts)}
     assert not hasattr(X, "pd")
+
+
+def test_tokens_and_listed_places_without_functions_of_elements(spark):
+    """Tokens come from one search of the lower-cased text, and listed places don't need the patterns of the others."""
+    texts = ["A bc D-e _F ÁRVÍZ 12 3", "İ x", "Budapest és Dunántúl, budai iroda", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = rows.select("k", X.tokens(F.col("text")).alias("t"), X.listed_places(F.col("text")).alias("p"), X.places(F.col("text")).alias("all")).orderBy("k").collect()
+    assert [r.t for r in got] == [["bc", "d-e", "_f", "árvíz", "12"], ["i̇"], ["budapest", "és", "dunántúl", "budai", "iroda"], [], None]
+    assert [[p.place for p in r.p] for r in got] == [[], [], ["budapest", "dunántúl"], [], []]
+    assert [p.kind for p in got[2]["all"]] == ["office", "city", "region"]
+    assert "lambda" not in rows.select(X.tokens(F.col("text")))._jdf.queryExecution().analyzed().toString().lower()
