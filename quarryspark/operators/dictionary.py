@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +71,15 @@ def folded_text(text: str) -> tuple[str, np.ndarray | None]:
     return "".join(codes[kept]), kept
 
 
+def _word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _parts(text: str, at: int) -> bool:
+    """Whether a word begins or ends at a place, as a pattern's ``\\b`` has it."""
+    return (at > 0 and _word(text[at - 1])) != (at < len(text) and _word(text[at]))
+
+
 class Finder:
     """``names``: (entry, name) pairs. With ``words`` a name is found as a word of its own, in all its forms; without, as the very
     same characters anywhere."""
@@ -89,21 +98,39 @@ class Finder:
         """(name's number, start, end) of all hits; hits of one name don't overlap, the first one holds."""
         if not len(self.automaton):
             return []
-        seen, back = folded_text(text) if self.words else (text, None)
-        near = sorted((last - n + 1, k) for last, (n, places) in self.automaton.iter(seen) for k in places)
+        if not self.words:
+            return self._as_they_are(text)
+        seen, back = folded_text(text)
+        places = back.tolist() if back is not None else range(len(text))
+        near = []
+        for last, (n, numbers) in self.automaton.iter(seen):
+            start, end = places[last - n + 1], places[last] + 1
+            # A hit of the pattern has just these edges; most candidates lie inside of words.
+            if _parts(text, start) and _parts(text, end):
+                near += [(start, k) for k in numbers]
+        near.sort()
         ends: dict[int, int] = {}
-        out = []
-        for at, k in near:
-            start = at if back is None else int(back[at])
+        out, now, met = [], -1, {}
+        for start, k in near:
             if start < ends.get(k, 0):
                 continue
-            if not self.words:
+            if start != now:
+                now, met = start, {}
+            name = self.names[k][1]
+            if name not in met:  # entries that share a name share its hit
+                met[name] = (hit := name_pattern(name).match(text, start)) and hit.end()
+            if met[name]:
+                ends[k] = met[name]
+                out.append((k, start, ends[k]))
+        return out
+
+    def _as_they_are(self, text: str) -> list[tuple[int, int, int]]:
+        ends: dict[int, int] = {}
+        out = []
+        for start, k in sorted((last - n + 1, k) for last, (n, numbers) in self.automaton.iter(text) for k in numbers):
+            if start >= ends.get(k, 0):
                 ends[k] = start + len(self.names[k][1])
-            elif hit := name_pattern(self.names[k][1]).match(text, start):
-                ends[k] = hit.end()
-            else:
-                continue
-            out.append((k, start, ends[k]))
+                out.append((k, start, ends[k]))
         return out
 
 
@@ -128,16 +155,21 @@ def find_terms(docs: DataFrame, key: str, text: str, entries: DataFrame, words:
                 told.append((r.confidence or CONFIDENCE, re.sub(r"\s+", " ", unicodedata.normalize("NFKC", own or name).lower().strip())))
         sent = docs.sparkSession.sparkContext.broadcast((names, told))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, told = sent.value
             finder = Finder(names, words)
             columns = [key, "entry", "name", "raw", "start", "end", "confidence", "normalized"]
+            entry, name, normal = (pa.array(x, pa.string()) for x in ([n[0] for n in names], [n[1] for n in names], [t[1] for t in told]))
+            confidence = pa.array([t[0] for t in told], pa.float64())
             for batch in batches:
-                hits = ((row_key, *names[k], x[a:b], a, b, *told[k]) for row_key, x in zip(batch[key], batch["__text"], strict=True) if x for k, a, b in finder(x))
+                hits = ((row, k, x[a:b], a, b) for row, x in enumerate(v.as_py() for v in batch.column(1)) if x for k, a, b in finder(x))
                 while rows := list(itertools.islice(hits, HITS)):
-                    yield pd.DataFrame(rows, columns=columns)
+                    at, ks, raw, start, end = zip(*rows, strict=True)
+                    k = pa.array(ks, pa.int32())
+                    arrays = [batch.column(0).take(pa.array(at, pa.int32())), entry.take(k), name.take(k), pa.array(raw, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), confidence.take(k), normal.take(k)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-        return docs.select(key, F.col(text).alias("__text")).mapInPandas(run, shape)
+        return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, shape)
 
     found = [searched(named.where(F.pmod(F.xxhash64("entry", "name"), F.lit(parts)) == k) if parts > 1 else named) for k in range(parts)]
     out = found[0]

@@ -94,3 +94,25 @@ def dictionary_mentions(spark, folder):
         entries.append((r.item_id, " ".join(w[:2]).upper(), at, r.item_id % 5 / 10 if r.item_id % 5 else None))
     got = sorted(tuple(r) for r in QUERIES["dictionary_mentions"](spark, folder).collect())
     assert got == brute(texts, entries) and len(got) > 100
+
+
+def test_candidates_inside_words_need_no_pattern(monkeypatch):
+    """Hits equal those of the patterns at every place; a candidate inside a word is never handed to one."""
+    import re
+
+    names = [(k, n) for k, n in enumerate(["ab", "AB", "a b", "-a", "a-", "_a", "ő", "a.", ".", "b"])]
+    texts = ["ab abab xab ab_ ab-ab", "a \t b a  b\na", " -a--a a- x-a", "_a __a a_a", "Ő őo. ó", "a. a.. .a ...", "", "b", "²b b² b́"]
+    for text in texts:
+        wanted = []
+        for k, n in names:
+            end = 0
+            for at in range(len(text)):
+                if at >= end and (hit := D.name_pattern(n).match(text, at)):
+                    wanted.append((k, at, hit.end()))
+                    end = hit.end()
+        assert sorted(D.Finder(names)(text)) == sorted(wanted), text
+    tried = []
+    real = D.name_pattern
+    monkeypatch.setattr(D, "name_pattern", lambda n: tried.append(n) or real(n))
+    assert D.Finder([(1, "ab"), (2, "ab")])("xab abx ab") == [(0, 8, 10), (1, 8, 10)] and tried == ["ab"]
+    assert re.findall(r"\bab\b", "xab abx ab") == ["ab"]
