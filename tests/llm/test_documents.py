@@ -306,6 +306,32 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert decontaminate.overlaps(none, items).count() == 0 and decontaminate.overlaps(odd, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_text_full_of_hits(spark):
+    """All 32,400 hits of one text of 19,980 words; rows of these with the words of the text would be 10 GB."""
+    passage = " ".join(f"p{k}" for k in range(37))
+    docs = spark.createDataFrame([(1, f"{passage} " * 540), (2, "other words " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    for seed_rows in (1000, 50):
+        assert decontaminate.overlaps(docs, items, seed_rows=seed_rows).collect() == [(1, 7, 13, 13, 0)]
+        assert [x.doc_id for x in decontaminate.decontaminate(docs, items, seed_rows=seed_rows).collect()] == [2]
+
+
+def test_decontamination_joins_one_part_of_a_large_benchmark_at_a_time(spark):
+    r = random.Random(3)
+    items = spark.createDataFrame([(k, " ".join(f"w{r.randrange(900)}" for _ in range(40))) for k in range(60)], "item_id long, text string")
+    docs = items.selectExpr("item_id * 10 AS doc_id", "concat('a b ', text, ' c') AS text")
+    found, _ = decontaminate._found(docs, items, 500, 1 << 20)
+    assert found.count() == 60 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decontamination_sieve_passes_every_seed_of_the_benchmark_and_few_others(spark):
+    seeds = spark.range(20_000).selectExpr("xxhash64(id) AS seed")
+    sown = spark.range(200_000).selectExpr("id AS doc_id", "id AS mark", "array('a', 'b', 'c') AS w", "2 AS at", "xxhash64(id) AS seed")
+    passed = decontaminate._sifted(sown, seeds, 20_000)
+    assert passed.where("doc_id < 20000").count() == 20_000 and passed.where("doc_id >= 20000").count() < 2_000
+    assert passed.where("w[here] = 'c'").count() == passed.count()
+
+
 # --- language model -------------------------------------------------------------------------------------------
 
 
