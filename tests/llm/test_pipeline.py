@@ -85,6 +85,14 @@ def test_decontamination(spark, docs, folder):
     assert {r.doc_id for r in stage(spark, "decontamination", docs, folder)} == {r.doc_id for r in docs.collect()} - leaks and len(leaks) >= 2
 
 
+def test_decontamination_of_a_text_full_of_hits(spark, tmp_path):
+    """All 32,400 hits of one text of 19,980 words; rows of these with the words of the text would be 10 GB."""
+    passage = " ".join(f"p{k}" for k in range(37))
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"{passage} " * 540), (2, "other words " * 20)], "doc_id long, text string")
+    assert [r.doc_id for r in stage(spark, "decontamination", docs, str(tmp_path))] == [2]
+
+
 def test_mixing(spark, docs, folder):
     from collections import Counter
 
